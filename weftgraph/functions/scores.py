@@ -8,6 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def settled(x: Column, digits: int = 6) -> Column:
+    """Rounded after a tiny allowance, so that sums taken in different orders agree where they fall halfway."""
+    return F.round(x + 1e-9, digits)
+
+
 def jaccard(a: Column, b: Column, both_empty: float = 1.0) -> Column:
     """Of two arrays as sets."""
     union = F.size(F.array_union(a, b))

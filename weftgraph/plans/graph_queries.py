@@ -221,7 +221,7 @@ def _trade(spark, d):
     return rows.groupBy(F.col("l_returnflag").alias("predicate"), F.col("c_nationkey").alias("agent"), F.col("s_nationkey").alias("patient")).agg(F.avg(1 - F.col("l_discount")).alias("confidence"))
 
 
-@query(f"WITH {TRADE} SELECT x.predicate, x.agent AS a, x.patient AS b, round((x.confidence + y.confidence) / 2 * 0.9, 6)::DOUBLE AS confidence FROM trade x JOIN trade y ON x.predicate = y.predicate AND x.agent = y.patient AND x.patient = y.agent WHERE x.agent < x.patient")
+@query(f"WITH {TRADE} SELECT x.predicate, x.agent AS a, x.patient AS b, round((x.confidence + y.confidence) / 2 * 0.9 + 1e-9, 6)::DOUBLE AS confidence FROM trade x JOIN trade y ON x.predicate = y.predicate AND x.agent = y.patient AND x.patient = y.agent WHERE x.agent < x.patient")
 def role_reversals(spark, d):
     return P.role_reversals(_trade(spark, d))
 
@@ -241,7 +241,7 @@ TYPED = "typed AS (SELECT 'n' || c_nationkey AS src, 's' || l_suppkey AS dst, CA
 
 
 @query(f"""WITH {TYPED}, b AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, avg(confidence) FILTER (WHERE relation = 'CAUSAL') AS c, avg(confidence) FILTER (WHERE relation = 'DIFFERENTIAL') AS d FROM typed GROUP BY 1, 2)
-    SELECT a, b, round((c + d) / 2, 6) AS confidence FROM b WHERE c IS NOT NULL AND d IS NOT NULL""")
+    SELECT a, b, round((c + d) / 2 + 1e-9, 6) AS confidence FROM b WHERE c IS NOT NULL AND d IS NOT NULL""")
 def relation_conflicts(spark, d):
     lines, orders, customer = (table(spark, d, n) for n in ("lineitem", "orders", "customer"))
     rows = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(customer, F.col("o_custkey") == F.col("c_custkey"))
