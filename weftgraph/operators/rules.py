@@ -167,3 +167,58 @@ def code_elements(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["path", "kind", "name", "parent", "line"])
 
     return files.select("path", "text").mapInPandas(parse, "path string, kind string, name string, parent string, line int")
+
+
+def incident(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges that touch a node (node_id), outgoing and incoming ones, one row for each end that is asked about."""
+    out = edges.join(nodes, edges.src == nodes.node_id).select("node_id", F.lit("out").alias("way"), "src", "dst", "relation")
+    back = edges.join(nodes, edges.dst == nodes.node_id).select("node_id", F.lit("in").alias("way"), "src", "dst", "relation")
+    return out.unionAll(back)
+
+
+def by_priority(rows: DataFrame, state: str, order: tuple[str, ...], confidence: str, key: str, cap: int) -> DataFrame:
+    """The first ``cap`` rows by the state's place in the order, then by confidence; the cap is the feature."""
+    place = F.array_position(F.array(*[F.lit(s) for s in order]), F.col(state))
+    return rows.where(place > 0).orderBy(place, F.desc(confidence), key).limit(cap)
+
+
+def role_sets(comps: DataFrame, members: DataFrame) -> DataFrame:
+    """Classes of compositions of one type and one set of roles, how many they hold, and how many pairs that makes; pairs themselves aren't listed."""
+    roles = members.groupBy("comp_id").agg(F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles"))
+    n = comps.join(roles, "comp_id").groupBy("comp_type", "roles").agg(F.count("*").alias("n"), F.min("comp_id").alias("least"))
+    return n.withColumn("pairs", F.floor(F.col("n") * (F.col("n") - 1) / 2))
+
+
+def overlap_findings(comps: DataFrame, members: DataFrame, role: str, hub_limit: int) -> DataFrame:
+    """Pairs of one type that share more than half of the smaller one's nodes of a role; nodes of more than ``hub_limit`` compositions don't link."""
+    rows = members.where(F.col("role") == role).select("comp_id", "node_id").distinct()
+    size = rows.groupBy("comp_id").agg(F.count("*").alias("size"))
+    small = rows.groupBy("node_id").agg(F.count("*").alias("d")).where(F.col("d").between(2, hub_limit)).select("node_id")
+    flat = rows.join(small, "node_id").join(size, "comp_id").join(comps.select("comp_id", "comp_type"), "comp_id")
+    one, two = (flat.select("node_id", "comp_type", F.col("comp_id").alias(c), F.col("size").alias(f"s{c}")) for c in ("a", "b"))
+    shared = one.join(two, ["node_id", "comp_type"]).where("a < b").groupBy("comp_type", "a", "b", "sa", "sb").agg(F.count("*").alias("shared"))
+    return shared.where(F.col("shared") * 2 > F.least("sa", "sb")).select("comp_type", "a", "b", "shared")
+
+
+def seed_cooccurrence(members: DataFrame, seeds: list[str]) -> DataFrame:
+    """For each node, the mean number a of compositions that it shares with a seed, as a / (a + 2)."""
+    marked = members.where(F.col("node_id").isin(seeds)).select("comp_id", F.col("node_id").alias("seed")).distinct()
+    n = members.select("comp_id", "node_id").distinct().join(marked, "comp_id").where("node_id <> seed").groupBy("node_id").agg((F.count("*") / len(seeds)).alias("a"))
+    return n.select("node_id", F.round(F.col("a") / (F.col("a") + 2), 6).alias("score"))
+
+
+def scope_report(rows: DataFrame, by: str, inside: Column) -> DataFrame:
+    """Rows in and out of scope, and the share inside."""
+    n = rows.groupBy(by).agg(F.count("*").alias("n"), F.count_if(inside).alias("inside"))
+    return n.withColumn("coverage", F.round(F.col("inside") / F.col("n"), 6))
+
+
+def adjustment(rows: DataFrame, key: str, helped: Column, weight: Column) -> DataFrame:
+    """Sum of weights of what helped less those of what didn't, within -0.15 and 0.05."""
+    total = F.sum(F.when(helped, weight).otherwise(-weight))
+    return rows.groupBy(key).agg(F.round(F.greatest(F.lit(-0.15), F.least(F.lit(0.05), total)), 6).alias("adjustment"))
+
+
+def active(rows: DataFrame, last: str, as_of: Column, limit_seconds: float) -> DataFrame:
+    """Rows seen less than so many seconds ago."""
+    return rows.where(as_of - F.col(last) < limit_seconds)

@@ -158,3 +158,49 @@ def degree_by_kind(spark, d):
 @query()
 def hashed_embeddings(spark, d):
     return U.hashed(tokens(spark, d), "doc_id", 128).groupBy("doc_id").agg(F.count("*").alias("buckets"), F.round(F.sum(F.abs("x")), 4).alias("mass"))
+
+
+@query(f"""{with_sql('edges')}, k AS (SELECT 's' || s_suppkey AS node_id FROM supplier WHERE s_suppkey % 10 = 0) SELECT node_id, 'out' AS way, src, dst, relation FROM edges JOIN k ON src = node_id UNION ALL SELECT node_id, 'in', src, dst, relation FROM edges JOIN k ON dst = node_id""")
+def incident_edges(spark, d):
+    return U.incident(edges(spark, d), table(spark, d, "supplier").where("s_suppkey % 10 = 0").select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("node_id")))
+
+
+@query(f"{CM} SELECT comp_id, lifecycle, confidence FROM comps ORDER BY CASE lifecycle WHEN 'Stable' THEN 1 WHEN 'Candidate' THEN 2 ELSE 3 END, confidence DESC, comp_id LIMIT 200")
+def priority_cap(spark, d):
+    return U.by_priority(compositions(spark, d), "lifecycle", ("Stable", "Candidate", "New"), "confidence", "comp_id", 200).select("comp_id", "lifecycle", "confidence")
+
+
+@query(f"""{CM}, r AS (SELECT comp_id, array_to_string(list_sort(list(DISTINCT role)), ',') AS roles FROM members GROUP BY comp_id) SELECT comp_type, roles, count(*) AS n, min(comp_id) AS least, (count(*) * (count(*) - 1)) // 2 AS pairs FROM comps JOIN r USING (comp_id) GROUP BY 1, 2""")
+def role_set_classes(spark, d):
+    return U.role_sets(compositions(spark, d), members(spark, d))
+
+
+@query(f"""{CM}, r AS (SELECT DISTINCT comp_id, node_id FROM members WHERE role = 'Patient'), z AS (SELECT comp_id, count(*) AS size FROM r GROUP BY 1), k AS (SELECT node_id FROM r GROUP BY 1 HAVING count(*) BETWEEN 2 AND 60),
+    f AS (SELECT r.*, size, comp_type FROM r JOIN k USING (node_id) JOIN z USING (comp_id) JOIN comps USING (comp_id)) SELECT x.comp_type, x.comp_id AS a, y.comp_id AS b, count(*) AS shared FROM f x JOIN f y ON x.node_id = y.node_id AND x.comp_type = y.comp_type AND x.comp_id < y.comp_id GROUP BY 1, 2, 3, x.size, y.size HAVING count(*) * 2 > least(x.size, y.size)""")
+def overlap_findings(spark, d):
+    return U.overlap_findings(compositions(spark, d), members(spark, d), "Patient", 60)
+
+
+@query(f"""{CM}, m AS (SELECT DISTINCT comp_id, node_id AS seed FROM members WHERE node_id IN ('s1', 's2', 's3')), a AS (SELECT node_id, count(*) / 3.0::DOUBLE AS a FROM (SELECT DISTINCT comp_id, node_id FROM members) JOIN m USING (comp_id) WHERE node_id <> seed GROUP BY 1) SELECT node_id, round(a / (a + 2), 6) AS score FROM a""")
+def seed_cooccurrence(spark, d):
+    return U.seed_cooccurrence(members(spark, d), ["s1", "s2", "s3"])
+
+
+@query(f"{CM} SELECT origin, count(*) AS n, count(*) FILTER (WHERE comp_type = 'Event' AND confidence >= 0.5) AS inside, round(count(*) FILTER (WHERE comp_type = 'Event' AND confidence >= 0.5) / count(*)::DOUBLE, 6) AS coverage FROM comps GROUP BY origin")
+def scope_report(spark, d):
+    return U.scope_report(compositions(spark, d), "origin", (F.col("comp_type") == "Event") & (F.col("confidence") >= 0.5))
+
+
+@query("SELECT user_id, round(greatest(-0.15, least(0.05, sum(CASE WHEN value > 50 THEN 0.01 ELSE -0.01 END::DOUBLE))), 6)::DOUBLE AS adjustment FROM events GROUP BY user_id")
+def experience_adjustment(spark, d):
+    return U.adjustment(table(spark, d, "events"), "user_id", F.col("value") > 50, F.lit(0.01))
+
+
+@query("WITH o AS (SELECT user_id, event_type, max(epoch_us(ts)) / 1e6 AS last, count(*) AS n FROM events GROUP BY 1, 2) SELECT user_id, event_type, n FROM o WHERE (SELECT max(epoch_us(ts)) / 1e6 FROM events) - last < 172800")
+def active_records(spark, d):
+    from weftgraph.operators.temporal import seconds
+
+    rows = table(spark, d, "events")
+    now = rows.agg(F.max(seconds("ts"))).first()[0]  # one number
+    seen = rows.groupBy("user_id", "event_type").agg(F.max(seconds("ts")).alias("last"), F.count("*").alias("n"))
+    return U.active(seen, "last", F.lit(now), 172_800).select("user_id", "event_type", "n")
