@@ -41,11 +41,13 @@ class Remembered:
         """Ids of all pieces in one array, and how many each text has, of which text i has counts[i] pieces."""
         if len(self.index) > MOST_REMEMBERED:
             self.forget()
-        where = list(map(self.index.get, pieces))
-        if None in where:
-            self.learn(list(dict.fromkeys([p for p, i in zip(pieces, where, strict=True) if i is None])))
-            where = list(map(self.index.get, pieces))
-        where = np.array(where, np.int64)
+        found = [self.index.get(p, -1) for p in pieces]
+        where = np.array(found, np.int64)
+        new = np.flatnonzero(where < 0).tolist()
+        if new:
+            unknown = [pieces[i] for i in new]
+            self.learn(list(dict.fromkeys(unknown)))
+            where[new] = [self.index[p] for p in unknown]
         size = self.size[where]
         total = np.cumsum(size)
         flat = self.flat[np.repeat(self.begin[where] - (total - size), size) + np.arange(int(total[-1]) if len(total) else 0)]

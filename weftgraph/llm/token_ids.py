@@ -125,11 +125,28 @@ class Encoder(Remembered):
         super().__init__()
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.opens_word = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)  # ids whose bytes begin with a space
+        self.opens_word[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("Ġ")]] = True
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def learn(self, pieces: list[str]) -> None:
+        """Words of a space and letters are encoded as one text, as that splits before each space again."""
+        plain = [p[0] == " " and p[1:].isalpha() for p in pieces]
+        for kind, encode in ((True, self.encode_words), (False, self.encode_each)):
+            if some := [p for p, k in zip(pieces, plain, strict=True) if k == kind]:
+                self.encode_pieces = encode
+                super().learn(some)
+
+    def encode_words(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(self.encode(["".join(pieces)])[0], np.uint32)
+        first = np.flatnonzero(self.opens_word[ids])
+        if len(first) != len(pieces):  # a vocabulary that doesn't keep the spaces apart
+            return self.encode_each(pieces)
+        return ids, np.diff(first, append=len(ids))
+
+    def encode_each(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = self.encode(pieces)
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths
