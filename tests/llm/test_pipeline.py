@@ -4,7 +4,7 @@ import hashlib
 
 import pytest
 
-from tests.llm.test_operators import DOCS, corpus, plain_components, plain_dedup, plain_leaks, words
+from tests.llm.test_operators import DOCS, corpus, plain_components, plain_dedup, plain_leaks, plain_sets, words
 from weftgraph.llm import language_id
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -61,3 +61,29 @@ def test_pipeline_of_nothing(spark, folder, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{path}/documents.parquet")
     spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(f"{path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, path).collect() == []
+
+
+def plain_near(rows, n=5, percent=80):
+    """The least id of each component, by plain sets."""
+    sets = plain_sets(rows, n)
+    least = {i: i for i, _ in sets}
+    for x, (i, a) in enumerate(sets):
+        for j, b in sets[:x]:
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                p, q = sorted((least[i], least[j]))
+                least = {k: p if c == q else c for k, c in least.items()}
+    return {i for i, c in least.items() if i == c}
+
+
+def test_near_copies_go_by_five_words_and_four_fifths(spark, folder):
+    rows = corpus(23, 80)
+    long = [t for _, t, *_ in rows if t and len(t.split()) > 50]
+    tail = " ".join(f"tail{k}" for k in range(len(long[0].split()) * 17 // 100))
+    changed = long[1].split()[:50]
+    changed[25] = "changed"
+    rows += [(1000, f"{long[0]} {tail}", "en", "s", 1), (1001, " ".join(long[1].split()[:50]), "en", "s", 1), (1002, " ".join(changed), "en", "s", 1)]
+    texts = [(i, t) for i, t, *_ in rows]
+    want = plain_near(texts)
+    assert not {1000, 1002} & want and {1000, 1002} <= plain_near(texts, 3, 90)  # between the two limits
+    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, DOCS), folder)
+    assert {r.doc_id for r in got.collect()} == want
