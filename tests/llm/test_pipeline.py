@@ -1,6 +1,7 @@
 """The pipeline against its stages done plainly, and its behaviour on odd tables."""
 
 import hashlib
+import random
 
 import pytest
 
@@ -87,3 +88,26 @@ def test_near_copies_go_by_five_words_and_four_fifths(spark, folder):
     assert not {1000, 1002} & want and {1000, 1002} <= plain_near(texts, 3, 90)  # between the two limits
     got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, DOCS), folder)
     assert {r.doc_id for r in got.collect()} == want
+
+
+def test_texts_of_no_learned_language_go(spark, folder):
+    rng = random.Random(5)
+
+    def language(letters):
+        stock = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) for _ in range(60)]
+        return lambda k: " ".join(rng.choice(stock) for _ in range(k))
+
+    one, two, other = language("aeioulmnrst"), language("abdegkouvwz"), language("йцукенгшвапрол")
+    rows = [(i, text(k), lang, "s", 1) for i, (text, lang, k) in enumerate((t, x, k) for k in (1, 3, 10, 40, 160) for t, x in ((one, "aa"), (two, "bb")) for _ in range(100))]
+    clean = [(2000 + i, t(k), None, "s", 1) for i, (t, k) in enumerate((t, k) for k in (1, 2, 10, 80) for t in (one, two))]
+    junk = [other(40), other(160), "qxzj jqpc xxcy hjqf pcyx " * 12, "fjqh " * 60]
+    docs = spark.createDataFrame([*rows, *clean, *[(3000 + i, t, None, "s", 1) for i, t in enumerate(junk)], (4000, "12 34", "aa", "s", 1)], DOCS).repartition(3)
+    got = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, folder).collect()}
+    assert got == {i for i, *_ in [*rows, *clean]}
+
+
+def test_limits_need_texts(spark):
+    docs = spark.createDataFrame([(i, "ab cd ef", "aa", "s", 1) for i in range(20)], DOCS)
+    _, prototypes = language_id.profiles(docs)
+    assert not language_id.limits(docs, prototypes).any()
+    assert not language_id.limits(docs, prototypes[:0]).any()

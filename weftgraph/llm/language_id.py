@@ -9,6 +9,12 @@ prediction is the language whose prototype has the largest cosine with the text,
 and that cosine, or 0 if it is negative, is the score. A prototype is shifted by
 the mean of all of them first, so that what languages share doesn't count.
 
+Shifted prototypes sum to zero, so some cosine is above 0 for nearly every text: they
+tell languages apart, and can't tell that a text is in none. For that, ``predict`` takes
+``known``: a text whose cosines with the prototypes as they were before the shift are
+all below a limit is ``und``. Noise falls and likeness grows with a text's number of
+n-grams, so ``limits`` fits a limit for each power of two of them on the training texts.
+
 Texts are lower-cased; runs of characters that aren't letters count as one space,
 and a text has a space on either side. Adding up is by counts: a batch's distinct
 n-grams are bound once, and a matrix product bundles them for all its texts.
@@ -37,6 +43,10 @@ NGRAM = 3
 FOLDS = 5
 #: The classifier learns from about so many texts of a language, chosen by a hash of the id; all, if it has fewer.
 MOST_TRAINING_TEXTS = 8000
+#: The share of training texts of about one length that count as outliers, how many texts it takes to fit a limit, and the part of the others' least likeness that is enough: new texts can be less like than any seen.
+OUTLIERS, LEAST_TEXTS, ENOUGH = 0.001, 50, 0.8
+#: Numbers of n-grams by power of two; steps that cosines are counted in.
+LENGTHS, STEPS = 48, 1000
 #: Bytes of text that are counted at once.
 CHUNK = 1 << 19
 
@@ -59,6 +69,11 @@ def letter_vectors(points: np.ndarray, dimension: int) -> np.ndarray:
 
 def text_vectors(texts: list[str], dimension: int = DIMENSION, n: int = NGRAM) -> np.ndarray:
     """The bundled n-gram vectors of texts, one row each; rows without letters are 0."""
+    return counted_vectors(texts, dimension, n)[0]
+
+
+def counted_vectors(texts: list[str], dimension: int = DIMENSION, n: int = NGRAM) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of ``text_vectors``, and how many n-grams each text has."""
     is_letter = _classes()
     # every text has a space on either side; the first one marks where its row starts
     points = np.frombuffer("".join([f" {t} " for t in texts]).lower().encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -72,7 +87,7 @@ def text_vectors(texts: list[str], dimension: int = DIMENSION, n: int = NGRAM) -
     points, begins, letter = np.where(letter, points, 32)[kept], begins[kept], letter[kept]
     out = np.zeros((len(texts), dimension), np.float32)
     if not letter.any() or len(points) < n:
-        return out
+        return out, np.zeros(len(texts), np.int64)
     alphabet, codes = _compact(points)
     size = len(alphabet)
     grams = np.zeros(len(codes) - n + 1, np.int64)
@@ -108,7 +123,7 @@ def text_vectors(texts: list[str], dimension: int = DIMENSION, n: int = NGRAM) -
         if rows > 0 and b > a:
             counts = np.bincount((of[a:b] - first) * len(distinct) + grams[a:b], minlength=rows * len(distinct)).reshape(rows, len(distinct))
             out[first : first + rows] = counts.astype(np.float32) @ vectors
-    return out
+    return out, np.bincount(of, minlength=len(texts))
 
 
 def _compact(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,15 +149,22 @@ def _cleaned(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", most: int = MOST_TRAINING_TEXTS, dimension: int = DIMENSION, n: int = NGRAM) -> tuple[list[str], np.ndarray]:
-    """Languages in ascending order, and their prototypes. Each task bundles its own rows; what reaches the driver has the size of the prototypes."""
-    bound_batches(docs.sparkSession)
+def _training_texts(docs: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> DataFrame | None:
+    """text and lang of the rows to learn from; None without any."""
     labelled = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{label_col}`").alias("lang")).where("id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL").where(fold_of("id") != 0)
     rates = {r.lang: min(1.0, most / r["n"]) for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
     if not rates:
-        return [], np.zeros((0, dimension), np.float32)
+        return None
     rate = F.create_map(*[F.lit(x) for pair in rates.items() for x in pair])[F.col("lang")]
-    chosen = labelled.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < rate * 1_000_000).select("text", "lang")
+    return labelled.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < rate * 1_000_000).select("text", "lang")
+
+
+def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", most: int = MOST_TRAINING_TEXTS, dimension: int = DIMENSION, n: int = NGRAM) -> tuple[list[str], np.ndarray]:
+    """Languages in ascending order, and their prototypes before the shift. Each task bundles its own rows; what reaches the driver has the size of the prototypes."""
+    bound_batches(docs.sparkSession)
+    chosen = _training_texts(docs, id_col, text_col, label_col, most)
+    if chosen is None:
+        return [], np.zeros((0, dimension), np.float32)
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -157,30 +179,86 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     parts = chosen.mapInArrow(bundle, "lang string, parts array<double>")
     sums = parts.select("lang", F.posexplode("parts").alias("k", "x")).groupBy("lang", "k").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("v"))
     rows = sorted((r.lang, [p.x for p in r.v]) for r in sums.collect())  # languages x dimension numbers
-    prototypes = unit(np.array([v for _, v in rows], np.float64))
+    return [lang for lang, _ in rows], unit(np.array([v for _, v in rows], np.float64))
+
+
+def shifted(prototypes: np.ndarray) -> np.ndarray:
     if len(prototypes) > 1:
         prototypes = prototypes - prototypes.mean(axis=0)
-    return [lang for lang, _ in rows], unit(prototypes).astype(np.float32)
+    return unit(prototypes).astype(np.float32)
+
+
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", most: int = MOST_TRAINING_TEXTS, dimension: int = DIMENSION, n: int = NGRAM) -> tuple[list[str], np.ndarray]:
+    """Languages in ascending order, and their prototypes."""
+    languages, prototypes = profiles(docs, id_col, text_col, label_col, most, dimension, n)
+    return languages, shifted(prototypes)
+
+
+def _length(grams: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(np.maximum(grams, 1)).astype(np.int64), LENGTHS - 1)
+
+
+def _likeness(vectors: np.ndarray, prototypes: np.ndarray) -> np.ndarray:
+    """Each text's largest cosine with a prototype before the shift, in whole steps."""
+    return np.floor(np.clip((unit(vectors) @ prototypes.T).max(axis=1), 0, 1) * STEPS).astype(np.int64)
+
+
+def limits(docs: DataFrame, prototypes: np.ndarray, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", most: int = MOST_TRAINING_TEXTS, n: int = NGRAM) -> np.ndarray:
+    """By power of two of the number of n-grams: the likeness, in steps, that is enough: ENOUGH of what all but the OUTLIERS of the training texts reach.
+
+    Lengths of too few texts have the limit of the next shorter one; without any, 0, which nothing is below.
+    """
+    bound_batches(docs.sparkSession)
+    out = np.zeros(LENGTHS, np.int64)
+    chosen = _training_texts(docs, id_col, text_col, label_col, most) if len(prototypes) else None
+    if chosen is None:
+        return out
+    model = docs.sparkSession.sparkContext.broadcast(prototypes.astype(np.float32))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((LENGTHS, STEPS + 1), np.int64)
+        for batch in batches:
+            for part in chunks(batch, "text", CHUNK):
+                vectors, grams = counted_vectors(_cleaned(part.column(0)), model.value.shape[1], n)
+                some = grams > 0
+                np.add.at(total, (_length(grams[some]), _likeness(vectors[some], model.value)), 1)
+        length, step = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(length), pa.array(step), pa.array(total[length, step])], names=["length", "step", "n"])
+
+    counts = np.zeros((LENGTHS, STEPS + 1), np.int64)
+    for r in chosen.mapInArrow(count, "length long, step long, n long").groupBy("length", "step").agg(F.sum("n").alias("n")).collect():  # at most LENGTHS x STEPS rows
+        counts[r.length, r.step] = r.n
+    for k, row in enumerate(counts):
+        texts = int(row.sum())
+        if texts >= LEAST_TEXTS:
+            out[k] = int(ENOUGH * np.searchsorted(np.cumsum(row), int(OUTLIERS * texts), side="right"))
+        elif k:
+            out[k] = out[k - 1]
+    return out
 
 
-def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """docs with a prediction and its score."""
+def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score"), known: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """docs with a prediction and its score. With ``known``, the prototypes before the shift and their limits, texts below the limit are ``und``."""
     bound_batches(docs.sparkSession)
     dimension = prototypes.shape[1]
-    model = docs.sparkSession.sparkContext.broadcast((languages, prototypes))
+    if known is not None:
+        known = known[0].astype(np.float32), known[1]
+    model = docs.sparkSession.sparkContext.broadcast((languages, prototypes, known))
 
     @F.pandas_udf("lang string, score double")
     def identify(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        languages, prototypes = model.value
+        languages, prototypes, known = model.value
         names_ = np.array([*languages, "und"], object)
         for texts in parts:
             lang, score = [], []
             column = pa.array(texts, pa.string(), from_pandas=True)
             for part in chunks(pa.RecordBatch.from_arrays([column], names=["text"]), "text", CHUNK):
-                vectors = text_vectors(_cleaned(part.column(0)), dimension)
+                vectors, grams = counted_vectors(_cleaned(part.column(0)), dimension)
                 none = ~vectors.any(axis=1)
                 if not languages:
                     none[:] = True
+                elif known is not None and len(none):
+                    none |= _likeness(vectors, known[0]) < known[1][_length(grams)]
                 cosines = unit(vectors) @ prototypes.T if languages else np.zeros((len(none), 1))
                 best = np.where(none, len(languages), cosines.argmax(axis=1))
                 lang.append(names_[best])
