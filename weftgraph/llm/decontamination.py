@@ -11,7 +11,8 @@ A search takes a set of test phrases, in blocks whose size is bounded. For each
 the postings of its terms are gathered by segment, and each phrase starts from its
 rarest term in that segment: that list, less the term's offset, is intersected with
 the others' in the order of their lengths, until nothing is left. A proximity search
-widens the equality of places by a slop, and checks that all terms fall within a span.
+starts from the rarest term's places, widens the equality of places by a slop within
+that place's document, and takes the shortest span there that holds all terms.
 
 Defined cases: A-Z count as a-z and words are runs of ASCII letters, digits and all
 characters beyond ASCII; null texts have no words; documents and items with a null id
@@ -128,8 +129,8 @@ def phrases(items: DataFrame, words: int = WINDOW_WORDS, id_col: str = "item_id"
     return rows.mapInArrow(cut, f"item_id {kind}, terms array<long>").distinct()
 
 
-def _near(lists: list[np.ndarray], offsets: list[int], slop: int) -> np.ndarray:
-    """Starts (places less offsets) at which all terms stand; with a slop, starts of the first term with every other one within it."""
+def _starts(lists: list[np.ndarray], offsets: list[int]) -> np.ndarray:
+    """Starts (places less offsets) at which all terms stand."""
     order = sorted(range(len(lists)), key=lambda i: len(lists[i]))
     rarest = order[0]
     starts = lists[rarest] - offsets[rarest]
@@ -137,15 +138,46 @@ def _near(lists: list[np.ndarray], offsets: list[int], slop: int) -> np.ndarray:
         if not len(starts):
             break
         want, have = starts + offsets[i], lists[i]
-        j = np.searchsorted(have, want - slop)
-        starts = starts[(j < len(have)) & (have[np.minimum(j, len(have) - 1)] <= want + slop)]
+        j = np.searchsorted(have, want)
+        starts = starts[(j < len(have)) & (have[np.minimum(j, len(have) - 1)] == want)]
     return starts
 
 
+def _near(phrase: list[int], where: dict[int, np.ndarray], slop: int, first: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each place of the rarest term with all others near: its document, and the shortest span (first place, last place) that holds all of them.
+
+    A span has at most len(phrase) + slop words. Copies of a term stand in order, at places of their own.
+    """
+    rarest = min(range(len(phrase)), key=lambda i: len(where[phrase[i]]))
+    at = where[phrase[rarest]].astype(np.int64)
+    doc = np.searchsorted(first, at, side="right") - 1
+    low, high = first[doc].astype(np.int64), first[doc].astype(np.int64) + n_words[doc] - 1
+    length = len(phrase) + slop
+    start, end = at - length, at + length  # longer than any span
+    for back in range(length):
+        begin = at - back
+        ok, last, taken = begin >= low, begin, {}
+        for i, term in enumerate(phrase):
+            have = where[term]
+            least, most = (at, at) if i == rarest else (at + i - rarest - slop, at + i - rarest + slop)
+            least, most = np.maximum(least, begin), np.minimum(np.minimum(most, high), begin + length - 1)
+            if term in taken:
+                least = np.maximum(least, taken[term] + 1)
+            j = np.searchsorted(have, least)
+            place = have[np.minimum(j, len(have) - 1)].astype(np.int64)
+            ok = ok & (j < len(have)) & (place <= most)
+            taken[term], last = place, np.maximum(last, place)
+        better = ok & (last - begin < end - start)
+        start, end = np.where(better, begin, start), np.where(better, last, end)
+    found = end - start < length
+    return doc[found], start[found], end[found]
+
+
 def search(spark: SparkSession, path: str, tests: DataFrame, slop: int = 0, block: int = BLOCK_PHRASES) -> DataFrame:
     """doc_id, row, segment, item_id and the spans ([start, end) in the document's words) that the item's phrases cover there, merged.
 
-    With a slop, each term may stand so many places from where the phrase has it, counted from its rarest term.
+    With a slop, each term may stand so many places from where the phrase has it, counted from its rarest term, and all stand
+    within as many words as the phrase has and the slop; the span then goes from the first to the last of them.
     """
     if slop >= GAP // 2:
         raise ValueError(f"the slop must be below {GAP // 2}")
@@ -183,7 +215,11 @@ def _searcher(told, slop: int, kind: str):
         for item, phrase in told.value:
             if any(t not in where for t in phrase):
                 continue
-            starts = _near([where[t] for t in phrase], list(range(len(phrase))), slop)
+            if slop:
+                for d, start, end in zip(*(x.tolist() for x in _near(phrase, where, slop, first, n_words)), strict=True):
+                    spans.setdefault((d, item), []).append((start - int(first[d]), end + 1 - int(first[d])))
+                continue
+            starts = _starts([where[t] for t in phrase], list(range(len(phrase))))
             for at, d in zip(starts.tolist(), (np.searchsorted(first, starts, side="right") - 1).tolist(), strict=True):
                 a = max(0, at - int(first[d]))
                 spans.setdefault((d, item), []).append((a, min(int(n_words[d]), at - int(first[d]) + len(phrase))))
