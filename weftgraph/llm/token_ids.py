@@ -24,7 +24,7 @@ text of any length is encoded whole and ends up in one block.
 from __future__ import annotations
 
 import os
-import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -32,11 +32,13 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, bound_batches
-from .pieces import Remembered
+from .pieces import Remembered, cut, text_bytes
+from .wordhash import chunks
 
 COUNTS = np.array([1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([64, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
@@ -45,6 +47,8 @@ LANE = 256
 _WIDTHS = np.array([1 << b for b in BITS[1:].tolist()], np.uint64)
 #: A block is closed after the document with which it reaches so many ids.
 BLOCK_IDS = 1 << 16
+#: Bytes of text whose pieces are looked up together, one text at least.
+ENCODED_AT_ONCE = 4 << 20
 
 BLOCKS = "shard int, block int, start long, doc_ids array<long>, lengths array<int>, lanes array<int>, words binary, escapes binary"
 
@@ -111,13 +115,76 @@ def unpack(words: np.ndarray, escapes: np.ndarray) -> np.ndarray:
     return out
 
 
-#: Splits text as the byte-level vocabulary does. Used on texts of PLAIN characters alone, on which engines of patterns agree.
-SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zªµºÀ-ÖØ-öø-ʯ]+| ?[0-9²³¹¼-¾]+| ?[^\sA-Za-zªµºÀ-ÖØ-öø-ʯ0-9²³¹¼-¾]+|\s+(?!\S)|\s+")
-PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-¬®-ʯ‐-‧]*")
+LETTER, NUMBER, SPACE, OTHER, ODD = range(5)
+
+
+def _kinds() -> tuple[np.ndarray, np.ndarray]:
+    """Kinds of single bytes, and of characters of two bytes below U+02B0, on which all versions of Unicode agree."""
+    byte = np.full(256, ODD, np.uint8)
+    byte[[9, 10, 13, 32]] = SPACE
+    byte[0x21:0x7F] = OTHER
+    by_category = {"L": LETTER, "N": NUMBER, "Z": ODD, "C": ODD}
+    char = np.array([by_category.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x2B0)], np.uint8)
+    for first, last in (("0", "9"), ("A", "Z"), ("a", "z")):
+        byte[ord(first) : ord(last) + 1] = char[ord(first)]
+    return byte, np.append(char, np.full(0x800 - 0x2B0, ODD, np.uint8))
+
+
+_BYTE_KIND, _CHAR_KIND = _kinds()
+
+
+def kinds(data: np.ndarray) -> np.ndarray:
+    """For every byte, the kind of its character. ODD ones are left to the library, as are texts that hold them."""
+    kind = _BYTE_KIND[data]
+    for least, most, extra in ((0xC2, 0xDF, 1), (0xE2, 0xE2, 2)):
+        at = np.flatnonzero((data >= least) & (data <= most))
+        if len(at):
+            second = data[at + 1].astype(np.int64)
+            if extra == 1:
+                of = _CHAR_KIND[((data[at].astype(np.int64) & 0x1F) << 6) | (second & 0x3F)]
+            else:  # U+2010 to U+2027: dashes, quotes, bullets and dots
+                third = data[at + 2]
+                of = np.where((second == 0x80) & (third >= 0x90) & (third <= 0xA7), OTHER, ODD).astype(np.uint8)
+            for k in range(extra + 1):
+                kind[at + k] = of
+    return kind
+
+
+def piece_starts(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Where the pieces begin into which the byte-level vocabulary splits texts before it merges.
+
+    A piece is a run of letters, of digits or of other characters, with one space before
+    it, or white space: a run of it up to the last one before something else, or that last
+    one if it isn't a space. An apostrophe that begins a piece takes s, t, m, d, re, ve or
+    ll along, and nothing more.
+    """
+    n = len(data)
+    head = np.zeros(n + 1, bool)  # of a text
+    head[offsets] = True
+    start = head[:n].copy()
+    start[1:] |= kind[1:] != kind[:-1]
+    white = kind == SPACE
+    last = np.flatnonzero(white[:-1] & ~white[1:] & ~head[1:n])
+    start[last] = True
+    start[last[data[last] == 0x20] + 1] = False
+    quote = np.flatnonzero((data == 0x27) & start)
+    quote = quote[~head[quote + 1]]
+    if len(quote):
+        after = np.append(data, [0, 0])
+        one, two = after[quote + 1], after[quote + 2]
+        width = np.isin(one, np.frombuffer(b"stmd", np.uint8)).astype(np.int64)
+        for pair in (b"re", b"ve", b"ll"):
+            width[(one == pair[0]) & (two == pair[1]) & ~head[quote + 2]] = 2
+        quote, width = quote[width > 0], width[width > 0]
+        start[quote + 1] = False
+        then = quote + width + 1
+        then = then[then < n]
+        start[then[kind[then] == LETTER]] = True
+    return np.flatnonzero(start)
 
 
 class Encoder(Remembered):
-    """Texts to ids with the tokenizers library. A text of other than plain characters, or with a special token's string, is encoded as a whole."""
+    """Texts to ids with the tokenizers library. A text of odd characters, or with a special token's string, is encoded as a whole."""
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
@@ -128,44 +195,50 @@ class Encoder(Remembered):
         self.opens_word = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)  # ids whose bytes begin with a space
         self.opens_word[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("Ġ")]] = True
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, pieces: list[str]) -> None:
-        """Words of a space and letters are encoded as one text, as that splits before each space again."""
-        plain = [p[0] == " " and p[1:].isalpha() for p in pieces]
-        for kind, encode in ((True, self.encode_words), (False, self.encode_each)):
-            if some := [p for p, k in zip(pieces, plain, strict=True) if k == kind]:
-                self.encode_pieces = encode
-                super().learn(some)
-
-    def encode_words(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.array(self.encode(["".join(pieces)])[0], np.uint32)
-        first = np.flatnonzero(self.opens_word[ids])
-        if len(first) != len(pieces):  # a vocabulary that doesn't keep the spaces apart
-            return self.encode_each(pieces)
-        return ids, np.diff(first, append=len(ids))
-
-    def encode_each(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = self.encode(pieces)
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths
 
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words of a space and letters are encoded as one text, as that splits before each space again; others one by one."""
+        words = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
+        ids = np.fromiter(self.tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, np.uint32) if words else np.zeros(0, np.uint32)
+        first = np.flatnonzero(self.opens_word[ids])
+        if len(first) != len(words):  # a vocabulary that doesn't keep the spaces apart
+            return self.encode(pieces)
+        if len(words) == len(pieces):
+            return ids, np.diff(first, append=len(ids))
+        word = np.fromiter((p[0] == " " and p[1:].isalpha() for p in pieces), bool, len(pieces))
+        other_ids, other_sizes = self.encode([p for p, w in zip(pieces, word.tolist(), strict=True) if not w])
+        sizes = np.zeros(len(pieces), np.int64)
+        sizes[word], sizes[~word] = np.diff(first, append=len(ids)), other_sizes
+        of_word, flat = np.repeat(word, sizes), np.zeros(len(ids) + len(other_ids), np.uint32)
+        flat[of_word], flat[~of_word] = ids, other_ids
+        return flat, sizes
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and how many each has."""
-        plain = [bool(PLAIN.fullmatch(t)) and not any(s in t for s in self.special) for t in texts]
-        pieces: list[str] = []
-        counts = []
-        for text, ok in zip(texts, plain, strict=True):
-            got = SPLIT.findall(text) if ok else ()
-            pieces += got
-            counts.append(len(got))
-        flat, lengths = self.look_up(pieces, counts)
-        if all(plain):
-            return flat, lengths
-        others = iter(self.encode([t for t, ok in zip(texts, plain, strict=True) if not ok]))
-        parts = [flat[e - n : e] if ok else np.array(next(others), np.uint32) for ok, e, n in zip(plain, np.cumsum(lengths), lengths, strict=True)]
-        return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+        data, offsets = text_bytes(texts)
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        kind = kinds(data)
+        whole = np.zeros(len(texts), bool)
+        for special in self.special:
+            whole |= pc.fill_null(pc.match_substring(texts, special), False).to_numpy(zero_copy_only=False)
+        whole[np.searchsorted(offsets, np.flatnonzero(kind == ODD), side="right") - 1] = True
+        if whole.any():
+            return self.some_whole(texts, whole)
+        starts = piece_starts(data, offsets, kind)
+        return self.look_up(cut(data, starts), np.diff(np.searchsorted(starts, offsets)))
+
+    def some_whole(self, texts: pa.Array, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lengths = np.zeros(len(texts), np.int64)
+        ids, lengths[whole] = self.encode(texts.filter(pa.array(whole)).to_pylist())
+        rest, lengths[~whole] = self(texts.filter(pa.array(~whole)))
+        from_whole, flat = np.repeat(whole, lengths), np.zeros(len(ids) + len(rest), np.uint32)
+        flat[from_whole], flat[~from_whole] = ids, rest
+        return flat, lengths
 
 
 _encoders: dict[str, Encoder] = {}
@@ -198,21 +271,20 @@ def write_ids(docs: DataFrame, path: str, tokenizer_file: str, end_id: int | Non
         doc_ids, lengths, ids = [], [], []
         encode = encoder(vocabulary.value)
         for batch in batches:
-            for i in range(0, batch.num_rows, 128):
-                part = batch.slice(i, 128)
-                flat, n = encode([t or "" for t in part.column(1).to_pylist()])
+            for part in chunks(batch, "text", ENCODED_AT_ONCE):
+                flat, n = encode(part.column(1))
                 if end_id is not None:
                     flat, n = np.insert(flat, np.cumsum(n), end_id), n + 1
-                cut = 0
+                done = 0
                 while len(n):
                     # up to the document with which the block is full
                     most = int(np.searchsorted(held + np.cumsum(n), BLOCK_IDS)) + 1
                     took = int(n[:most].sum())
-                    doc_ids.append(part.column(0).to_numpy(zero_copy_only=False)[cut : cut + most])
+                    doc_ids.append(part.column(0).to_numpy(zero_copy_only=False)[done : done + most])
                     lengths.append(n[:most].astype(np.int32))
                     ids.append(flat[:took])
                     held += took
-                    cut, flat, n = cut + most, flat[took:], n[most:]
+                    done, flat, n = done + most, flat[took:], n[most:]
                     if held >= BLOCK_IDS:
                         yield _block(shard, block, start, doc_ids, lengths, ids)
                         block, start, held = block + 1, start + held, 0

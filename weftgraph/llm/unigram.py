@@ -23,17 +23,17 @@ are encoded whole. Row order, repeated rows and other columns don't matter.
 from __future__ import annotations
 
 import hashlib
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches
-from .pieces import Remembered
+from .pieces import Remembered, cut, text_bytes
 from .wordhash import chunks
 
 MARK = "▁"
@@ -135,7 +135,7 @@ class Unigram(Remembered):
 
     def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Viterbi over all words side by side: step p settles the p-th byte of every word."""
-        raw = [p.encode("utf-8", "replace") for p in pieces]
+        raw = [p.replace(" ", MARK).encode("utf-8", "replace") for p in pieces]
         size = np.fromiter(map(len, raw), np.int64, len(raw))
         data = np.frombuffer(b"".join(raw), np.uint8).astype(np.int32)
         first = np.cumsum(size) - size
@@ -192,28 +192,22 @@ class Unigram(Remembered):
         ids = np.where(np.repeat(odd, width), self.byte_ids[data[np.minimum(byte_at, len(data) - 1)]], ids)
         return ids.astype(np.uint32), np.bincount(np.repeat(words, width), minlength=len(raw))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and how many each has."""
-        pieces: list[str] = []
-        counts = []
-        for text in texts:
-            if not text:
-                counts.append(0)
-                continue
-            text = " " + text.replace(MARK, " ")
-            got = re.findall(" *[^ ]+| +", text) if self.by_words else [text]
-            pieces += got
-            counts.append(len(got))
-        return self.look_up(pieces, counts)
-
-    def learn(self, pieces: list[str]) -> None:
-        marked = [p.replace(" ", MARK) for p in pieces]
-        ids, lengths = self.encode_pieces(marked)
-        keep, self.encode_pieces = self.encode_pieces, lambda _: (ids, lengths)
-        try:
-            super().learn(pieces)
-        finally:
-            self.encode_pieces = keep
+        empty, space = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
+        spaced = pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), empty), MARK, " ")
+        marked = pc.if_else(pc.equal(spaced, empty), empty, pc.binary_join_element_wise(space, spaced, empty))
+        data, offsets = text_bytes(marked)
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        begins = np.zeros(len(data) + 1, bool)
+        begins[offsets] = True
+        begins = begins[:-1]
+        if self.by_words:
+            space = data == 0x20
+            begins[1:] |= space[1:] & ~space[:-1]
+        starts = np.flatnonzero(begins)
+        return self.look_up(cut(data, starts), np.diff(np.searchsorted(starts, offsets)))
 
     def decode(self, flat: np.ndarray, lengths: np.ndarray) -> list[str]:
         """Texts of ids, of which text i has lengths[i]."""
@@ -247,7 +241,7 @@ def encode_decode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
         for batch in batches:
             for part in chunks(batch, "text", CHUNK):
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                flat, lengths = unigram.encode(texts)
+                flat, lengths = unigram.encode(part.column(1))
                 decoded = unigram.decode(flat, lengths)
                 offsets = np.concatenate([[0], np.cumsum(lengths)])
                 raw = memoryview(flat.astype("<u4").tobytes())
