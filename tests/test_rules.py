@@ -13,7 +13,7 @@ def test_code_elements(spark):
 
 def test_changes_and_arithmetic(spark):
     row = spark.range(1).select(
-        U.may_change(F.lit("New"), F.lit("Stable")).alias("a"), U.may_change(F.lit("Candidate"), F.lit("Stable")).alias("b"), U.may_change(F.lit("Deprecated"), F.lit("New")).alias("c"),
+        U.may_change(U.LIFECYCLE_CHANGES, F.lit("New"), F.lit("Stable")).alias("a"), U.may_change(U.LIFECYCLE_CHANGES, F.lit("Candidate"), F.lit("Stable")).alias("b"), U.may_change(U.LIFECYCLE_CHANGES, F.lit("Deprecated"), F.lit("New")).alias("c"),
         U.compute(F.lit("DIVIDE"), F.lit(1.0), F.lit(0.0)).alias("d"), U.compute(F.lit("PERIMETER"), F.lit(2.0), F.lit(3.0)).alias("e"), U.errors({"x": F.lit(True), "y": F.lit(False)}).alias("f"),
     ).first()
     assert tuple(row) == (False, True, False, None, 10.0, "x")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,13 +46,33 @@ def decayed(lifecycle: Column, confidence: Column, factor: Column) -> tuple[Colu
     return state, F.when(still, confidence).otherwise(now)
 
 
-#: Lifecycle and epistemic state that a row of some origin starts with.
-FIRST_STATES = {"UserInput": ("Candidate", "Observed"), "Corpus": ("New", "Inferred")}
+#: Type and provenance of a composition (None for any type), and the lifecycle and epistemic state that it starts with; the first that fits.
+FIRST_STATES = (
+    ("Event", "FrameCompiler", "New", "Observed"),
+    ("Event", "ExtractionRepair", "Candidate", "Observed"),
+    ("Event", "EnrichmentFeedback", "Candidate", "Observed"),
+    ("HiddenMeaning", "HiddenMeaningRule", "Candidate", "Inferred"),
+    ("HiddenMeaning", "EnrichmentFeedback", "Candidate", "Inferred"),
+    ("Pattern", "PatternMining", "Candidate", "Inferred"),
+    ("Hypothesis", "Abductive", "Quarantine", "Hypothesis"),
+    ("Acquisition", "AcquisitionRecall", "Stable", "Grounded"),
+    ("Acquisition", "AcquisitionSelfStudy", "Quarantine", "Inferred"),
+    ("Acquisition", "AcquisitionUserAnswer", "Candidate", "Observed"),
+    ("Acquisition", "HumanAssertion", "Stable", "Grounded"),
+    (None, "HumanAssertion", "Candidate", "Grounded"),
+)
+OTHER_FIRST_STATES = ("New", "Observed")
+
 
+def initial_states(comp_type: Column, provenance: Column) -> tuple[Column, Column]:
+    def pick(k: int) -> Column:
+        chosen = None
+        for kind, source, *states in FIRST_STATES:
+            fits = (provenance == source) if kind is None else (comp_type == kind) & (provenance == source)
+            chosen = F.when(fits, states[k]) if chosen is None else chosen.when(fits, states[k])
+        return chosen.otherwise(OTHER_FIRST_STATES[k])
 
-def initial_states(origin: Column) -> tuple[Column, Column]:
-    pick = lambda k, default: reduce(lambda c, item: c.when(origin == item[0], item[1][k]), list(FIRST_STATES.items())[1:], F.when(origin == next(iter(FIRST_STATES)), next(iter(FIRST_STATES.values()))[k])).otherwise(default)
-    return pick(0, "New"), pick(1, "Observed")
+    return pick(0), pick(1)
 
 
 def promotable_to_stable(age: Column, confidence: Column, sound_members: Column, contradicted: Column, seed: Column) -> Column:
@@ -74,9 +92,27 @@ def frame_quality(agent: Column, patient: Column, confidence: Column) -> Column:
     return F.when((confidence >= 0.70) & agent & patient, "High").when((confidence >= 0.45) & (agent | patient), "Moderate").when(confidence >= 0.3, "Low").otherwise("Failed")
 
 
+#: Heads of sentences by lifecycle and epistemic state (None for any), the first that fits; stable, grounded ones above 0.8 have none.
+QUALIFIERS = (
+    ("Stable", "Grounded", "Tampaknya, "),
+    ("Candidate", "Inferred", "Berdasarkan analisis, "),
+    ("New", "Observed", "Berdasarkan observasi, "),
+    (None, "Hypothesis", "Kemungkinan besar, "),
+    (None, "Contradicted", "Meskipun ada kontradiksi, "),
+    ("Quarantine", None, "Perlu ditinjau kembali, "),
+    ("Deprecated", None, "Sebelumnya diyakini, "),
+)
+OTHER_QUALIFIER = "Kemungkinan, "
+
+
 def qualified(sentence: Column, lifecycle: Column, epistemic: Column, confidence: Column) -> Column:
-    head = F.when(epistemic == "Contradicted", "It is disputed that ").when(lifecycle == "Quarantine", "It is doubtful that ").when(confidence < 0.4, "It may be that ").when(epistemic == "Inferred", "It follows that ").otherwise("")
-    return F.concat(head, sentence)
+    """A sentence after the first head that fits its state."""
+    fits = lambda state, kind: (True if state is None else lifecycle == state, True if kind is None else epistemic == kind)
+    head = F.when((lifecycle == "Stable") & (epistemic == "Grounded") & (confidence > 0.8), "")
+    for state, kind, text in QUALIFIERS:
+        a, b = fits(state, kind)
+        head = head.when(F.lit(True) & a & b, text)
+    return F.concat(head.otherwise(OTHER_QUALIFIER), sentence)
 
 
 def dot(a: Column, b: Column) -> Column:

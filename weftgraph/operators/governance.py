@@ -16,7 +16,8 @@ def decay(comps: DataFrame, members: DataFrame, current: int) -> DataFrame:
 
 
 def first_states(comps: DataFrame) -> DataFrame:
-    lifecycle, epistemic = S.initial_states(F.col("origin"))
+    """comp_id, comp_type, provenance to the states that a composition starts with."""
+    lifecycle, epistemic = S.initial_states(F.col("comp_type"), F.col("provenance"))
     return comps.select("comp_id", lifecycle.alias("first_lifecycle"), epistemic.alias("first_epistemic"))
 
 
@@ -38,16 +39,43 @@ def resolutions(comps: DataFrame) -> DataFrame:
     return comps.where(n > 0).select("comp_id", told.alias("resolved"))
 
 
-#: Roles that a composition of each type should have.
-EXPECTED = {"Event": ("Agent", "Patient", "Cause"), "Situation": ("Agent", "Location"), "Pattern": ("Agent", "Purpose"), "HiddenMeaning": ("Agent", "SourceEvent")}
-
-
-def role_gaps(comps: DataFrame, members: DataFrame) -> DataFrame:
-    """comp_id, role for each expected role that no member plays."""
-    wanted = F.create_map(*[x for t, roles in EXPECTED.items() for x in (F.lit(t), F.array(*[F.lit(r) for r in roles]))])[F.col("comp_type")]
-    held = members.groupBy("comp_id").agg(F.collect_set("role").alias("roles"))
-    lacking = F.array_except(wanted, F.coalesce("roles", F.array()))
-    return comps.join(held, "comp_id", "left").select("comp_id", F.explode(lacking).alias("role"))
+#: Roles by which a composition of a type counts as complete, and how: all of them, any of them, or a number of members.
+COMPLETE = {
+    "Event": ("all", ("Predicate", "Agent", "Patient")),
+    "HiddenMeaning": ("any", ("Problem", "Solution")),
+    "Pattern": ("all", ("Antecedent", "Consequent")),
+    "Hypothesis": ("members", 2),
+    "Situation": ("members", 2),
+    "Acquisition": ("members", 1),
+    "Morphology": ("all", ("MorphRoot", "MorphDerivedForm")),
+    "EquativeBinding": ("all", ("Subject", "Complement")),
+    "PossessiveBinding": ("all", ("Possessor", "Possession")),
+    "DisambiguatedSense": ("all", ("SenseTarget", "SelectedSense")),
+    "UsageProbe": ("members", 1),
+    "Correction": ("members", 1),
+}
+#: Roles of which a share of 0.05 is given, by type and number expected; other types count members up to two.
+BONUS_ROLES = {"Event": (4, ("Predicate", "Agent", "Patient", "Cause")), "HiddenMeaning": (3, ("PatternType", "Problem", "Solution")), "Pattern": (3, ("PatternType", "Antecedent", "Consequent"))}
+
+
+def completeness(comps: DataFrame, members: DataFrame) -> DataFrame:
+    """Whether a composition has what its type needs, and its bonus: 0.05 of its members in the type's roles over the number expected, of which there may be more."""
+    counts = {t: F.count_if(F.col("role").isin(*roles)).alias(f"n_{t}") for t, (_, roles) in BONUS_ROLES.items()}
+    held = members.groupBy("comp_id").agg(F.collect_set("role").alias("roles"), F.count("*").alias("n"), *counts.values())
+    rows = comps.select("comp_id", "comp_type").join(held, "comp_id", "left").withColumns({"roles": F.coalesce("roles", F.array().cast("array<string>")), "n": F.coalesce("n", F.lit(0))})
+    complete, bonus = F.lit(False), 0.05 * F.least("n", F.lit(2)) / 2
+    has = lambda r: F.array_contains("roles", F.lit(r))
+    for kind, (how, what) in COMPLETE.items():
+        if how == "members":
+            fits = F.col("n") >= what
+        elif how == "all":
+            fits = F.forall(F.array(*[F.lit(r) for r in what]), lambda r: F.array_contains("roles", r))
+        else:
+            fits = F.exists(F.array(*[F.lit(r) for r in what]), lambda r: F.array_contains("roles", r)) | (has("PatternType") & (F.col("n") >= 2))
+        complete = F.when(F.col("comp_type") == kind, fits).otherwise(complete)
+    for kind, (expected, _) in BONUS_ROLES.items():
+        bonus = F.when(F.col("comp_type") == kind, 0.05 * F.coalesce(f"n_{kind}", F.lit(0)) / expected).otherwise(bonus)
+    return rows.select("comp_id", complete.alias("complete"), F.round(bonus, 6).alias("bonus"))
 
 
 def isolated(comps: DataFrame, members: DataFrame) -> DataFrame:
@@ -57,11 +85,6 @@ def isolated(comps: DataFrame, members: DataFrame) -> DataFrame:
     return comps.join(shared, "comp_id", "left_anti").select("comp_id")
 
 
-def grounding_gaps(comps: DataFrame) -> DataFrame:
-    kind = F.when((F.col("epistemic") == "Inferred") & (F.col("confidence") < 0.5), "LowGrounding").when(F.col("epistemic") == "Contradicted", "Contradicted")
-    return comps.withColumn("gap", kind).where("gap IS NOT NULL").select("comp_id", "gap")
-
-
 def cognitive_mode(comps: DataFrame, by: str) -> DataFrame:
     """Reflective with three contradicted rows or more, analytical with any or a mean confidence under one half, else reactive."""
     one = comps.groupBy(by).agg(F.count_if(F.col("epistemic") == "Contradicted").alias("contradicted"), F.avg("confidence").alias("c"))

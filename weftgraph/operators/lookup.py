@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 #: Role names that a search may ask for, with the names that stand for them.
 ROLE_NAMES = {"agent": "Agent", "patient": "Patient", "instrument": "Instrument", "purpose": "Purpose", "cause": "Cause", "location": "Location", "time": "Time", "tool": "Instrument", "goal": "Purpose"}
 
-#: Trust by kind of source.
-TRUST = {"UserInput": 0.9, "Corpus": 0.7, "Bootstrap": 0.5}
+#: Trust by kind of source; any other kind counts as unknown.
+TRUST = {"user_input": 1.0, "web_search": 0.7, "academic": 0.9, "official_doc": 0.95, "wiki": 0.75, "social_media": 0.3, "unknown": 0.5}
 
 
 def by_concept(comps: DataFrame, members: DataFrame, concept: str) -> DataFrame:
@@ -100,7 +100,7 @@ def injectable(lifecycle: Column, epistemic: Column, confidence: Column, least:
 
 
 def trust(source: Column) -> Column:
-    return F.coalesce(F.create_map(*[F.lit(x) for pair in TRUST.items() for x in pair])[source], F.lit(0.3))
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in TRUST.items() for x in pair])[source], F.lit(TRUST["unknown"]))
 
 
 def role_candidates(members: DataFrame, role: str) -> DataFrame:
@@ -123,14 +123,26 @@ def recent_fillers(comps: DataFrame, members: DataFrame, limit: int = 10) -> Dat
     return first.select("comp_id", "node_id", F.when(F.col("rank") == 0, 0.6).otherwise(0.5).alias("score"))
 
 
-def graph_context(members: DataFrame, nodes_of: DataFrame, hub_limit: int) -> DataFrame:
-    """For the compositions asked about (comp_id): how many members others give that share a node with them, by role, at 0.7 of their confidence.
+def graph_context(members: DataFrame, asked: DataFrame) -> DataFrame:
+    """For the compositions asked about (comp_id): by role, their own members at full confidence, and those of every other one that shares a node with them, at 0.7, but for shared nodes.
 
-    Nodes in more compositions than ``hub_limit`` say little about any of them and don't link.
+    Up to 32 compositions asked about share a row, a bit each, so memberships are joined twice for all of them and no pair of
+    compositions is made. What shared nodes give is taken off again by node, as every composition that holds one counts.
     """
-    own = members.join(nodes_of, "comp_id", "left_semi")
-    degree = members.groupBy("node_id").agg(F.count_distinct("comp_id").alias("d")).where(F.col("d") <= hub_limit)
-    link = own.select(F.col("comp_id").alias("asked"), "node_id").distinct().join(degree, "node_id")
-    other = link.join(members.select("node_id", "comp_id").distinct(), "node_id").where("asked <> comp_id").select("asked", "comp_id").distinct()
-    lent = other.join(members, "comp_id").groupBy("asked", "role").agg(F.count("*").alias("n"), F.round(F.sum(0.7 * F.col("confidence")), 4).alias("weight"))
-    return lent.select(F.col("asked").alias("comp_id"), "role", "n", "weight")
+    names, own = asked.select("comp_id").distinct(), members.join(asked.select("comp_id").distinct(), "comp_id", "left_semi")
+    buckets = max(1, names.count() // 4096)
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("comp_id")) - 1
+    numbered = names.withColumn("bucket", F.pmod(F.xxhash64("comp_id"), F.lit(buckets))).select("comp_id", (F.col("bucket") * (1 << 32) + F.floor(place / 32)).alias("block"), (place % 32).alias("lane"))
+    source = members.select("node_id", "comp_id").distinct()
+    bits = own.join(numbered, "comp_id").groupBy("block", "node_id").agg(F.bit_or(F.expr("shiftleft(1L, lane)")).alias("bits"))
+    reached = bits.join(source, "node_id").groupBy("block", "comp_id").agg(F.bit_or("bits").alias("bits"))
+    profile = members.groupBy("comp_id", "role").agg(F.count("*").alias("n"), F.sum("confidence").alias("w"))
+    lanes = [F.expr(f"{f} AS {c}{i}") for i in range(32) for c, f in (("n", f"sum(if(bits & {1 << i} != 0, n, 0))"), ("w", f"sum(if(bits & {1 << i} != 0, w, 0D))"))]
+    sums = reached.join(profile, "comp_id").groupBy("block", "role").agg(*lanes)
+    flat = sums.selectExpr("block", "role", f"posexplode(array({', '.join(f'struct(n{i} AS n, w{i} AS w)' for i in range(32))})) AS (lane, s)").where("s.n > 0")
+    total = flat.join(numbered, ["block", "lane"]).select("comp_id", "role", F.col("s.n").alias("n"), (0.7 * F.col("s.w")).alias("w"))
+    # others' members that are its own nodes: all that such a node plays anywhere but in the composition itself, whose own profile the sums hold too
+    plays = members.groupBy("node_id", "role").agg(F.count("*").alias("n"), F.sum("confidence").alias("w"))
+    shared = own.select("comp_id", "node_id").distinct().join(plays, "node_id").select("comp_id", "role", (-F.col("n")).alias("n"), (-0.7 * F.col("w")).alias("w"))
+    first = own.select("comp_id", "role", F.lit(1).cast("long").alias("n"), F.col("confidence").alias("w"))
+    return total.unionAll(shared).unionAll(first).groupBy("comp_id", "role").agg(F.sum("n").alias("n"), F.round(F.sum("w"), 4).alias("weight")).where("n > 0")

@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Lifecycle states that each state may change to.
-CHANGES = {"New": ("Candidate", "Deprecated"), "Candidate": ("Stable", "Quarantine", "Deprecated"), "Stable": ("Candidate", "Quarantine", "Deprecated"), "Quarantine": ("Candidate", "Deprecated"), "Deprecated": ()}
+#: Lifecycle and epistemic states that each state may change to.
+LIFECYCLE_CHANGES = {"New": ("New", "Candidate", "Deprecated"), "Candidate": ("Candidate", "Stable", "Deprecated"), "Stable": ("Stable", "Deprecated"), "Deprecated": ("Deprecated", "Candidate")}
+EPISTEMIC_CHANGES = {"Observed": ("Observed", "Inferred", "Grounded", "Contradicted"), "Inferred": ("Inferred", "Grounded", "Contradicted"), "Grounded": ("Grounded", "Contradicted"), "Contradicted": ("Contradicted", "Grounded")}
 
 
 def neighbour_contradictions(rows: DataFrame, keys: list[str], order: list[str], polarity: Column, purpose: str) -> DataFrame:
@@ -28,25 +29,12 @@ def hidden_conflicts(hidden: DataFrame, events: DataFrame) -> DataFrame:
     return both.select("comp_id", "source", kind.alias("conflict"))
 
 
-def acquisition(comps: DataFrame) -> DataFrame:
-    """How to learn more of a composition, and the question to ask."""
-    asked = F.col("epistemic") == "Contradicted"
-    way = F.when(asked, "AskUser").when((F.col("confidence") >= 0.6) & (F.size("contradictions") == 0), "PassiveRecall").when(F.col("confidence") >= 0.3, "ReExtraction").otherwise("Defer")
-    text = F.format_string("%s %d?", F.when(asked, "Which is right about").otherwise("What is known of"), F.col("comp_id"))
-    return comps.select("comp_id", way.alias("strategy"), text.alias("question"))
-
-
-def completeness(members: DataFrame) -> DataFrame:
-    roles = members.groupBy("comp_id").agg(F.collect_set("role").alias("roles"))
-    return roles.select("comp_id", (F.array_contains("roles", "Agent") & F.array_contains("roles", "Patient")).alias("complete"), F.round(F.least(F.lit(0.2), 0.05 * F.size("roles")), 6).alias("bonus"))
-
-
 def compute(op: Column, a: Column, b: Column) -> Column:
     return F.when(op == "ADD", a + b).when(op == "SUBTRACT", a - b).when(op == "MULTIPLY", a * b).when((op == "DIVIDE") & (b != 0), a / b).when(op == "PERIMETER", 2 * (a + b)).when(op == "SQUARE_AREA", a * a)
 
 
-def may_change(state: Column, to: Column) -> Column:
-    allowed = F.create_map(*[x for s, t in CHANGES.items() for x in (F.lit(s), F.array(*[F.lit(v) for v in t]).cast("array<string>"))])
+def may_change(changes: dict[str, tuple[str, ...]], state: Column, to: Column) -> Column:
+    allowed = F.create_map(*[x for s, t in changes.items() for x in (F.lit(s), F.array(*[F.lit(v) for v in t]).cast("array<string>"))])
     return F.coalesce(F.array_contains(allowed[state], to), F.lit(False))
 
 
@@ -189,15 +177,23 @@ def role_sets(comps: DataFrame, members: DataFrame) -> DataFrame:
     return n.withColumn("pairs", F.floor(F.col("n") * (F.col("n") - 1) / 2))
 
 
-def overlap_findings(comps: DataFrame, members: DataFrame, role: str, hub_limit: int) -> DataFrame:
-    """Pairs of one type that share more than half of the smaller one's nodes of a role; nodes of more than ``hub_limit`` compositions don't link."""
+def overlap_findings(comps: DataFrame, members: DataFrame, role: str) -> DataFrame:
+    """Pairs of one type that share more than half of the smaller one's nodes of a role.
+
+    Of s nodes, in the order of the rarest first, such a pair shares one of the smaller one's first s - s // 2, whatever the
+    rest; so these alone meet the larger ones, and pairs that meet are then counted whole. A frequent node links only where a
+    composition has nothing rarer to offer.
+    """
     rows = members.where(F.col("role") == role).select("comp_id", "node_id").distinct()
-    size = rows.groupBy("comp_id").agg(F.count("*").alias("size"))
-    small = rows.groupBy("node_id").agg(F.count("*").alias("d")).where(F.col("d").between(2, hub_limit)).select("node_id")
-    flat = rows.join(small, "node_id").join(size, "comp_id").join(comps.select("comp_id", "comp_type"), "comp_id")
-    one, two = (flat.select("node_id", "comp_type", F.col("comp_id").alias(c), F.col("size").alias(f"s{c}")) for c in ("a", "b"))
-    shared = one.join(two, ["node_id", "comp_type"]).where("a < b").groupBy("comp_type", "a", "b", "sa", "sb").agg(F.count("*").alias("shared"))
-    return shared.where(F.col("shared") * 2 > F.least("sa", "sb")).select("comp_type", "a", "b", "shared")
+    often = rows.groupBy("node_id").agg(F.count("*").alias("d"))
+    nodes = rows.join(often, "node_id").groupBy("comp_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "node_id"))), lambda x: x["node_id"]).alias("nodes"))
+    sets = nodes.join(comps.select("comp_id", "comp_type"), "comp_id").select("comp_type", "comp_id", "nodes", F.size("nodes").alias("size"))
+    few = sets.select("comp_type", F.col("comp_id").alias("x"), F.col("size").alias("sx"), F.explode(F.slice("nodes", 1, F.col("size") - F.floor(F.col("size") / 2).cast("int"))).alias("node_id"))
+    all_ = sets.select("comp_type", F.col("comp_id").alias("y"), F.col("size").alias("sy"), F.explode("nodes").alias("node_id"))
+    met = few.join(all_, ["comp_type", "node_id"]).where("sx < sy OR (sx = sy AND x <> y)").select("x", "y").distinct()
+    told = met.join(sets.select(F.col("comp_id").alias("x"), "comp_type", F.col("nodes").alias("nx")), "x").join(sets.select(F.col("comp_id").alias("y"), F.col("nodes").alias("ny")), "y")
+    counted = told.select("comp_type", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.size("nx").alias("sx"), F.size(F.array_intersect("nx", "ny")).cast("long").alias("shared"))
+    return counted.where(F.col("shared") * 2 > F.col("sx")).select("comp_type", "a", "b", "shared").distinct()
 
 
 def seed_cooccurrence(members: DataFrame, seeds: list[str]) -> DataFrame:
@@ -213,10 +209,14 @@ def scope_report(rows: DataFrame, by: str, inside: Column) -> DataFrame:
     return n.withColumn("coverage", F.round(F.col("inside") / F.col("n"), 6))
 
 
-def adjustment(rows: DataFrame, key: str, helped: Column, weight: Column) -> DataFrame:
-    """Sum of weights of what helped less those of what didn't, within -0.15 and 0.05."""
-    total = F.sum(F.when(helped, weight).otherwise(-weight))
-    return rows.groupBy(key).agg(F.round(F.greatest(F.lit(-0.15), F.least(F.lit(0.05), total)), 6).alias("adjustment"))
+#: The most that what failed takes off and what helped adds, and the least similarity that counts.
+FAILURE, SUCCESS, SIMILAR = 0.15, 0.05, 0.5
+
+
+def adjustment(rows: DataFrame, key: str, helped: Column, similarity: Column, least: float = SIMILAR) -> DataFrame:
+    """0.05 of the similarity of every episode that helped less 0.15 of each that failed, of those similar enough, within -0.15 and 0.05."""
+    counts = F.when(similarity < least, 0.0).when(helped, SUCCESS * similarity).otherwise(-FAILURE * similarity)
+    return rows.groupBy(key).agg(F.round(F.greatest(F.lit(-FAILURE), F.least(F.lit(SUCCESS), F.sum(counts))), 6).alias("adjustment"))
 
 
 def active(rows: DataFrame, last: str, as_of: Column, limit_seconds: float) -> DataFrame:

@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions import scores as S
+from weftgraph.operators import acquisition as Q
 from weftgraph.operators import aggregates as A
 from weftgraph.operators import governance as G
 from weftgraph.operators import graph as R
 from weftgraph.operators import lookup as L
 from weftgraph.operators import pairs as P
-from weftgraph.sources.tables import compositions, edges, members, table, with_sql
+from weftgraph.sources.scratch import kept
+from weftgraph.sources.tables import compositions, edges, members, table, typed_members, with_sql
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -123,11 +125,11 @@ def ambiguous_fillers(spark, d):
     return L.recent_fillers(compositions(spark, d), members(spark, d))
 
 
-@query(f"""{CM}, deg AS (SELECT node_id FROM members GROUP BY node_id HAVING count(DISTINCT comp_id) <= 200), asked AS (SELECT comp_id FROM comps WHERE comp_id % 100 = 0),
-    link AS (SELECT DISTINCT comp_id AS asked, node_id FROM members JOIN asked USING (comp_id) JOIN deg USING (node_id)), other AS (SELECT DISTINCT asked, m.comp_id FROM link JOIN members m USING (node_id) WHERE asked <> m.comp_id)
-    SELECT asked AS comp_id, role, count(*) AS n, round(sum(0.7::DOUBLE * confidence), 4) AS weight FROM other JOIN members USING (comp_id) GROUP BY asked, role""")
+@query(f"""{CM}, asked AS (SELECT comp_id FROM comps WHERE comp_id % 100 = 0), own AS (SELECT m.* FROM members m JOIN asked USING (comp_id)), pair AS (SELECT DISTINCT own.comp_id AS asked, m.comp_id FROM own JOIN members m USING (node_id) WHERE own.comp_id <> m.comp_id),
+    lent AS (SELECT asked AS comp_id, m.role, 0.7::DOUBLE * m.confidence AS w FROM pair JOIN members m USING (comp_id) WHERE NOT EXISTS (SELECT 1 FROM own WHERE own.comp_id = pair.asked AND own.node_id = m.node_id) UNION ALL SELECT comp_id, role, confidence FROM own)
+    SELECT comp_id, role, count(*) AS n, round(sum(w), 4) AS weight FROM lent GROUP BY comp_id, role""")
 def graph_context(spark, d):
-    return L.graph_context(members(spark, d), compositions(spark, d).where("comp_id % 100 = 0"), 200)
+    return L.graph_context(members(spark, d), compositions(spark, d).where("comp_id % 100 = 0"))
 
 
 @query(f"{CM} SELECT lifecycle, epistemic, count(*) AS n, round(avg(confidence), 6) AS confidence FROM comps GROUP BY GROUPING SETS ((lifecycle), (epistemic), ())")
@@ -156,9 +158,11 @@ def seed_scores(spark, d):
     return scored.select("comp_id", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("value", "overall", "anchored")])
 
 
-@query(f"{CM} SELECT origin, count(*) AS n, round(avg(CASE origin WHEN 'UserInput' THEN 0.9 WHEN 'Corpus' THEN 0.7 ELSE 0.5 END::DOUBLE * confidence), 6) AS trusted FROM comps GROUP BY origin")
+@query(f"""{CM}, t AS (SELECT * FROM (VALUES ('user_input', 1.0::DOUBLE), ('web_search', 0.7), ('academic', 0.9), ('official_doc', 0.95), ('wiki', 0.75), ('social_media', 0.3), ('unknown', 0.5)) AS v(source, trust))
+    SELECT source AS origin, count(*) AS n, round(avg(coalesce(trust, 0.5) * confidence), 6) AS trusted FROM comps LEFT JOIN t USING (source) GROUP BY source""")
 def origin_breakdown(spark, d):
-    return A.origin_trust(compositions(spark, d), L.trust(F.col("origin")))
+    comps = compositions(spark, d).withColumn("origin", F.col("source"))
+    return A.origin_trust(comps, L.trust(F.col("origin")))
 
 
 @query("SELECT l_returnflag, l_shipmode, n FROM (SELECT l_returnflag, 's' || l_suppkey AS l_shipmode, count(*) AS n FROM lineitem WHERE l_quantity > 40 GROUP BY 1, 2) WHERE n >= 5")
@@ -310,9 +314,20 @@ def decay_applied(spark, d):
     return G.decay(compositions(spark, d), members(spark, d), 19)
 
 
-@query(f"{CM} SELECT comp_id, CASE origin WHEN 'UserInput' THEN 'Candidate' ELSE 'New' END AS first_lifecycle, CASE origin WHEN 'Corpus' THEN 'Inferred' ELSE 'Observed' END AS first_epistemic FROM comps")
+PROVENANCE = ("FrameCompiler", "ExtractionRepair", "EnrichmentFeedback", "HiddenMeaningRule", "PatternMining", "Abductive", "AcquisitionRecall", "AcquisitionSelfStudy", "AcquisitionUserAnswer", "HumanAssertion", "Corpus")
+KINDS = ("Event", "HiddenMeaning", "Pattern", "Hypothesis", "Acquisition", "Situation")
+
+
+@query(f"""WITH k AS (SELECT o_orderkey AS comp_id, {list(KINDS)}[o_custkey % 6 + 1] AS t, {list(PROVENANCE)}[o_orderkey % 11 + 1] AS p FROM orders)
+    SELECT comp_id, CASE WHEN p = 'HumanAssertion' THEN CASE t WHEN 'Acquisition' THEN 'Stable' ELSE 'Candidate' END WHEN t = 'Event' AND p IN ('ExtractionRepair', 'EnrichmentFeedback') THEN 'Candidate' WHEN t = 'HiddenMeaning' AND p IN ('HiddenMeaningRule', 'EnrichmentFeedback') THEN 'Candidate'
+        WHEN t = 'Pattern' AND p = 'PatternMining' THEN 'Candidate' WHEN t = 'Hypothesis' AND p = 'Abductive' THEN 'Quarantine' WHEN t = 'Acquisition' AND p = 'AcquisitionRecall' THEN 'Stable' WHEN t = 'Acquisition' AND p = 'AcquisitionSelfStudy' THEN 'Quarantine'
+        WHEN t = 'Acquisition' AND p = 'AcquisitionUserAnswer' THEN 'Candidate' ELSE 'New' END AS first_lifecycle,
+      CASE WHEN p = 'HumanAssertion' THEN 'Grounded' WHEN t = 'HiddenMeaning' AND p IN ('HiddenMeaningRule', 'EnrichmentFeedback') THEN 'Inferred' WHEN t = 'Pattern' AND p = 'PatternMining' THEN 'Inferred' WHEN t = 'Hypothesis' AND p = 'Abductive' THEN 'Hypothesis'
+        WHEN t = 'Acquisition' AND p = 'AcquisitionRecall' THEN 'Grounded' WHEN t = 'Acquisition' AND p = 'AcquisitionSelfStudy' THEN 'Inferred' ELSE 'Observed' END AS first_epistemic FROM k""")
 def initial_states(spark, d):
-    return G.first_states(compositions(spark, d))
+    pick = lambda by, names: F.element_at(F.array(*[F.lit(n) for n in names]), (by % len(names) + 1).cast("int"))
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("comp_id"), pick(F.col("o_custkey"), KINDS).alias("comp_type"), pick(F.col("o_orderkey"), PROVENANCE).alias("provenance"))
+    return G.first_states(rows)
 
 
 @query(f"{CM} SELECT comp_id, CASE WHEN batch_seen > 5 AND len(contradictions) <= 2 THEN 'Inferred' WHEN batch_seen > 10 THEN 'Deprecated' ELSE epistemic END AS resolved FROM comps WHERE len(contradictions) > 0")
@@ -320,10 +335,14 @@ def contradiction_resolutions(spark, d):
     return G.resolutions(compositions(spark, d))
 
 
-@query(f"""{CM}, w AS (SELECT comp_id, unnest(CASE comp_type WHEN 'Event' THEN ['Agent', 'Patient', 'Cause'] WHEN 'Situation' THEN ['Agent', 'Location'] WHEN 'Pattern' THEN ['Agent', 'Purpose'] ELSE ['Agent', 'SourceEvent'] END) AS role FROM comps)
-    SELECT w.comp_id, w.role FROM w WHERE (w.comp_id, w.role) NOT IN (SELECT (comp_id, role) FROM members)""")
+TM = with_sql("comps", "members", "typed_members")
+GAPS = """gaps AS (SELECT comp_id, CASE role WHEN 'Cause' THEN 'MissingCause' WHEN 'Purpose' THEN 'MissingPurpose' ELSE 'MissingRole' END AS gap, role FROM (SELECT comp_id, unnest(['Agent', 'Patient', 'Cause', 'Purpose']) AS role FROM comps WHERE comp_type = 'Event') e WHERE NOT EXISTS (SELECT 1 FROM typed_members m WHERE m.comp_id = e.comp_id AND m.role = e.role)
+    UNION ALL SELECT comp_id, 'IncompleteHiddenMeaning', CASE WHEN p THEN 'Solution' ELSE 'Problem' END FROM (SELECT comp_id, bool_or(role = 'Problem') AS p, bool_or(role = 'Solution') AS s FROM typed_members WHERE comp_id IN (SELECT comp_id FROM comps WHERE comp_type = 'HiddenMeaning') GROUP BY comp_id) WHERE NOT (p AND s))"""
+
+
+@query(f"{TM}, {GAPS} SELECT * FROM gaps")
 def role_gaps(spark, d):
-    return G.role_gaps(compositions(spark, d), members(spark, d))
+    return Q.atom_gaps(compositions(spark, d), typed_members(spark, d))
 
 
 @query(f"{CM}, shared AS (SELECT node_id FROM members WHERE role = 'Patient' GROUP BY node_id HAVING count(DISTINCT comp_id) > 1) SELECT comp_id FROM comps WHERE comp_id NOT IN (SELECT comp_id FROM members JOIN shared USING (node_id))")
@@ -331,9 +350,9 @@ def isolated_compositions(spark, d):
     return G.isolated(compositions(spark, d), members(spark, d).where("role = 'Patient'"))
 
 
-@query(f"{CM} SELECT comp_id, CASE WHEN epistemic = 'Contradicted' THEN 'Contradicted' ELSE 'LowGrounding' END AS gap FROM comps WHERE epistemic = 'Contradicted' OR (epistemic = 'Inferred' AND confidence < 0.5)")
+@query(f"{CM} SELECT comp_id, CASE WHEN epistemic = 'Contradicted' THEN 'UnresolvedContradiction' ELSE 'LowGrounding' END AS gap FROM comps WHERE epistemic = 'Contradicted' OR (epistemic = 'Inferred' AND confidence < 0.5)")
 def grounding_gaps(spark, d):
-    return G.grounding_gaps(compositions(spark, d))
+    return Q.grounding_gaps(compositions(spark, d)).drop("role")
 
 
 @query(f"""{CM} SELECT batch_seen, count(*) FILTER (WHERE epistemic = 'Contradicted') AS contradicted, CASE WHEN count(*) FILTER (WHERE epistemic = 'Contradicted') >= 3 THEN 'Reflective' WHEN count(*) FILTER (WHERE epistemic = 'Contradicted') > 0 OR avg(confidence) < 0.5 THEN 'Analytical' ELSE 'Reactive' END AS mode FROM comps GROUP BY batch_seen""")
@@ -347,10 +366,10 @@ def implied_goals(spark, d):
 
 
 def _spread_sql(seeds: str) -> str:
-    parts, now = [f"small AS (SELECT node_id FROM members GROUP BY node_id HAVING count(DISTINCT comp_id) <= 50), a0 AS ({seeds})"], "a0"
+    parts, now = [f"plays AS (SELECT DISTINCT node_id, comp_id FROM members), a0 AS ({seeds})"], "a0"
     for hop in range(3):
         nxt = f"a{hop + 1}"
-        parts.append(f"""s{hop} AS (SELECT seed, t.node_id, sum(e) AS e FROM (SELECT seed, node_id AS frm, energy * {0.5 ** (hop + 1)}::DOUBLE AS e FROM {now}) x JOIN small ON small.node_id = frm JOIN members f ON f.node_id = frm JOIN members t ON t.comp_id = f.comp_id AND t.node_id <> frm WHERE e >= 0.01 GROUP BY seed, t.node_id),
+        parts.append(f"""s{hop} AS (SELECT seed, t.node_id, sum(e) AS e FROM (SELECT seed, node_id AS frm, energy * {0.5 ** (hop + 1)}::DOUBLE AS e FROM {now}) x JOIN plays f ON f.node_id = frm JOIN members t ON t.comp_id = f.comp_id AND t.node_id <> frm WHERE e >= 0.01 GROUP BY seed, t.node_id),
             {nxt} AS (SELECT coalesce(a.seed, s.seed) AS seed, coalesce(a.node_id, s.node_id) AS node_id, coalesce(energy, 0) + coalesce(e, 0) * CASE WHEN energy IS NOT NULL THEN 0.5 ELSE 1.0 END::DOUBLE AS energy FROM {now} a FULL JOIN s{hop} s ON a.seed = s.seed AND a.node_id = s.node_id)""")
         now = nxt
     return ",\n".join(parts) + f", act AS (SELECT * FROM {now} WHERE energy >= 0.01)"
@@ -359,9 +378,11 @@ def _spread_sql(seeds: str) -> str:
 PARTS = "SELECT 'p' || p_partkey AS seed, 'p' || p_partkey AS node_id, 1.0::DOUBLE AS energy FROM part WHERE p_partkey % 100 = 0"
 
 
-def _activations(spark, d, rows):
+def _activations(spark, d, rows, *of: str):
+    """From every hundredth part, or those named."""
     seeds = table(spark, d, "part").where("p_partkey % 100 = 0").select(F.concat(F.lit("p"), F.col("p_partkey")).alias("seed"))
-    return R.spread(rows, seeds.select("seed", F.col("seed").alias("node_id"), F.lit(1.0).alias("energy")), hub_limit=50)
+    seeds = seeds.where(F.col("seed").isin(*of)) if of else seeds
+    return R.spread(rows, seeds.select("seed", F.col("seed").alias("node_id"), F.lit(1.0).alias("energy")))
 
 
 @query(f"{CM}, {_spread_sql(PARTS)} SELECT seed, count(*) AS n, round(sum(energy), 4) AS total, round(max(energy), 6) AS top FROM act GROUP BY seed")
@@ -375,7 +396,7 @@ def spread_activation(spark, d):
     FROM pr LEFT JOIN c ca ON ca.node_id = pr.a LEFT JOIN c cb ON cb.node_id = pr.b LEFT JOIN dots ON dots.a = pr.a AND dots.b = pr.b JOIN len la ON la.seed = pr.a JOIN len lb ON lb.seed = pr.b""")
 def similarity_blend(spark, d):
     rows = members(spark, d)
-    act = _activations(spark, d, rows)
+    act = kept(_activations(spark, d, rows), "activations")  # read twice for the pairs and once for the lengths
     seeds = table(spark, d, "part").where("p_partkey % 100 = 0").select("p_partkey")
     name = lambda c: F.concat(F.lit("p"), c.cast("string"))
     pairs = seeds.join(seeds.select((F.col("p_partkey") - 100).alias("p_partkey")), "p_partkey").select(name(F.col("p_partkey")).alias("a"), name(F.col("p_partkey") + 100).alias("b"))
@@ -386,10 +407,10 @@ def similarity_blend(spark, d):
     SELECT comp_id, round(2 * x * y / (x + y), 6) AS score FROM e WHERE x IS NOT NULL AND y IS NOT NULL""")
 def bridging_compositions(spark, d):
     rows = members(spark, d)
-    return R.bridges(rows, _activations(spark, d, rows), "p100", "p200")
+    return R.bridges(rows, _activations(spark, d, rows, "p100", "p200"), "p100", "p200")
 
 
-DECAY = "CASE relation WHEN 'CATEGORICAL' THEN 0.9 WHEN 'CAUSAL' THEN 0.7 WHEN 'FUNCTIONAL' THEN 0.6 ELSE 0.3 END::DOUBLE"
+DECAY = "CASE relation WHEN 'CATEGORICAL' THEN 0.9 WHEN 'CAUSAL' THEN 0.7 WHEN 'FUNCTIONAL' THEN 0.6 ELSE 0.5 END::DOUBLE"
 
 
 @query(f"""{with_sql('edges')}, r AS (SELECT src, dst, {DECAY} * confidence AS w FROM edges), a0 AS (SELECT 'c' || c_custkey AS node_id, 0.5::DOUBLE AS energy FROM customer WHERE c_custkey % 50 = 0),

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions import scores as S
+from weftgraph.operators import acquisition as Q
+from weftgraph.operators import governance as G
 from weftgraph.operators import rules as U
-from weftgraph.plans.graph_queries import CM, PARTS, SEEDS, _activations, _spread_sql
+from weftgraph.plans.graph_queries import CM, GAPS, PARTS, TM, _activations, _spread_sql
 from weftgraph.plans.text_queries import MSG, TOK, _messages
-from weftgraph.sources.tables import compositions, edges, members, table, tokens, with_sql
+from weftgraph.sources.tables import compositions, edges, members, table, tokens, typed_members, with_sql
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -39,15 +41,25 @@ def hidden_meanings(spark, d):
     return U.hidden_conflicts(hidden, events)
 
 
-@query(f"""{CM}, o AS (SELECT origin, count(*) AS n FROM comps GROUP BY origin), e AS (SELECT c.comp_id, c.confidence, epistemic, len(contradictions) AS k FROM comps c)
-    SELECT comp_id, CASE WHEN epistemic = 'Contradicted' THEN 'AskUser' WHEN confidence >= 0.6 AND k = 0 THEN 'PassiveRecall' WHEN confidence >= 0.3 THEN 'ReExtraction' ELSE 'Defer' END AS strategy, CASE WHEN epistemic = 'Contradicted' THEN 'Which is right about ' || comp_id || '?' ELSE 'What is known of ' || comp_id || '?' END AS question FROM e""")
+@query(f"""{TM}, {GAPS}, every AS (SELECT * FROM gaps UNION ALL SELECT comp_id, CASE WHEN epistemic = 'Contradicted' THEN 'UnresolvedContradiction' ELSE 'LowGrounding' END, NULL FROM comps WHERE epistemic = 'Contradicted' OR (epistemic = 'Inferred' AND confidence < 0.5)),
+    plays AS (SELECT role, node_id, count(*) AS n, avg(confidence) AS c, row_number() OVER (PARTITION BY role ORDER BY count(*) DESC, node_id) AS place FROM (SELECT *, row_number() OVER (PARTITION BY comp_id, role ORDER BY pos) AS k FROM typed_members) WHERE k = 1 GROUP BY role, node_id),
+    best AS (SELECT e.comp_id, e.role, min({{'place': place, 'node': node_id, 'v': c * n / greatest(3, n)}}) AS b FROM every e JOIN plays ON plays.role = e.role AND place <= 100 WHERE NOT EXISTS (SELECT 1 FROM typed_members m WHERE m.comp_id = e.comp_id AND m.node_id = plays.node_id) GROUP BY e.comp_id, e.role),
+    told AS (SELECT e.comp_id, e.gap, e.role, b, CASE WHEN e.gap LIKE 'Missing%' AND b IS NOT NULL THEN 'PassiveRecall' WHEN e.gap = 'LowGrounding' THEN CASE WHEN (SELECT count(DISTINCT origin) FROM comps) > 1 THEN 'ReExtraction' ELSE 'Defer' END WHEN e.comp_id % 3 <> 1 THEN 'ReExtraction' ELSE 'AskUser' END AS strategy
+      FROM every e LEFT JOIN best USING (comp_id, role)),
+    ctx AS (SELECT t.comp_id, t.role, string_agg(m.node_id, ' ' ORDER BY m.pos) AS words FROM told t JOIN typed_members m ON m.comp_id = t.comp_id AND m.role <> t.role WHERE t.gap = 'MissingRole' GROUP BY 1, 2)
+    SELECT t.comp_id, gap, t.role, strategy, CASE strategy WHEN 'PassiveRecall' THEN b.node END AS candidate, round(CASE strategy WHEN 'PassiveRecall' THEN b.v * 0.1::DOUBLE WHEN 'ReExtraction' THEN 0.15::DOUBLE WHEN 'AskUser' THEN 0.2::DOUBLE ELSE 0.0 END + 1e-9, 6)::DOUBLE AS gain,
+      CASE WHEN strategy = 'AskUser' THEN CASE gap WHEN 'UnresolvedContradiction' THEN 'Ada kontradiksi dalam pengetahuan yang belum terselesaikan. Manakah yang benar?' WHEN 'IncompleteHiddenMeaning' THEN 'Makna tersembunyi ini belum lengkap. Apa yang kurang?' WHEN 'MissingCause' THEN 'Apa penyebab kejadian ini?'
+        WHEN 'MissingPurpose' THEN 'Apa tujuan dari tindakan ini?' ELSE 'Dalam ' || chr(39) || words || chr(39) || ', siapa/apa yang berperan sebagai ' || CASE t.role WHEN 'Agent' THEN 'pelaku' ELSE 'objek' END || '?' END END AS question FROM told t LEFT JOIN ctx ON ctx.comp_id = t.comp_id AND ctx.role = t.role""")
 def acquisition(spark, d):
-    return U.acquisition(compositions(spark, d))
+    comps, rows = compositions(spark, d), typed_members(spark, d)
+    return Q.strategies(Q.atom_gaps(comps, rows).unionAll(Q.grounding_gaps(comps)), comps, rows, comps.where("comp_id % 3 <> 1"))
 
 
-@query(f"""{CM}, {SEEDS}, r AS (SELECT comp_id, list_sort(list(DISTINCT role)) AS roles FROM members GROUP BY comp_id) SELECT comp_id, list_contains(roles, 'Agent') AND list_contains(roles, 'Patient') AS complete, round(least(0.2, 0.05 * len(roles)), 6)::DOUBLE AS bonus FROM r""")
+@query(f"""{TM}, r AS (SELECT comp_id, any_value(comp_type) AS t, list(role) AS roles FROM comps JOIN typed_members USING (comp_id) GROUP BY comp_id), k AS (SELECT *, lambda_count FROM (SELECT *, len(list_filter(roles, lambda x: list_contains(CASE t WHEN 'Event' THEN ['Predicate', 'Agent', 'Patient', 'Cause'] WHEN 'HiddenMeaning' THEN ['PatternType', 'Problem', 'Solution'] ELSE ['PatternType', 'Antecedent', 'Consequent'] END, x))) AS lambda_count FROM r))
+    SELECT comp_id, CASE t WHEN 'Event' THEN list_has_all(roles, ['Predicate', 'Agent', 'Patient']) WHEN 'HiddenMeaning' THEN list_has_any(roles, ['Problem', 'Solution']) OR (list_contains(roles, 'PatternType') AND len(roles) >= 2) WHEN 'Pattern' THEN list_has_all(roles, ['Antecedent', 'Consequent']) ELSE len(roles) >= 2 END AS complete,
+      round(0.05::DOUBLE * CASE t WHEN 'Event' THEN lambda_count / 4.0 WHEN 'Situation' THEN least(2, len(roles)) / 2.0 ELSE lambda_count / 3.0::DOUBLE END, 6)::DOUBLE AS bonus FROM k""")
 def completeness(spark, d):
-    return U.completeness(members(spark, d))
+    return G.completeness(compositions(spark, d), typed_members(spark, d))
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, round(CASE l_linenumber % 4 WHEN 0 THEN l_quantity + l_tax WHEN 1 THEN l_quantity - l_tax WHEN 2 THEN l_quantity * l_tax ELSE CASE WHEN l_tax = 0 THEN NULL ELSE l_quantity / l_tax END END, 4) AS result FROM lineitem""")
@@ -56,11 +68,14 @@ def computed(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.round(U.compute(op, F.col("l_quantity"), F.col("l_tax")), 4).alias("result"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority IN ('1-URGENT', '2-HIGH') WHEN o_orderstatus = 'O' THEN true ELSE false END AS allowed FROM orders""")
+@query("""WITH s AS (SELECT o_orderkey, ['New', 'Candidate', 'Stable', 'Deprecated'] AS l, ['Observed', 'Inferred', 'Grounded', 'Contradicted'] AS e, o_orderkey % 4 + 1 AS a, o_orderkey // 4 % 4 + 1 AS b FROM orders)
+    SELECT o_orderkey, l[a] = l[b] OR (l[a], l[b]) IN (('New', 'Candidate'), ('Candidate', 'Stable'), ('Stable', 'Deprecated'), ('Deprecated', 'Candidate'), ('New', 'Deprecated'), ('Candidate', 'Deprecated')) AS lifecycle_allowed,
+      e[a] = e[b] OR (e[a], e[b]) IN (('Observed', 'Inferred'), ('Observed', 'Grounded'), ('Inferred', 'Grounded'), ('Observed', 'Contradicted'), ('Inferred', 'Contradicted'), ('Grounded', 'Contradicted'), ('Contradicted', 'Grounded')) AS epistemic_allowed FROM s""")
 def transitions(spark, d):
-    state = F.when(F.col("o_orderstatus") == "F", "Stable").when(F.col("o_orderstatus") == "O", "New").otherwise("Deprecated")
-    to = F.when(F.col("o_orderstatus") == "O", "Candidate").when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "Quarantine").otherwise("New")
-    return table(spark, d, "orders").select("o_orderkey", U.may_change(state, to).alias("allowed"))
+    pick = lambda names, by: F.element_at(F.array(*[F.lit(n) for n in names]), (by % 4 + 1).cast("int"))
+    here, to = F.col("o_orderkey"), F.floor(F.col("o_orderkey") / 4)
+    allowed = lambda changes: U.may_change(changes, pick(tuple(changes), here), pick(tuple(changes), to))
+    return table(spark, d, "orders").select("o_orderkey", allowed(U.LIFECYCLE_CHANGES).alias("lifecycle_allowed"), allowed(U.EPISTEMIC_CHANGES).alias("epistemic_allowed"))
 
 
 @query("""SELECT c_custkey, array_to_string(list_filter([CASE WHEN c_acctbal < 0 THEN 'balance' END, CASE WHEN c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey <> 0) THEN 'nation' END, CASE WHEN length(c_name) < 5 THEN 'name' END], lambda x: x IS NOT NULL), ',') AS errors FROM customer""")
@@ -105,7 +120,7 @@ def eligibility(spark, d):
 
 
 @query(f"""{CM}, p AS (SELECT comp_id, count(*) FILTER (WHERE role = 'Patient') AS n, round(avg(confidence), 6) AS c FROM members GROUP BY comp_id)
-    SELECT comp_id, CASE WHEN epistemic = 'Contradicted' THEN 'It is disputed that ' WHEN confidence < 0.4 THEN 'It may be that ' WHEN epistemic = 'Inferred' THEN 'It follows that ' ELSE '' END || 'order ' || comp_id || ' holds ' || n || ' parts' AS sentence FROM comps JOIN p USING (comp_id)""")
+    SELECT comp_id, CASE WHEN lifecycle = 'Stable' AND epistemic = 'Grounded' THEN CASE WHEN confidence > 0.8 THEN '' ELSE 'Tampaknya, ' END WHEN lifecycle = 'Candidate' AND epistemic = 'Inferred' THEN 'Berdasarkan analisis, ' WHEN lifecycle = 'New' AND epistemic = 'Observed' THEN 'Berdasarkan observasi, ' WHEN epistemic = 'Contradicted' THEN 'Meskipun ada kontradiksi, ' ELSE 'Kemungkinan, ' END || 'order ' || comp_id || ' holds ' || n || ' parts' AS sentence FROM comps JOIN p USING (comp_id)""")
 def verbalized(spark, d):
     n = members(spark, d).groupBy("comp_id").agg(F.count_if(F.col("role") == "Patient").alias("n"))
     sentence = F.format_string("order %d holds %d parts", F.col("comp_id"), F.col("n"))
@@ -116,7 +131,7 @@ def verbalized(spark, d):
     SELECT comp_id, round(top + CASE lifecycle WHEN 'Stable' THEN 0.1 WHEN 'Candidate' THEN 0.05 ELSE 0 END + CASE epistemic WHEN 'Grounded' THEN 0.1 ELSE 0 END + 0.2 * confidence + 1e-7, 4)::DOUBLE AS score FROM e JOIN comps USING (comp_id) ORDER BY score DESC, comp_id LIMIT 20""")
 def reasoning_path(spark, d):
     rows = members(spark, d)
-    act = _activations(spark, d, rows).where("seed = 'p100'")
+    act = _activations(spark, d, rows, "p100")
     return U.reasoning_path(compositions(spark, d), rows, act)
 
 
@@ -175,10 +190,10 @@ def role_set_classes(spark, d):
     return U.role_sets(compositions(spark, d), members(spark, d))
 
 
-@query(f"""{CM}, r AS (SELECT DISTINCT comp_id, node_id FROM members WHERE role = 'Patient'), z AS (SELECT comp_id, count(*) AS size FROM r GROUP BY 1), k AS (SELECT node_id FROM r GROUP BY 1 HAVING count(*) BETWEEN 2 AND 60),
-    f AS (SELECT r.*, size, comp_type FROM r JOIN k USING (node_id) JOIN z USING (comp_id) JOIN comps USING (comp_id)) SELECT x.comp_type, x.comp_id AS a, y.comp_id AS b, count(*) AS shared FROM f x JOIN f y ON x.node_id = y.node_id AND x.comp_type = y.comp_type AND x.comp_id < y.comp_id GROUP BY 1, 2, 3, x.size, y.size HAVING count(*) * 2 > least(x.size, y.size)""")
+@query(f"""{CM}, r AS (SELECT DISTINCT comp_id, node_id FROM members WHERE role = 'Patient'), z AS (SELECT comp_id, count(*) AS size FROM r GROUP BY 1),
+    f AS (SELECT r.*, size, comp_type FROM r JOIN z USING (comp_id) JOIN comps USING (comp_id)) SELECT x.comp_type, x.comp_id AS a, y.comp_id AS b, count(*) AS shared FROM f x JOIN f y ON x.node_id = y.node_id AND x.comp_type = y.comp_type AND x.comp_id < y.comp_id GROUP BY 1, 2, 3, x.size, y.size HAVING count(*) * 2 > least(x.size, y.size)""")
 def overlap_findings(spark, d):
-    return U.overlap_findings(compositions(spark, d), members(spark, d), "Patient", 60)
+    return U.overlap_findings(compositions(spark, d), members(spark, d), "Patient")
 
 
 @query(f"""{CM}, m AS (SELECT DISTINCT comp_id, node_id AS seed FROM members WHERE node_id IN ('s1', 's2', 's3')), a AS (SELECT node_id, count(*) / 3.0::DOUBLE AS a FROM (SELECT DISTINCT comp_id, node_id FROM members) JOIN m USING (comp_id) WHERE node_id <> seed GROUP BY 1) SELECT node_id, round(a / (a + 2), 6) AS score FROM a""")
@@ -191,9 +206,13 @@ def scope_report(spark, d):
     return U.scope_report(compositions(spark, d), "origin", (F.col("comp_type") == "Event") & (F.col("confidence") >= 0.5))
 
 
-@query("SELECT user_id, round(greatest(-0.15, least(0.05, sum(CASE WHEN value > 50 THEN 0.01 ELSE -0.01 END::DOUBLE))), 6)::DOUBLE AS adjustment FROM events GROUP BY user_id")
+@query("""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), q AS (SELECT label, arg_min(e, vec_id) AS q FROM v GROUP BY label),
+    s AS (SELECT label, vec_id, list_inner_product(e, q) / (sqrt(list_inner_product(e, e)) * sqrt(list_inner_product(q, q))) AS s FROM v JOIN q USING (label))
+    SELECT label, round(greatest(-0.15, least(0.05, sum(CASE WHEN s < 0.1 THEN 0 WHEN vec_id % 5 <> 0 THEN 0.05 * s ELSE -0.15 * s END))), 6)::DOUBLE AS adjustment FROM s GROUP BY label""")
 def experience_adjustment(spark, d):
-    return U.adjustment(table(spark, d, "events"), "user_id", F.col("value") > 50, F.lit(0.01))
+    v = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
+    asked = v.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("asked"))
+    return U.adjustment(v.join(asked, "label"), "label", F.col("vec_id") % 5 != 0, S.cosine(F.col("embedding"), F.col("asked")), 0.1)
 
 
 @query("WITH o AS (SELECT user_id, event_type, max(epoch_us(ts)) / 1e6 AS last, count(*) AS n FROM events GROUP BY 1, 2) SELECT user_id, event_type, n FROM o WHERE (SELECT max(epoch_us(ts)) / 1e6 FROM events) - last < 172800")

@@ -22,7 +22,7 @@ def share(column: str | Column) -> Column:
 
 
 def compositions(spark: SparkSession, folder: str) -> DataFrame:
-    """comp_id, comp_type, lifecycle, epistemic, origin, confidence, batch_seen, contradictions (batches)."""
+    """comp_id, comp_type, lifecycle, epistemic, origin, source, confidence, batch_seen, contradictions (batches)."""
     orders = table(spark, folder, "orders")
     key = F.col("o_orderkey")
     pick = lambda by, *names: F.element_at(F.array(*[F.lit(n) for n in names]), (by % len(names) + 1).cast("int"))
@@ -32,6 +32,7 @@ def compositions(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("o_orderstatus") == "F", "Stable").when(F.col("o_orderstatus") == "O", "Candidate").otherwise("New").alias("lifecycle"),
         pick(F.floor(key / 5), "Observed", "Inferred", "Grounded", "Contradicted").alias("epistemic"),
         pick(F.col("o_custkey"), "Corpus", "UserInput", "Bootstrap").alias("origin"),
+        pick(F.col("o_custkey"), "user_input", "web_search", "academic", "official_doc", "wiki", "social_media", "unknown", "rumour").alias("source"),
         share("o_totalprice").alias("confidence"),
         (key % 20).alias("batch_seen"),
         F.when(key % 7 == 0, F.array(key % 20, (key + 3) % 20)).otherwise(F.array().cast("array<long>")).alias("contradictions"),
@@ -51,6 +52,18 @@ def members(spark: SparkSession, folder: str) -> DataFrame:
     return head.unionByName(tail)
 
 
+def typed_members(spark: SparkSession, folder: str) -> DataFrame:
+    """members() with roles that fit the composition's type, which its id tells."""
+    kind, role = F.col("comp_id") % 5, F.col("role")
+    third, second = F.col("comp_id") % 3 == 0, F.col("comp_id") % 2 == 0
+    named = (
+        F.when((kind <= 1) & (role == "Purpose") & second, "Predicate").when((kind <= 1) & (role == "Instrument") & third, "Cause")
+        .when((kind >= 3) & (role == "Agent"), "PatternType").when((kind == 3) & (role == "Patient"), "Antecedent").when((kind == 3) & (role == "Instrument") & second, "Consequent")
+        .when((kind == 4) & (role == "Purpose") & ~third, "Problem").when((kind == 4) & (role == "Patient") & second, "Solution").otherwise(role)
+    )
+    return members(spark, folder).withColumn("role", named)
+
+
 def edges(spark: SparkSession, folder: str) -> DataFrame:
     """src, dst, relation, confidence: customers and suppliers to nations to regions, parts to suppliers, customers to parts."""
     customer, supplier, nation, lines, orders = (table(spark, folder, n) for n in ("customer", "supplier", "nation", "lineitem", "orders"))
@@ -86,12 +99,16 @@ SQL = {
     "comps": """comps AS (SELECT o_orderkey AS comp_id, ['Event', 'Event', 'Situation', 'Pattern', 'HiddenMeaning'][o_orderkey % 5 + 1] AS comp_type,
         CASE o_orderstatus WHEN 'F' THEN 'Stable' WHEN 'O' THEN 'Candidate' ELSE 'New' END AS lifecycle,
         ['Observed', 'Inferred', 'Grounded', 'Contradicted'][(o_orderkey // 5) % 4 + 1] AS epistemic, ['Corpus', 'UserInput', 'Bootstrap'][o_custkey % 3 + 1] AS origin,
+        ['user_input', 'web_search', 'academic', 'official_doc', 'wiki', 'social_media', 'unknown', 'rumour'][o_custkey % 8 + 1] AS source,
         (floor(o_totalprice)::BIGINT % 1000) / 1000.0::DOUBLE AS confidence, o_orderkey % 20 AS batch_seen,
         CASE WHEN o_orderkey % 7 = 0 THEN [o_orderkey % 20, (o_orderkey + 3) % 20] ELSE [] END AS contradictions, o_orderdate AS created_at FROM orders)""",
     "members": """members AS (SELECT o_orderkey AS comp_id, 0 AS pos, 'c' || o_custkey AS node_id, 'Agent' AS role, 0.9::DOUBLE AS confidence FROM orders
         UNION ALL SELECT o_orderkey, 1, o_orderpriority, 'Purpose', 0.6::DOUBLE FROM orders
         UNION ALL SELECT l_orderkey, l_linenumber * 2, 'p' || l_partkey, 'Patient', 1 - l_discount FROM lineitem
         UNION ALL SELECT l_orderkey, l_linenumber * 2 + 1, 's' || l_suppkey, 'Instrument', 1 - l_tax FROM lineitem)""",
+    "typed_members": """typed_members AS (SELECT comp_id, pos, node_id, CASE WHEN comp_id % 5 IN (0, 1) AND role = 'Purpose' AND comp_id % 2 = 0 THEN 'Predicate' WHEN comp_id % 5 IN (0, 1) AND role = 'Instrument' AND comp_id % 3 = 0 THEN 'Cause'
+        WHEN comp_id % 5 IN (3, 4) AND role = 'Agent' THEN 'PatternType' WHEN comp_id % 5 = 3 AND role = 'Patient' THEN 'Antecedent' WHEN comp_id % 5 = 3 AND role = 'Instrument' AND comp_id % 2 = 0 THEN 'Consequent'
+        WHEN comp_id % 5 = 4 AND role = 'Purpose' AND comp_id % 3 <> 0 THEN 'Problem' WHEN comp_id % 5 = 4 AND role = 'Patient' AND comp_id % 2 = 0 THEN 'Solution' ELSE role END AS role, confidence FROM members)""",
     "edges": """edges AS (SELECT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst, 'CATEGORICAL' AS relation, (floor(abs(c_acctbal))::BIGINT % 1000) / 1000.0::DOUBLE AS confidence FROM customer
         UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 'CATEGORICAL', (floor(abs(s_acctbal))::BIGINT % 1000) / 1000.0::DOUBLE FROM supplier
         UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 'CATEGORICAL', 0.9::DOUBLE FROM nation
