@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftgraph.sources.scratch import shared_folder
+
 #: Rows of an Arrow batch that goes to Python; with the bytes below, the bound of what a worker holds at once.
 BATCH_ROWS = 1000
 BATCH_BYTES = 8 << 20
@@ -24,21 +25,12 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Where it is unset, as in local tests, a new temporary one is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="weftgraph-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
 class Scratch:
     """Tables of one run in the shared folder. They cut lineage and survive lost executors."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
