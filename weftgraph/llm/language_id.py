@@ -22,7 +22,8 @@ n-grams are bound once, and a matrix product bundles them for all its texts.
 Defined cases: null text, and text without a letter, is ``und`` with score 0.
 Ties go to the language that sorts first. Rows with a null id are predicted like
 others but never learned from. Without any labelled row, all is ``und``. Texts
-count whole, whatever their length; all but a batch's counts are of fixed size.
+count whole, whatever their length: n-grams are bound and added in blocks, so a text
+needs a few numbers for each of its characters and no vector for each of its n-grams.
 """
 
 from __future__ import annotations
@@ -49,6 +50,8 @@ OUTLIERS, LEAST_TEXTS, ENOUGH = 0.001, 50, 0.8
 LENGTHS, STEPS = 48, 1000
 #: Bytes of text that are counted at once.
 CHUNK = 1 << 19
+#: Distinct n-grams whose vectors are held at once.
+BOUND_AT_ONCE = 1 << 14
 
 _letters: dict[str, np.ndarray] = {}
 
@@ -62,9 +65,12 @@ def _classes() -> np.ndarray:
 
 def letter_vectors(points: np.ndarray, dimension: int) -> np.ndarray:
     """A row of +1 and -1 for each code point; the space, 0x20, included."""
+    out = np.empty((len(points), dimension), np.int8)
     with np.errstate(over="ignore"):
-        seeds = points.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, dimension + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-        return ((mix(mix(seeds)) >> np.uint64(63)).astype(np.int8) * 2 - 1).astype(np.int8)
+        for i in range(0, len(points), 1024):
+            seeds = points[i : i + 1024].astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, dimension + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+            out[i : i + 1024] = (mix(mix(seeds)) >> np.uint64(63)).astype(np.int8) * 2 - 1
+    return out
 
 
 def text_vectors(texts: list[str], dimension: int = DIMENSION, n: int = NGRAM) -> np.ndarray:
@@ -108,22 +114,34 @@ def counted_vectors(texts: list[str], dimension: int = DIMENSION, n: int = NGRAM
         grams = place[grams]
     else:
         distinct, grams = np.unique(grams, return_inverse=True)
-    vectors = np.ones((len(distinct), dimension), np.int8)
     letters = letter_vectors(alphabet, dimension)
-    rest = distinct
+    for first_gram in range(0, len(distinct), BOUND_AT_ONCE):
+        vectors = bound(distinct[first_gram : first_gram + BOUND_AT_ONCE], letters, size, n)
+        some, owner = (grams, of) if len(distinct) <= BOUND_AT_ONCE else _block(grams, of, first_gram)
+        step = max(1, (1 << 22) // len(vectors))  # rows whose counts are held at once
+        bounds = np.searchsorted(owner, np.arange(0, len(texts) + step, step))
+        for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+            first = i * step
+            rows = min(step, len(texts) - first)
+            if rows > 0 and b > a:
+                counts = np.bincount((owner[a:b] - first) * len(vectors) + some[a:b], minlength=rows * len(vectors)).reshape(rows, len(vectors))
+                out[first : first + rows] += counts.astype(np.float32) @ vectors
+    return out, np.bincount(of, minlength=len(texts))
+
+
+def bound(grams: np.ndarray, letters: np.ndarray, size: int, n: int) -> np.ndarray:
+    """The vectors of n-grams, given as numbers of n digits: their letters' vectors, turned by place and multiplied."""
+    vectors, rest = np.ones((len(grams), letters.shape[1]), np.int8), grams
     for k in range(n - 1, -1, -1):
         vectors *= np.roll(letters, n - 1 - k, axis=1)[rest % size]
         rest = rest // size
-    vectors = vectors.astype(np.float32)
-    step = max(1, (1 << 22) // max(1, len(distinct)))  # rows whose counts are held at once
-    bounds = np.searchsorted(of, np.arange(0, len(texts) + step, step))
-    for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-        first = i * step
-        rows = min(step, len(texts) - first)
-        if rows > 0 and b > a:
-            counts = np.bincount((of[a:b] - first) * len(distinct) + grams[a:b], minlength=rows * len(distinct)).reshape(rows, len(distinct))
-            out[first : first + rows] = counts.astype(np.float32) @ vectors
-    return out, np.bincount(of, minlength=len(texts))
+    return vectors.astype(np.float32)
+
+
+def _block(grams: np.ndarray, of: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of a block and their rows, in the order of rows."""
+    at = np.flatnonzero((grams >= first) & (grams < first + BOUND_AT_ONCE))
+    return grams[at] - first, of[at]
 
 
 def _compact(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
