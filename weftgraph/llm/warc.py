@@ -15,6 +15,7 @@ with rows of a few bytes.
 Defined cases: a null payload is an empty one; rows with a null key take no part;
 rows that share a key are a record each, and those that repeat a response's key and
 payload are responses too; an empty table gives empty archive tables. Other columns are ignored. A payload lies in one row.
+A record's block is the page's HTML as it is, under its own content type, without the head of an HTTP message, as pages come without one.
 """
 
 from __future__ import annotations
@@ -37,9 +38,16 @@ def base32(hexed: Column) -> Column:
 
 
 def _urn(key: Column) -> Column:
-    """A record id made from the record's key alone."""
-    h = F.md5(F.concat(F.lit("record:"), key.cast("string")).cast("binary"))
-    return F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    """A record id (a UUID of version 8) that holds the record's key: its 16 hexadecimal digits stand first and last."""
+    h = F.lpad(F.hex(key), 16, "0")
+    return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-8000-8000-00000000"), F.substring(h, 13, 4))
+
+
+def _key_of(urn: Column) -> Column:
+    """The key in a record id of _urn, null if there is none."""
+    h = F.regexp_extract(urn, r"^<urn:uuid:([0-9A-F]{8})-([0-9A-F]{4})-8000-8000-00000000([0-9A-F]{4})>$", 1)
+    rest = [F.regexp_extract(urn, r"^<urn:uuid:([0-9A-F]{8})-([0-9A-F]{4})-8000-8000-00000000([0-9A-F]{4})>$", k) for k in (2, 3)]
+    return F.when(h != "", F.conv(F.concat(h, *rest), 16, -10).cast("long"))
 
 
 def build(pages: DataFrame, path: str, key_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> None:
@@ -65,7 +73,7 @@ def build(pages: DataFrame, path: str, key_col: str = "page_id", url_col: str =
         F.concat(F.lit("Content-Length: "), F.when(revisit, F.lit(0)).otherwise(F.col("n_bytes")).cast("string")),
     ]
     header = F.concat(F.concat_ws(END, *lines), F.lit(END + END)).cast("binary")
-    told.select("key", "strong", F.when(revisit, F.col("response")).alias("refers_to"), header.alias("header")).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/records")
+    told.select("key", "strong", header.alias("header")).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/records")
 
 
 def field(header: Column, name: str) -> Column:
@@ -77,15 +85,15 @@ def field(header: Column, name: str) -> Column:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Every record, parsed from its header, with its stored payload if it is a response and with the size of the full payload.
 
-    ``verified`` says whether the payload has the digest that the header gives and the address under which it was stored.
+    ``verified`` says whether the stored payload, of a revisit the one that it refers to, has the digest that the header gives and the address under which it was stored.
     """
     records = spark.read.parquet(f"{path}/records")
     payloads = spark.read.parquet(f"{path}/payloads")
     text = F.col("header").cast("string")
-    parsed = records.withColumn("record_type", field(text, "WARC-Type")).withColumn("payload_digest", F.regexp_replace(field(text, "WARC-Payload-Digest"), "^sha1:", "")).withColumn("record_id", field(text, "WARC-Record-ID")).withColumn("refers_to_id", field(text, "WARC-Refers-To")).withColumn("content_length", field(text, "Content-Length").cast("long"))
+    parsed = records.withColumn("record_type", field(text, "WARC-Type")).withColumn("payload_digest", F.regexp_replace(field(text, "WARC-Payload-Digest"), "^sha1:", "")).withColumn("record_id", field(text, "WARC-Record-ID")).withColumn("refers_to_id", field(text, "WARC-Refers-To")).withColumn("refers_to", _key_of(F.col("refers_to_id"))).withColumn("content_length", field(text, "Content-Length").cast("long"))
     whole = payloads.select("strong", "payload", F.col("n_bytes").alias("payload_bytes"), ((F.sha2("payload", 256) == F.col("strong")) & (base32(F.sha1("payload")) == F.col("digest")) & (F.octet_length("payload") == F.col("n_bytes"))).alias("sound"), F.col("digest"))
     responses = parsed.where("record_type = 'response'").join(whole, "strong")
-    revisits = parsed.where("record_type = 'revisit'").join(payloads.select("strong", F.lit(None).cast("binary").alias("payload"), F.col("n_bytes").alias("payload_bytes"), F.lit(True).alias("sound"), "digest"), "strong")
+    revisits = parsed.where("record_type = 'revisit'").join(whole.withColumn("payload", F.lit(None).cast("binary")), "strong")
     both = responses.unionByName(revisits)
     return both.withColumn("verified", F.col("sound") & (F.col("payload_digest") == F.col("digest")) & (F.coalesce(F.octet_length("payload"), F.lit(0)) == F.col("content_length"))).drop("sound", "digest", "strong")
 
