@@ -178,6 +178,7 @@ def search(spark: SparkSession, path: str, tests: DataFrame, slop: int = 0, bloc
 
     With a slop, each term may stand so many places from where the phrase has it, counted from its rarest term, and all stand
     within as many words as the phrase has and the slop; the span then goes from the first to the last of them.
+    Blocks of phrases are searched for one after another, and what each finds is written before the next.
     """
     if slop >= GAP // 2:
         raise ValueError(f"the slop must be below {GAP // 2}")
@@ -187,15 +188,22 @@ def search(spark: SparkSession, path: str, tests: DataFrame, slop: int = 0, bloc
     # numbered by hash, in blocks of a bounded size
     blocks = max(1, -(-tests.count() // block))
     tests = scratch.keep(tests.withColumn("block", F.pmod(F.xxhash64("terms"), F.lit(blocks)).cast("int")), "phrases")
-    found = None
+    names = []
     for b in range(blocks):
-        part = [(r.item_id, r.terms) for r in tests.where(F.col("block") == b).select("item_id", "terms").toLocalIterator()]
-        told = spark.sparkContext.broadcast(part)
-        terms = tests.where(F.col("block") == b).select(F.explode("terms").alias("term")).distinct()
-        lists = postings(spark, path).join(F.broadcast(terms), "term", "left_semi")
+        some = tests.where(F.col("block") == b)
+        terms = some.select(F.explode("terms").alias("term")).distinct()
+        lists = postings(spark, path).join(F.broadcast(terms), "term", "left_semi")  # of a block's terms
+        often = {r.term: r["n"] for r in lists.groupBy("term").agg(F.count("*").alias("n")).toLocalIterator()}
+        by_rarest: dict[int, list[tuple]] = {}
+        for r in some.select("item_id", "terms").toLocalIterator():
+            if all(t in often for t in r.terms):  # others occur nowhere
+                by_rarest.setdefault(min(r.terms, key=often.__getitem__), []).append((r.item_id, r.terms))
+        told = spark.sparkContext.broadcast(by_rarest)
         one = lists.groupBy("segment").cogroup(segment_docs(spark, path).groupBy("segment")).applyInArrow(_searcher(told, slop, kind), f"doc_id long, row int, segment long, item_id {kind}, spans array<struct<a:int,b:int>>")
-        found = one if found is None else found.unionByName(one)
-    return found
+        names.append(f"found-{b}")
+        found = scratch.keep(one, names[-1])
+        told.destroy()
+    return spark.read.schema(found.schema).parquet(*[scratch.path(name) for name in names])
 
 
 def _searcher(told, slop: int, kind: str):
@@ -212,7 +220,8 @@ def _searcher(told, slop: int, kind: str):
         docs = docs.sort_by("first")
         first, n_words = docs.column("first").to_numpy(), docs.column("n_words").to_numpy()
         spans: dict[tuple[int, object], list[tuple[int, int]]] = {}
-        for item, phrase in told.value:
+        # only phrases whose rarest term the segment has
+        for item, phrase in (p for term in told.value.keys() & where.keys() for p in told.value[term]):
             if any(t not in where for t in phrase):
                 continue
             if slop:
