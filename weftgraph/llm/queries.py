@@ -98,11 +98,13 @@ def oracle_sql() -> dict[str, str]:
             both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
             reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a)
             SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, r.c AS component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON r.a = w.doc_id""",
-        "op9_chat_rotation": """
-            WITH t AS (SELECT conv_id, coalesce(turn, 0) AS turn, floor(coalesce(turn, 0) / 512)::BIGINT AS part, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+        "op9_chat_rotation": r"""
+            WITH r AS (SELECT conv_id, coalesce(turn, 0) AS turn, regexp_replace(regexp_replace(coalesce(role, 'unknown'), '<\|(im_start|im_end)\|>', '<\\|\1|>', 'g'), '[\r\n]', ' ', 'g') AS speaker, regexp_replace(coalesce(text, ''), '<\|(im_start|im_end)\|>', '<\\|\1|>', 'g') AS text FROM conversations WHERE conv_id IS NOT NULL),
+            n AS (SELECT *, floor(turn / 512) AS run, (row_number() OVER (PARTITION BY conv_id, floor(turn / 512) ORDER BY turn, speaker, text) - 1) // 512 AS place FROM r),
+            t AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY run, place) - 1 AS part FROM n),
             p AS (SELECT DISTINCT conv_id, speaker AS participant FROM t WHERE speaker <> 'system'),
             c AS (SELECT t.*, participant, '<|im_start|>' || CASE WHEN speaker = participant THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user name=' || speaker END || chr(10) AS head, text || '<|im_end|>' AS body FROM t JOIN p USING (conv_id)),
-            e AS (SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, part, participant ORDER BY turn, speaker, text ROWS UNBOUNDED PRECEDING) AS stop FROM c)
+            e AS (SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, participant ORDER BY turn, speaker, text ROWS UNBOUNDED PRECEDING) AS stop FROM c)
             SELECT conv_id, part, participant, count(*)::BIGINT AS n_turns, string_agg(head || body || chr(10), '' ORDER BY turn, speaker, text) AS text,
               coalesce(string_agg((stop - 1 - length(body))::BIGINT || '-' || (stop - 1)::BIGINT, ',' ORDER BY turn, speaker, text) FILTER (WHERE speaker = participant), '') AS mask
             FROM e GROUP BY conv_id, part, participant""",
