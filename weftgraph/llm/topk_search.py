@@ -8,6 +8,7 @@ score, all later vectors are out. The others get a partial product over the firs
 turned coordinates plus the product of the residual lengths, and those whose bound
 reaches the k-th best get their exact integer product. The corpus is dealt to tasks by
 ranges of the length, so whole tasks of short vectors end after their first bound.
+Each block of queries is one scan, whose few rows a query are written before the next.
 
 The k-th best scores start from the longest vectors of the whole corpus, so every
 task prunes from its first block on. Queries go to the tasks in blocks of a bounded
@@ -35,8 +36,8 @@ from .common import Scratch, bound_batches
 K = 5
 EVERY = 50
 SCALE = 256
-#: Queries of a block: with the dimension, the bound of what is broadcast.
-BLOCK_QUERIES = 4096
+#: Bytes of the queries of a block: the bound of what is broadcast, and of what the driver holds.
+BLOCK_BYTES = 32 << 20
 #: Longest vectors from which the first k-th best scores come.
 SEED_VECTORS = 1024
 #: Vectors of a task that are scored at once.
@@ -158,13 +159,13 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = K, id_col: str = "ve
     ready = lambda df: df.select(F.col(f"`{id_col}`").cast("long").alias("id"), scaled(F.col(f"`{vector_col}`")).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
     corpus = scratch.keep(ready(vectors).withColumn("squared", F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)).repartitionByRange(F.desc("squared"), "id"), "corpus")
     asked = scratch.keep(ready(queries), "queries")
-    found = None
+    told_of = []
     for dimension in sorted(r.d for r in asked.select(F.size("v").alias("d")).distinct().collect()):  # usually one
         mine = corpus.where(F.size("v") == dimension)
         turn, head = rotation(second_moments(mine, dimension))
         seeds = mine.orderBy(F.desc("squared"), "id").limit(SEED_VECTORS).select("id", "v").toArrow()  # a bounded number
         some = asked.where(F.size("v") == dimension)
-        blocks = max(1, -(-some.count() // BLOCK_QUERIES))
+        blocks = max(1, -(-some.count() * 8 * dimension // BLOCK_BYTES))
         for b in range(blocks):
             part = some.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow()
             if not part.num_rows:
@@ -176,9 +177,12 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = K, id_col: str = "ve
                 scan(best, none, q_ids, q, seeds.column("id").to_numpy(), _matrix(seeds.column("v").combine_chunks()).astype(np.int64), turn, head)
             told = spark.sparkContext.broadcast((q_ids, q, best.floor(), turn, head))
             one = mine.select("id", "v").mapInArrow(_scanner(told, k), "query_id long, vec_id long, score long")
-            found = one if found is None else found.unionByName(one)
-    if found is None:
+            told_of.append(f"found-{dimension}-{b}")
+            scratch.keep(one, told_of[-1])
+            told.destroy()
+    if not told_of:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    found = spark.read.schema("query_id long, vec_id long, score long").parquet(*[scratch.path(name) for name in told_of])
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
