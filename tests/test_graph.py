@@ -104,9 +104,53 @@ def test_deductions_are_of_neighbours_alone(spark):
 
 
 def test_temporal_overlaps_come_once(spark):
-    spans = spark.createDataFrame([("g", 1, 0.0, 100.0), ("g", 2, 90.0, 5000.0), ("g", 3, 5100.0, 5200.0), ("h", 4, 0.0, 9.0)], "g string, k int, first double, last double")
-    assert {(r.a, r.b) for r in T.overlaps(spans, "g", "k", 0, 60).collect()} == {(1, 2)}
-    assert {(r.a, r.b) for r in T.overlaps(spans, "g", "k", 60, 60).collect()} == {(1, 2), (2, 3)}
+    spans = spark.createDataFrame([(1, 0.0, 100.0), (2, 90.0, 5000.0), (3, 5100.0, 5200.0), (4, 0.0, 9.0), (5, 9.0, 9.0)], "k int, first double, last double")
+    for tolerance, want in ((0, {(1, 2), (1, 4), (1, 5), (4, 5)}), (60, {(1, 2), (1, 4), (1, 5), (4, 5), (2, 3), (2, 4), (2, 5)})):
+        got = [(r.a, r.b) for r in T.overlaps(spans.where("k <> 3"), spans, "k", tolerance, 60).collect()]
+        both = want | {(b, a) for a, b in want}
+        assert sorted(got) == sorted((a, b) for a, b in both if a != 3)
+        counts = {r.k: r.n for r in T.overlap_counts(spans, "k", tolerance, 60).collect()}
+        assert counts == {k: sum(a == k for a, _ in both) for k in range(1, 6)}
+
+
+def test_associates_are_the_best_of_all(spark):
+    import random
+
+    rng = random.Random(5)
+    sets = {i: sorted({rng.choice("aabbbcdefgh") for _ in range(rng.randint(0, 5))}) for i in range(60)}
+    rows = spark.createDataFrame(list(sets.items()), "id int, k array<string>")
+    want = set()
+    for a in sets:
+        found = sorted((-len(set(sets[a]) & set(sets[b])), b) for b in sets if b != a and set(sets[a]) & set(sets[b]))[:3]
+        want |= {(a, b, -n, i + 1) for i, (n, b) in enumerate(found)}
+    assert {(r.a, r.b, r.n, r["rank"]) for r in P.autoassociate(rows, "id", "k", 3).collect()} == want
+
+
+def test_retrieval_is_exact_with_few_words_tried(spark):
+    import random
+
+    rng = random.Random(6)
+    words = lambda n: [rng.choice("abcdefghijkl") * rng.choice([1, 1, 1, 2]) for _ in range(n)]
+    docs = [(i, words(rng.randint(1, 9)), rng.randint(0, 9) / 10) for i in range(80)]
+    asked = [(q, words(rng.randint(1, 8))) for q in range(15)] + [(99, ["zz"])]
+    rows = spark.createDataFrame(docs, "id int, w array<string>, c double")
+    want = set()
+    for q, w in asked:
+        scored = sorted((-(len(set(w) & set(d)) / len(set(w)) * c), -c, i) for i, d, c in docs if set(w) & set(d))[:3]
+        want |= {(q, k + 1, i, round(-s, 6)) for k, (s, _, i) in enumerate(scored)}
+    for first in (1, 4):
+        got = P.keyword_retrieve(rows, "id", F.col("w"), F.col("c"), spark.createDataFrame(asked, "q int, words array<string>"), 3, first)
+        assert {(r.q, r["rank"], r.id, r.score) for r in got.collect()} == want
+
+
+def test_running_sums_go_on_over_ranges(spark):
+    rows = spark.createDataFrame([(c, 0) for c in range(50) for _ in range(c % 3 + 1)], "conv_id int, turn int")
+    got = {r.conv_id: r.kept for r in C.newest_messages(rows, 20).collect()}
+    left, want = 20, {}
+    for c in range(49, -1, -1):
+        want[c] = min(left, c % 3 + 1)
+        left -= want[c]
+    assert got == want
 
 
 def test_structure_search_drops_unknown_roles(spark, path):

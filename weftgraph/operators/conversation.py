@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.scores import jaccard
+from weftgraph.operators.temporal import running_sum
 
 
 def topic_shifts(messages: DataFrame, key: str = "conv_id", order: str = "turn", atoms: str = "atoms") -> DataFrame:
@@ -36,11 +37,11 @@ def topics(messages: DataFrame, top: int = 10) -> DataFrame:
 def newest_messages(messages: DataFrame, keep: int) -> DataFrame:
     """How many messages of each conversation stay when the oldest conversations' first messages go until ``keep`` are left.
 
-    Counts by conversation and their running sum decide; messages themselves aren't sorted.
+    Counts by conversation and their running sum, the newest first, decide; messages themselves aren't sorted.
     """
     n = messages.groupBy("conv_id").agg(F.count("*").alias("n"))
-    w = Window.orderBy(F.desc("conv_id"))
-    return n.withColumn("newer", F.sum("n").over(w) - F.col("n")).select("conv_id", F.greatest(F.lit(0), F.least("n", F.lit(keep) - F.col("newer"))).alias("kept"))
+    summed = running_sum(n, -F.col("conv_id"), [F.desc("conv_id")], "n", 4096)
+    return summed.select("conv_id", F.greatest(F.lit(0), F.least("n", F.lit(keep) - (F.col("running") - F.col("n")))).alias("kept"))
 
 
 def sessions(rows: DataFrame, key: str, time: str, gap_seconds: int) -> DataFrame:

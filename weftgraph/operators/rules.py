@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.operators.pairs import over_half
+
 #: Lifecycle and epistemic states that each state may change to.
 LIFECYCLE_CHANGES = {"New": ("New", "Candidate", "Deprecated"), "Candidate": ("Candidate", "Stable", "Deprecated"), "Stable": ("Stable", "Deprecated"), "Deprecated": ("Deprecated", "Candidate")}
 EPISTEMIC_CHANGES = {"Observed": ("Observed", "Inferred", "Grounded", "Contradicted"), "Inferred": ("Inferred", "Grounded", "Contradicted"), "Grounded": ("Grounded", "Contradicted"), "Contradicted": ("Contradicted", "Grounded")}
@@ -99,15 +101,13 @@ def npmi(tokens: DataFrame, key: str, least: int) -> DataFrame:
     return often.select("x", "y", "n", F.round(score, 6).alias("npmi"))
 
 
-def substitutable(tokens: DataFrame, key: str, asked: list[str], least: int) -> DataFrame:
-    """For the tokens asked about: the frequent tokens with which they share over half of the fewer of their followers; they meet on shared followers."""
+def substitutable(tokens: DataFrame, key: str, least: int) -> DataFrame:
+    """Pairs of frequent tokens that share over half of the fewer of their followers."""
     w = Window.partitionBy(key, "sent").orderBy("pos")
     follow = tokens.withColumn("next", F.lead("token").over(w))
-    often = follow.groupBy("token").agg(F.count("*").alias("n"), F.count_distinct("next").alias("c")).where(F.col("n") >= least)
-    flat = follow.where("next IS NOT NULL").select("token", "next").distinct().join(often, "token")
-    shared = flat.where(F.col("token").isin(asked)).select("next", F.col("token").alias("a"), F.col("c").alias("ca")).join(flat.select("next", F.col("token").alias("b"), F.col("c").alias("cb")), "next").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("shared"), F.first(F.least("ca", "cb")).alias("fewer"))
-    rate = F.col("shared") / F.col("fewer")
-    return shared.where(rate > 0.5).select("a", "b", "shared", F.round(rate, 6).alias("rate"))
+    often = follow.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("token")
+    rows = follow.where("next IS NOT NULL").select("token", "next").distinct().join(often, "token").withColumn("all", F.lit(0))
+    return over_half(rows, "all", "token", "next").select("a", "b", "shared", F.round(F.col("shared") / F.col("fewer"), 6).alias("rate"))
 
 
 def markup_kind(text: Column) -> Column:
@@ -178,22 +178,9 @@ def role_sets(comps: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def overlap_findings(comps: DataFrame, members: DataFrame, role: str) -> DataFrame:
-    """Pairs of one type that share more than half of the smaller one's nodes of a role.
-
-    Of s nodes, in the order of the rarest first, such a pair shares one of the smaller one's first s - s // 2, whatever the
-    rest; so these alone meet the larger ones, and pairs that meet are then counted whole. A frequent node links only where a
-    composition has nothing rarer to offer.
-    """
-    rows = members.where(F.col("role") == role).select("comp_id", "node_id").distinct()
-    often = rows.groupBy("node_id").agg(F.count("*").alias("d"))
-    nodes = rows.join(often, "node_id").groupBy("comp_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "node_id"))), lambda x: x["node_id"]).alias("nodes"))
-    sets = nodes.join(comps.select("comp_id", "comp_type"), "comp_id").select("comp_type", "comp_id", "nodes", F.size("nodes").alias("size"))
-    few = sets.select("comp_type", F.col("comp_id").alias("x"), F.col("size").alias("sx"), F.explode(F.slice("nodes", 1, F.col("size") - F.floor(F.col("size") / 2).cast("int"))).alias("node_id"))
-    all_ = sets.select("comp_type", F.col("comp_id").alias("y"), F.col("size").alias("sy"), F.explode("nodes").alias("node_id"))
-    met = few.join(all_, ["comp_type", "node_id"]).where("sx < sy OR (sx = sy AND x <> y)").select("x", "y").distinct()
-    told = met.join(sets.select(F.col("comp_id").alias("x"), "comp_type", F.col("nodes").alias("nx")), "x").join(sets.select(F.col("comp_id").alias("y"), F.col("nodes").alias("ny")), "y")
-    counted = told.select("comp_type", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.size("nx").alias("sx"), F.size(F.array_intersect("nx", "ny")).cast("long").alias("shared"))
-    return counted.where(F.col("shared") * 2 > F.col("sx")).select("comp_type", "a", "b", "shared").distinct()
+    """Pairs of one type that share more than half of the smaller one's nodes of a role."""
+    rows = members.where(F.col("role") == role).join(comps.select("comp_id", "comp_type"), "comp_id")
+    return over_half(rows, "comp_type", "comp_id", "node_id").select("comp_type", "a", "b", "shared")
 
 
 def seed_cooccurrence(members: DataFrame, seeds: list[str]) -> DataFrame:
@@ -219,6 +206,7 @@ def adjustment(rows: DataFrame, key: str, helped: Column, similarity: Column, le
     return rows.groupBy(key).agg(F.round(F.greatest(F.lit(-FAILURE), F.least(F.lit(SUCCESS), F.sum(counts))), 6).alias("adjustment"))
 
 
-def active(rows: DataFrame, last: str, as_of: Column, limit_seconds: float) -> DataFrame:
-    """Rows seen less than so many seconds ago."""
-    return rows.where(as_of - F.col(last) < limit_seconds)
+def active(rows: DataFrame, last: str, limit_seconds: float) -> DataFrame:
+    """Rows seen less than so many seconds before the last one of all."""
+    now = rows.agg(F.max(last).alias("_now"))
+    return rows.crossJoin(F.broadcast(now)).where(F.col("_now") - F.col(last) < limit_seconds).drop("_now")  # one row is broadcast

@@ -155,9 +155,9 @@ def pair_npmi(spark, d):
 
 
 @query(f"""{TOK}, b AS (SELECT doc_id, sent, pos, token, lead(token) OVER w AS nxt FROM tokens WINDOW w AS (PARTITION BY doc_id, sent ORDER BY pos)), c AS (SELECT token, list(DISTINCT nxt) FILTER (WHERE nxt IS NOT NULL) AS ctx, count(*) AS n FROM b GROUP BY token HAVING count(*) >= 200),
-    p AS (SELECT x.token AS a, y.token AS b, len(list_intersect(x.ctx, y.ctx)) AS shared, len(x.ctx) AS ca, len(y.ctx) AS cb FROM c x JOIN c y ON x.token <> y.token AND x.token IN ('the', 'of', 'and', 'to') WHERE len(list_intersect(x.ctx, y.ctx)) > 0) SELECT a, b, shared, round(shared::DOUBLE / least(ca, cb), 6) AS rate FROM p WHERE shared::DOUBLE / least(ca, cb) > 0.5""")
+    p AS (SELECT x.token AS a, y.token AS b, len(list_intersect(x.ctx, y.ctx)) AS shared, len(x.ctx) AS ca, len(y.ctx) AS cb FROM c x JOIN c y ON x.token < y.token WHERE len(list_intersect(x.ctx, y.ctx)) > 0) SELECT a, b, shared, round(shared::DOUBLE / least(ca, cb), 6) AS rate FROM p WHERE shared::DOUBLE / least(ca, cb) > 0.5""")
 def substitutable(spark, d):
-    return U.substitutable(tokens(spark, d), "doc_id", ["the", "of", "and", "to"], 200)
+    return U.substitutable(tokens(spark, d), "doc_id", 200)
 
 
 @query("""SELECT page_id, CASE WHEN html ILIKE '%<script%' THEN 'javascript' WHEN html ILIKE '%<style%' THEN 'css' WHEN html ILIKE '%<html%' OR html ILIKE '%<p>%' THEN 'html' ELSE 'text' END AS kind FROM pages""")
@@ -220,6 +220,5 @@ def active_records(spark, d):
     from weftgraph.operators.temporal import seconds
 
     rows = table(spark, d, "events")
-    now = rows.agg(F.max(seconds("ts"))).first()[0]  # one number
     seen = rows.groupBy("user_id", "event_type").agg(F.max(seconds("ts")).alias("last"), F.count("*").alias("n"))
-    return U.active(seen, "last", F.lit(now), 172_800).select("user_id", "event_type", "n")
+    return U.active(seen, "last", 172_800).select("user_id", "event_type", "n")

@@ -11,7 +11,7 @@ from weftgraph.operators import pairs as P
 from weftgraph.operators import temporal as T
 from weftgraph.operators import text as X
 from weftgraph.operators import vectors as V
-from weftgraph.sources.tables import table, tokens, with_sql, words
+from weftgraph.sources.tables import share, table, tokens, with_sql, words
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -86,20 +86,20 @@ def frame_quality(spark, d):
     return f.select(conf.alias("conf")).groupBy(S.frame_quality(F.lit(True), F.lit(True), F.col("conf")).alias("quality")).agg(F.count("*").alias("n"), F.round(F.avg("conf"), 6).alias("confidence"))
 
 
-@query("""WITH q AS (SELECT item_id AS q, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark), h AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS t FROM documents),
-    s AS (SELECT q, doc_id, round(count(*) / any_value(len(w))::DOUBLE, 6) AS score FROM (SELECT q, w, unnest(w) AS t FROM q) JOIN h USING (t) GROUP BY q, doc_id)
-    SELECT q, rank::INT AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 3""")
+@query("""WITH q AS (SELECT item_id AS q, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark), h AS (SELECT doc_id, (n_chars % 1000) / 1000.0::DOUBLE AS c, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS t FROM documents),
+    s AS (SELECT q, doc_id, any_value(c) AS c, count(*) / any_value(len(w))::DOUBLE * any_value(c) AS score FROM (SELECT q, w, unnest(w) AS t FROM q) JOIN h USING (t) GROUP BY q, doc_id)
+    SELECT q, rank::INT AS rank, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, c DESC, doc_id) AS rank FROM s) WHERE rank <= 3""")
 def keyword_retrieve(spark, d):
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("q"), words("text").alias("words"))
-    return P.keyword_retrieve(table(spark, d, "documents"), "doc_id", words("text"), asked, 3)
+    return P.keyword_retrieve(table(spark, d, "documents"), "doc_id", words("text"), share("n_chars"), asked, 3)
 
 
 @query(f"""{TOK}, n AS (SELECT doc_id, token, count(*) AS n FROM tokens WHERE token NOT IN {STOP} AND length(token) >= 3 GROUP BY 1, 2), k AS (SELECT doc_id, token FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, token) AS r FROM n) WHERE r <= 5),
-    rare AS (SELECT token FROM k GROUP BY token HAVING count(*) BETWEEN 2 AND 50), f AS (SELECT * FROM k JOIN rare USING (token)), p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM f x JOIN f y USING (token) WHERE x.doc_id <> y.doc_id GROUP BY 1, 2)
+    p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM k x JOIN k y USING (token) WHERE x.doc_id <> y.doc_id GROUP BY 1, 2)
     SELECT a, b, n, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS rank FROM p) WHERE rank <= 3""")
 def autoassociate(spark, d):
     k = X.document_keywords(tokens(spark, d), 5).groupBy("doc_id").agg(F.collect_list("token").alias("keywords"))
-    return P.autoassociate(k, "doc_id", "keywords", 3, 50)
+    return P.autoassociate(k, "doc_id", "keywords", 3)
 
 
 def _messages(spark, d):
@@ -142,26 +142,35 @@ def observations(spark, d):
     return T.observations(table(spark, d, "events"), ["user_id", "event_type"], "ts")
 
 
-SESSIONS = "g AS (SELECT *, coalesce((epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1e6 > 86400, true)::INT AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING)::BIGINT AS session FROM g), spans AS (SELECT event_type, user_id * 100000 + session AS k, min(epoch_us(ts) / 1e6) AS first, max(epoch_us(ts) / 1e6) AS last FROM s WHERE event_type IN ('error', 'signup') GROUP BY 1, 2)"
+SESSIONS = """g AS (SELECT *, coalesce((epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1e6 > 86400, true)::INT AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING)::BIGINT AS session FROM g),
+    spans AS (SELECT user_id, event_type || ':' || user_id || ':' || session AS label, min(epoch_us(ts) / 1e6) AS first, max(epoch_us(ts) / 1e6) AS last FROM s GROUP BY event_type, user_id, session)"""
 
 
-@query(f"WITH {SESSIONS} SELECT x.event_type, x.k AS a, y.k AS b FROM spans x JOIN spans y ON x.event_type = y.event_type AND x.k < y.k AND x.first - 60 <= y.last + 60 AND y.first - 60 <= x.last + 60")
-def temporal_overlap(spark, d):
+def _spans(spark, d):
     from pyspark.sql import Window
 
     w = Window.partitionBy("user_id").orderBy("ts")
     s = table(spark, d, "events").withColumn("s", T.seconds("ts")).withColumn("new", F.coalesce(F.col("s") - F.lag("s").over(w) > 86400, F.lit(True)).cast("int")).withColumn("session", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = s.where("event_type IN ('error', 'signup')").groupBy("event_type", (F.col("user_id") * 100000 + F.col("session")).alias("k")).agg(F.min("s").alias("first"), F.max("s").alias("last"))
-    return T.overlaps(spans, "event_type", "k", 60, 6 * 3600)
+    return s.groupBy("event_type", "user_id", "session").agg(F.min("s").alias("first"), F.max("s").alias("last")).select("user_id", F.concat_ws(":", "event_type", F.col("user_id").cast("string"), F.col("session").cast("string")).alias("label"), "first", "last")
+
+
+@query(f"WITH {SESSIONS} SELECT x.label AS a, y.label AS b FROM spans x JOIN spans y ON x.user_id % 100 = 0 AND x.label <> y.label AND x.first - 60 <= y.last + 60 AND y.first - 60 <= x.last + 60")
+def temporal_overlap(spark, d):
+    spans = _spans(spark, d)
+    return T.overlaps(spans.where("user_id % 100 = 0"), spans, "label", 60, 6 * 3600)
+
+
+@query(f"WITH {SESSIONS}, p AS (SELECT x.label, count(*) AS n FROM spans x JOIN spans y ON x.label <> y.label AND x.first - 60 <= y.last + 60 AND y.first - 60 <= x.last + 60 GROUP BY 1) SELECT label, coalesce(n, 0) AS n FROM spans LEFT JOIN p USING (label)")
+def temporal_overlap_counts(spark, d):
+    return T.overlap_counts(_spans(spark, d), "label", 60, 3600)
 
 
 @query("""WITH o AS (SELECT 'u' || user_id || event_type AS label, min(epoch_us(ts)) / 1e6 AS first, max(epoch_us(ts)) / 1e6 AS last, count(*) AS n FROM events GROUP BY 1), e AS (SELECT max(epoch_us(ts)) / 1e6 AS now FROM events)
     SELECT label, round(n / greatest(1.0, (now - first) / 3600) * CASE WHEN now - last <= 86400 THEN 2.0 ELSE 0.5 END, 6)::DOUBLE AS rate FROM o, e ORDER BY rate DESC, label LIMIT 50""")
 def rising_labels(spark, d):
     rows = table(spark, d, "events")
-    now = rows.agg(F.max(T.seconds("ts"))).first()[0]  # one number
     spans = rows.groupBy(F.concat(F.lit("u"), F.col("user_id"), F.col("event_type")).alias("label")).agg(F.min(T.seconds("ts")).alias("first"), F.max(T.seconds("ts")).alias("last"), F.count("*").alias("access_count"))
-    return T.rising(spans, F.lit(now), 24, 50)
+    return T.rising(spans, 24, 50)
 
 
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events), t AS (SELECT user_id, event_type AS state FROM r WHERE k = 1)
