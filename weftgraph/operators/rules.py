@@ -16,14 +16,6 @@ LIFECYCLE_CHANGES = {"New": ("New", "Candidate", "Deprecated"), "Candidate": ("C
 EPISTEMIC_CHANGES = {"Observed": ("Observed", "Inferred", "Grounded", "Contradicted"), "Inferred": ("Inferred", "Grounded", "Contradicted"), "Grounded": ("Grounded", "Contradicted"), "Contradicted": ("Contradicted", "Grounded")}
 
 
-def neighbour_contradictions(rows: DataFrame, keys: list[str], order: list[str], polarity: Column, purpose: str) -> DataFrame:
-    """Each row against the next of its keys: opposite polarity first, else another purpose."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    p = rows.withColumn("_p", polarity).withColumn("_next", F.lead(F.struct("_p", F.col(purpose).alias("purpose"))).over(w)).where("_next IS NOT NULL")
-    kind = F.when(F.col("_p") != F.col("_next._p"), "Polarity").when(F.col(purpose) != F.col("_next.purpose"), "Purpose")
-    return p.withColumn("contradiction", kind).where("contradiction IS NOT NULL").drop("_p", "_next")
-
-
 def hidden_conflicts(hidden: DataFrame, events: DataFrame) -> DataFrame:
     """Hidden meanings (comp_id, source, negated) against the events that they point to (source, negated)."""
     both = hidden.join(events.withColumnRenamed("negated", "event_negated"), "source", "left")

@@ -5,11 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Words that say nothing by themselves.
+#: Words that say nothing by themselves.
 STOPWORDS = ("a", "an", "and", "as", "at", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
-#: Words that negate, and that a cause, a purpose or a condition follows.
-NEGATIONS = ("no", "not", "never", "none")
-MARKERS = {"Cause": ("because", "since"), "Purpose": ("for", "to"), "Condition": ("if", "unless")}
 
 
 def bucket(pos: Column, n: Column) -> Column:
@@ -65,13 +62,6 @@ def reduplicated(word: Column) -> Column:
     return F.when(half != "", half)
 
 
-def frames(sentences: DataFrame, key: list[str], words: Column) -> DataFrame:
-    """Agent (first word), predicate (second), patient (third), negation, and the words after markers, of sentences of three words or more."""
-    after = lambda names: F.coalesce(*[F.when(F.array_position("w", F.lit(m)) > 0, F.try_element_at("w", (F.array_position("w", F.lit(m)) + 1).cast("int"))) for m in names])
-    rows = sentences.withColumn("w", words).where(F.size("w") >= 3)
-    return rows.select(*key, F.col("w")[0].alias("agent"), F.col("w")[1].alias("predicate"), F.col("w")[2].alias("patient"), F.arrays_overlap("w", F.array(*[F.lit(n) for n in NEGATIONS])).alias("negated"), *[after(m).alias(r.lower()) for r, m in MARKERS.items()], F.size("w").alias("n"))
-
-
 def number(text: Column) -> Column:
     """The first number of a text; a percent sign after it divides by 100, k and m multiply."""
     value = F.regexp_extract(text, r"([0-9]+(?:\.[0-9]+)?)\s*(%|k\b|m\b)?", 1)

@@ -27,12 +27,6 @@ def query(sql: str | None = None):
     return keep
 
 
-@query("SELECT event_type, user_id, contradiction, count(*) AS n FROM (SELECT x.event_type, x.user_id, CASE WHEN (x.value > 50) <> (y.value > 50) THEN 'Polarity' WHEN x.props <> y.props THEN 'Purpose' END AS contradiction FROM (SELECT *, row_number() OVER w AS k FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)) x JOIN (SELECT *, row_number() OVER w AS k FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)) y ON x.user_id = y.user_id AND x.event_type = y.event_type AND y.k = x.k + 1) WHERE contradiction IS NOT NULL GROUP BY ALL")
-def contradictions(spark: SparkSession, d: str) -> DataFrame:
-    found = U.neighbour_contradictions(table(spark, d, "events"), ["user_id", "event_type"], ["ts", "event_id"], F.col("value") > 50, "props")
-    return found.groupBy("event_type", "user_id", "contradiction").agg(F.count("*").alias("n"))
-
-
 @query(f"""{CM}, h AS (SELECT comp_id, comp_id + 1 AS source FROM comps WHERE comp_type = 'HiddenMeaning') SELECT h.comp_id, source, CASE WHEN e.comp_id IS NULL THEN 'Unlinked' WHEN (h.comp_id % 2) <> (e.comp_id % 3 % 2) THEN 'Negation' ELSE 'None' END AS conflict FROM h LEFT JOIN comps e ON e.comp_id = source AND e.comp_type = 'Event'""")
 def hidden_meanings(spark, d):
     comps = compositions(spark, d)

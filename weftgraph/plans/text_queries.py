@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import scores as S
 from weftgraph.operators import conversation as C
+from weftgraph.operators import frames as M
 from weftgraph.operators import pairs as P
 from weftgraph.operators import temporal as T
 from weftgraph.operators import text as X
@@ -61,29 +62,47 @@ def document_keywords(spark, d):
     return X.document_keywords(tokens(spark, d), 5)
 
 
-FRAMES = with_sql("sentences") + """, w AS (SELECT doc_id, sent, regexp_extract_all(sentence, '[a-z]+') AS w FROM sentences),
-    f AS (SELECT doc_id, sent, w[1] AS agent, w[2] AS predicate, w[3] AS patient, list_has_any(w, ['no', 'not', 'never', 'none']) AS negated, len(w) AS n,
-      coalesce(w[nullif(list_position(w, 'because'), 0) + 1], w[nullif(list_position(w, 'since'), 0) + 1]) AS cause, coalesce(w[nullif(list_position(w, 'for'), 0) + 1], w[nullif(list_position(w, 'to'), 0) + 1]) AS purpose,
-      coalesce(w[nullif(list_position(w, 'if'), 0) + 1], w[nullif(list_position(w, 'unless'), 0) + 1]) AS condition FROM w WHERE len(w) >= 3)"""
+#: What a user teaches for these texts.
+KNOWN = M.Knowledge().taught(common_verb=("is", "was", "are", "be", "est", "ist", "es", "sind"), negation=("not", "no", "ne", "nicht", "never"), cause=("because", "car", "weil"), purpose=("for", "to", "pour", "para"), condition=("if", "unless", "wenn", "si"))
+_list = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+_verb = lambda x: f"(list_contains({_list(KNOWN.common_verb)}, {x}) OR " + " OR ".join(f"(starts_with({x}, '{p}') AND strlen({x}) > {len(p) + 1})" for p in KNOWN.verb_prefix) + ")"
+_in = lambda x, *kinds: f"list_contains({_list([w for k in kinds for w in getattr(KNOWN, k)])}, {x})"
+_at = lambda fits, words="l": f"coalesce(list_position(list_transform({words}, lambda x: {fits}), true), 0)"
+_tail = lambda i: f"CASE WHEN {i} > 0 AND {i} < len(l) THEN array_to_string(l[{i} + 1:], ' ') END"
+FRAMES = f"""WITH raw AS (SELECT doc_id, generate_subscripts(s, 1) - 1 AS sent, regexp_extract_all(unnest(s), '[^ \t\r\n]+') AS t FROM (SELECT doc_id, regexp_split_to_array(text, '[.?!]') AS s FROM documents)),
+    r AS (SELECT *, list_transform(t, lambda x: lower(x)) AS l FROM raw WHERE len(t) >= 3 AND len(list_distinct(t)) > 1),
+    v AS (SELECT *, len(list_filter(l, lambda x: starts_with(x, 'di') AND strlen(x) > 3 AND NOT (starts_with(x, 'dia') AND strlen(x) <= 4) AND (substr(x, 3, 1) NOT IN ('a', 'e', 'i', 'o', 'u') OR strlen(x) >= 6))) > 0 AS passive, len(list_filter(l, lambda x: {_in("x", "negation")})) > 0 AS negative FROM r WHERE len(list_filter(l, lambda x: {_verb("x")})) > 0),
+    a AS (SELECT *, CASE WHEN passive THEN {_at("starts_with(x, 'di') AND strlen(x) > 2")} WHEN {_at("starts_with(x, 'me') AND strlen(x) > 2")} > 0 THEN {_at("starts_with(x, 'me') AND strlen(x) > 2")} ELSE {_at(_verb("x"))} END AS k FROM v),
+    i AS (SELECT *, list_position(t, t[k]) AS pp, coalesce(list_position(l, 'oleh'), 0) AS by_, {_at(_in("x", "cause"), "l[1:len(l) - 1]")} AS c, {_at(_in("x", "purpose"), "l[1:len(l) - 1]")} AS p, {_at(_in("x", "condition"))} AS q FROM a WHERE k > 0),
+    f AS (SELECT doc_id, sent, l[pp] AS predicate, CASE WHEN passive THEN 'passive' ELSE 'active' END AS voice, negative,
+      CASE WHEN passive THEN CASE WHEN by_ > 0 THEN l[by_ + 1] END WHEN pp > 1 AND NOT {_in("l[pp - 1]", "negation", "cause", "purpose", "condition")} THEN l[pp - 1] END AS agent,
+      CASE WHEN passive THEN list_filter(l[1:pp - 1], lambda x: NOT {_in("x", "negation")} AND NOT {_verb("x")})[-1] WHEN pp < len(l) AND NOT {_in("l[pp + 1]", "negation", "cause", "purpose", "condition")} THEN l[pp + 1] END AS patient,
+      {_tail("c")} AS cause, {_tail("p")} AS purpose, CASE WHEN q > 1 THEN array_to_string(l[1:q - 1], ' ') END AS antecedent, {_tail("q")} AS consequent FROM i),
+    frames AS (SELECT *, round(greatest(0.0, least(1.0, 0.30::DOUBLE + 0.15::DOUBLE * ((agent IS NOT NULL)::INT + (patient IS NOT NULL)::INT) + 0.10::DOUBLE * ((cause IS NOT NULL)::INT + (purpose IS NOT NULL)::INT + (antecedent IS NOT NULL)::INT + (consequent IS NOT NULL)::INT) - CASE WHEN negative THEN 0.05::DOUBLE ELSE 0 END)), 6)::DOUBLE AS confidence FROM f)"""
 
 
 def _frames(spark, d):
-    text = table(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.lower("text"), "[.?!]")).alias("sent", "sentence"))
-    return X.frames(text, ["doc_id", "sent"], F.regexp_extract_all("sentence", F.lit("[a-z]+"), 0))
+    text = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "[.?!]")).alias("sent", "sentence"))
+    return M.frames(text, ["doc_id", "sent"], F.regexp_extract_all("sentence", F.lit(r"[^ \t\r\n]+"), 0), KNOWN)
 
 
-@query(f"{FRAMES} SELECT doc_id, sent, agent, predicate, patient, negated, cause, purpose, condition, n FROM f")
+@query(f"{FRAMES} SELECT * FROM frames")
 def sentence_frames(spark, d):
     return _frames(spark, d)
 
 
-@query(f"""{FRAMES}, c AS (SELECT *, greatest(0.0, least(1.0, 0.30 + 0.15 + 0.15 + 0.10 * ((cause IS NOT NULL)::INT + (purpose IS NOT NULL)::INT + (condition IS NOT NULL)::INT) - CASE WHEN negated THEN 0.05 ELSE 0 END))::DOUBLE AS conf FROM f)
-    SELECT quality, count(*) AS n, round(avg(conf), 6) AS confidence FROM (SELECT *, CASE WHEN conf >= 0.6999 THEN 'High' WHEN conf >= 0.45 THEN 'Moderate' ELSE 'Low' END AS quality FROM c) GROUP BY quality""")
+@query(f"""{FRAMES} SELECT quality, count(*) AS n, round(avg(confidence), 6) AS confidence FROM (SELECT *, CASE WHEN confidence >= 0.7 AND agent IS NOT NULL AND patient IS NOT NULL THEN 'High' WHEN confidence >= 0.45 AND (agent IS NOT NULL OR patient IS NOT NULL) THEN 'Moderate' WHEN confidence >= 0.3 THEN 'Low' ELSE 'Failed' END AS quality FROM frames) GROUP BY quality""")
 def frame_quality(spark, d):
     f = _frames(spark, d)
-    others = sum((F.col(c).isNotNull().cast("int") for c in ("purpose", "condition")), F.col("cause").isNotNull().cast("int"))
-    conf = F.round(S.frame_confidence(F.lit(True), F.lit(True), others, F.col("negated")), 6)
-    return f.select(conf.alias("conf")).groupBy(S.frame_quality(F.lit(True), F.lit(True), F.col("conf")).alias("quality")).agg(F.count("*").alias("n"), F.round(F.avg("conf"), 6).alias("confidence"))
+    quality = S.frame_quality(F.col("agent").isNotNull(), F.col("patient").isNotNull(), F.col("confidence"))
+    return f.groupBy(quality.alias("quality")).agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("confidence"))
+
+
+@query(f"""{FRAMES}, e AS (SELECT *, row_number() OVER () AS id, coalesce(len(list_filter({_list([x.replace("'", "''") for x in M.DENIALS])}, lambda d: contains(lower(cause), d))) > 0, false) AS denied FROM frames WHERE agent IS NOT NULL),
+    p AS (SELECT x.predicate, CASE WHEN x.agent = y.agent AND (x.denied <> y.denied OR coalesce(x.cause <> y.cause, false)) THEN 'Polarity' WHEN x.agent = y.patient AND x.patient = y.agent THEN 'RoleReversal' WHEN x.agent = y.agent AND x.purpose <> y.purpose THEN 'Purpose' END AS kind
+      FROM e x JOIN e y ON x.predicate = y.predicate AND x.id < y.id AND (x.agent = y.agent OR x.agent = y.patient)) SELECT predicate, kind, count(*)::BIGINT AS pairs FROM p WHERE kind IS NOT NULL GROUP BY 1, 2""")
+def contradictions(spark, d):
+    return M.contradictions(_frames(spark, d)).groupBy("predicate", "kind").agg(F.sum("pairs").alias("pairs"))
 
 
 @query("""WITH q AS (SELECT item_id AS q, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark), h AS (SELECT doc_id, (n_chars % 1000) / 1000.0::DOUBLE AS c, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS t FROM documents),
