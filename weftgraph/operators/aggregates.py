@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.functions import scores as S
+
 
 def summary(comps: DataFrame) -> DataFrame:
     """Count and mean confidence by lifecycle, by epistemic state, and of all."""
@@ -105,3 +108,23 @@ def topology_currents(edges: DataFrame) -> DataFrame:
     """Sum of confidence over a node's edges in both directions."""
     both = edges.select(F.col("src").alias("node_id"), "confidence").unionAll(edges.select(F.col("dst").alias("node_id"), "confidence"))
     return both.groupBy("node_id").agg(F.round(F.sum("confidence"), 4).alias("current"))
+
+
+#: Steps of the fit, their rate, and how many observations it takes.
+STEPS, RATE, LEAST_SEEN = 1000, 0.01, 10
+
+
+def platt(seen: DataFrame, raw: str, right: str, digits: int = 4) -> DataFrame:
+    """For each raw confidence, rounded so that there are at most 10 ** digits of 0 to 1: how often it was seen and was right, and sigmoid(a * raw + b), fitted by gradient descent; a = 1 and b = 0 with too few.
+
+    Observations are counted by Spark; the fit takes its thousand steps over the counts.
+    """
+    counts = seen.groupBy(F.round(raw, digits).alias(raw)).agg(F.count("*").alias("n"), F.sum(right).cast("long").alias(right))
+    rows = counts.orderBy(raw).collect()  # at most 10 ** digits rows
+    x, n, y = (np.array([r[c] for r in rows], np.float64) for c in (raw, "n", right))
+    a, b = 1.0, 0.0
+    if n.sum() >= LEAST_SEEN:
+        for _ in range(STEPS):
+            error = n / (1 + np.exp(-np.clip(a * x + b, -500, 500))) - y
+            a, b = a - RATE * (error * x).sum() / n.sum(), b - RATE * error.sum() / n.sum()
+    return counts.select("*", F.round(S.logistic(a * F.col(raw) + b), 6).alias("calibrated"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.scores import jaccard
+from weftgraph.operators.pairs import jaccard_pairs
 from weftgraph.operators.temporal import running_sum
 
 
@@ -17,14 +18,21 @@ def topic_shifts(messages: DataFrame, key: str = "conv_id", order: str = "turn",
     return rows.select(key, order, overlap.alias("overlap"), F.round(1 - overlap, 3).alias("magnitude"), (overlap < 0.5).alias("shift"))
 
 
-def semantic_links(messages: DataFrame, least: float = 0.05) -> DataFrame:
-    """Pairs of messages of a conversation, the later first, that share a word: their overlap, and whether one holds all of the other's words."""
-    flat = messages.select("conv_id", "turn", F.explode("atoms").alias("w"))
-    size = messages.select("conv_id", "turn", F.size("atoms").alias("size"))
-    n = flat.withColumnRenamed("turn", "a").join(flat.withColumnRenamed("turn", "b"), ["conv_id", "w"]).where("b < a").groupBy("conv_id", "a", "b").agg(F.count("*").alias("n"))
-    told = n.join(size.withColumnsRenamed({"turn": "a", "size": "sa"}), ["conv_id", "a"]).join(size.withColumnsRenamed({"turn": "b", "size": "sb"}), ["conv_id", "b"])
-    overlap = F.col("n") / (F.col("sa") + F.col("sb") - F.col("n"))
-    return told.where(overlap >= least).select("conv_id", "a", "b", F.round(overlap, 6).alias("overlap"), ((F.col("n") == F.least("sa", "sb")) & (F.col("sa") != F.col("sb"))).alias("elaborates"))
+def semantic_links(messages: DataFrame, least: float = 0.3) -> DataFrame:
+    """Links from a message to an earlier one of its conversation: conv_id, a, b, link, weight.
+
+    A semantic link if more than ``least`` of both messages' words is shared; an elaboration if all of its words are among the
+    other's more, and both have one role. Messages meet on rare words, as their definitions allow.
+    """
+    sets = messages.select("conv_id", F.col("turn").alias("key"), "role", F.col("atoms").alias("items")).where(F.size("items") > 0)
+    alike = jaccard_pairs(sets, sets, "conv_id", least).where(F.col("overlap") > least).where("b < a").select("conv_id", "a", "b", F.lit("semantic_link").alias("link"), F.round("overlap", 6).alias("weight"))
+    flat = sets.select("conv_id", "key", "role", F.explode("items").alias("i"), F.size("items").alias("n"), "items")
+    often = flat.groupBy("conv_id", "i").agg(F.count("*").alias("d"))
+    rarest = flat.drop("items").join(often, ["conv_id", "i"]).groupBy("conv_id", "key", "role", "n").agg(F.min_by("i", F.struct("d", "i")).alias("i"))
+    wider = flat.select("conv_id", "i", "role", F.col("key").alias("b"), F.col("n").alias("m"), F.col("items").alias("ib"))
+    met = rarest.join(wider, ["conv_id", "i", "role"]).where("b < key AND n < m").join(sets.select("conv_id", "key", F.col("items").alias("ia")), ["conv_id", "key"])
+    inside = met.where(F.size(F.array_except("ia", "ib")) == 0).select("conv_id", F.col("key").alias("a"), "b", F.lit("elaboration").alias("link"), F.round(F.col("n") / F.col("m"), 6).alias("weight"))
+    return alike.unionByName(inside)
 
 
 def topics(messages: DataFrame, top: int = 10) -> DataFrame:

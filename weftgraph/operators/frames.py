@@ -107,7 +107,7 @@ def contradictions(events: DataFrame) -> DataFrame:
     """
     parts = ("predicate", "agent", "patient", "cause", "purpose")
     kinds = events.where("predicate IS NOT NULL AND agent IS NOT NULL").groupBy(*parts).agg(F.count("*").alias("n"))
-    kinds = kinds.withColumn("id", F.xxhash64(*parts)).withColumn("denied", F.coalesce(F.exists(F.array(*[F.lit(d) for d in DENIALS]), lambda d: F.contains(F.lower("cause"), d)), F.lit(False)))
+    kinds = kinds.withColumn("id", F.xxhash64(*parts, *[F.col(c).isNull() for c in parts])).withColumn("denied", F.coalesce(F.exists(F.array(*[F.lit(d) for d in DENIALS]), lambda d: F.contains(F.lower("cause"), d)), F.lit(False)))
     side = lambda s: kinds.select("predicate", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "agent", "patient", "cause", "purpose", "denied")])
     one, two = side("a"), side("b")
     polarity = (F.col("denied_a") != F.col("denied_b")) | F.coalesce(F.col("cause_a") != F.col("cause_b"), F.lit(False))
@@ -120,3 +120,17 @@ def contradictions(events: DataFrame) -> DataFrame:
     ends = ["predicate", F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "kind", (F.col("n_a") * F.col("n_b")).alias("pairs")]
     own = kinds.where("agent = patient AND n > 1").select("predicate", F.col("id").alias("a"), F.col("id").alias("b"), F.lit("RoleReversal").alias("kind"), F.floor(F.col("n") * (F.col("n") - 1) / 2).alias("pairs"))
     return same.where("kind IS NOT NULL").select(*ends).unionByName(turned.select(*ends)).distinct().unionByName(own)
+
+
+#: What a meaning keeps of its event's confidence, by rule.
+KEPT = {"problem_solution": 0.85, "condition_consequence": 0.90}
+
+
+def derived(events: DataFrame, key: list[str]) -> DataFrame:
+    """Hidden meanings of frames: a cause is a problem that the patient solves; an antecedent implies its consequent. key, rule, given, then_, agent, confidence."""
+    rules = [
+        ("problem_solution", F.col("cause").isNotNull() & F.col("agent").isNotNull() & F.col("patient").isNotNull(), "cause", "patient"),
+        ("condition_consequence", F.col("antecedent").isNotNull() & F.col("consequent").isNotNull(), "antecedent", "consequent"),
+    ]
+    found = [F.when(fits, F.struct(F.lit(name).alias("rule"), F.col(given).alias("given"), F.col(then).alias("then_"), "agent", F.round(F.lit(KEPT[name]) * F.col("confidence") + 1e-9, 6).alias("confidence"))) for name, fits, given, then in rules]
+    return events.select(*key, F.inline(F.array_compact(F.array(*found))))

@@ -12,8 +12,10 @@ from weftgraph.operators import governance as G
 from weftgraph.operators import graph as R
 from weftgraph.operators import lookup as L
 from weftgraph.operators import pairs as P
+from weftgraph.operators import senses as N
+from weftgraph.sources import store as Z
 from weftgraph.sources.scratch import kept
-from weftgraph.sources.tables import compositions, edges, members, table, typed_members, with_sql
+from weftgraph.sources.tables import compositions, edges, members, share, table, typed_members, with_sql
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -410,6 +412,85 @@ def bridging_compositions(spark, d):
     return R.bridges(rows, _activations(spark, d, rows, "p100", "p200"), "p100", "p200")
 
 
+GROUNDED = "SELECT 'p' || p_partkey AS seed, 'p' || p_partkey AS node_id, 0.5::DOUBLE + 0.5::DOUBLE * (p_partkey // 100 % 5) / 4 AS energy FROM part WHERE p_partkey % 100 = 0"
+
+
+@query(f"{CM}, {_spread_sql(GROUNDED)} SELECT seed, count(*) AS n, round(sum(energy), 4) AS total FROM act GROUP BY seed")
+def targeted_spread(spark, d):
+    seeds = table(spark, d, "part").where("p_partkey % 100 = 0").select(F.concat(F.lit("p"), F.col("p_partkey")).alias("seed"), (F.floor(F.col("p_partkey") / 100) % 5 / 4).alias("grounding"))
+    act = R.targeted_spread(members(spark, d), seeds.select("seed", F.col("seed").alias("node_id"), F.lit(1.0).alias("energy"), "grounding"))
+    return act.groupBy("seed").agg(F.count("*").alias("n"), F.round(F.sum("energy"), 4).alias("total"))
+
+
+CONTEXT = PARTS + " UNION ALL SELECT 'context', 's' || s_suppkey, 1.0::DOUBLE FROM supplier WHERE s_suppkey IN (1, 2, 3)"
+
+
+@query(f"""{CM}, {_spread_sql(CONTEXT)}, c AS (SELECT node_id, energy FROM act WHERE seed = 'context'), o AS (SELECT seed, count(*) AS n, count(c.energy) AS common FROM act LEFT JOIN c USING (node_id) WHERE seed <> 'context' GROUP BY seed),
+    m AS (SELECT DISTINCT comp_id, node_id FROM members), k AS (SELECT x.node_id, count(*) / 3.0::DOUBLE AS a FROM m x JOIN m y ON x.comp_id = y.comp_id AND y.node_id IN ('s1', 's2', 's3') GROUP BY 1)
+    SELECT seed AS target, round(0.4::DOUBLE * coalesce(c.energy, 0) + 0.4::DOUBLE * common / (n + (SELECT count(*) FROM c) - common) + 0.2::DOUBLE * coalesce(a / (a + 2), 0), 6) AS score FROM o LEFT JOIN c ON c.node_id = seed LEFT JOIN k ON k.node_id = seed""")
+def attention_scores(spark, d):
+    targets = table(spark, d, "part").where("p_partkey % 100 = 0").select(F.concat(F.lit("p"), F.col("p_partkey")).alias("node_id"))
+    context = table(spark, d, "supplier").where("s_suppkey IN (1, 2, 3)").select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("node_id"), F.lit(1.0).alias("energy"))
+    return R.attention(members(spark, d), targets, context)
+
+
+SENSES = """senses AS (SELECT 'p' || l_partkey AS node_id, l_linenumber AS sense, ['Fragile', 'Tentative', 'Grounded', 'Mature'][l_orderkey % 4 + 1] AS grounding, (floor(l_extendedprice)::BIGINT % 1000) / 1000.0::DOUBLE AS coherence FROM lineitem WHERE l_returnflag = 'R')"""
+
+
+def _senses(spark, d):
+    lines = table(spark, d, "lineitem").where("l_returnflag = 'R'")
+    grounding = F.element_at(F.array(*[F.lit(g) for g in ("Fragile", "Tentative", "Grounded", "Mature")]), (F.col("l_orderkey") % 4 + 1).cast("int"))
+    return lines.select(F.concat(F.lit("p"), F.col("l_partkey")).alias("node_id"), F.col("l_linenumber").alias("sense"), grounding.alias("grounding"), share("l_extendedprice").alias("coherence"))
+
+
+@query(f"{CM}, {SENSES} SELECT comp_id, round(coalesce(0.15::DOUBLE * (1 - sum(coherence) / nullif(count(coherence), 0)), 0) + 1e-9, 6) AS penalty FROM members LEFT JOIN senses USING (node_id) GROUP BY comp_id")
+def coherence_penalty(spark, d):
+    return N.coherence_penalty(members(spark, d), _senses(spark, d))
+
+
+TOLD = "told AS (SELECT comp_id, epistemic <> 'Contradicted' AS confirms FROM comps WHERE epistemic = 'Contradicted' OR (lifecycle = 'Stable' AND comp_id % 40 = 0))"
+
+
+def _told(spark, d):
+    comps = compositions(spark, d)
+    return comps.where("epistemic = 'Contradicted' OR (lifecycle = 'Stable' AND comp_id % 40 = 0)").select("comp_id", (F.col("epistemic") != "Contradicted").alias("confirms"))
+
+
+@query(f"{CM}, {TOLD} SELECT node_id, count(*) FILTER (WHERE confirms) AS confirming, count(*) FILTER (WHERE NOT confirms) AS contradicting FROM (SELECT DISTINCT comp_id, node_id FROM members) JOIN told USING (comp_id) GROUP BY node_id")
+def sense_evidence(spark, d):
+    return N.evidence(members(spark, d), _told(spark, d))
+
+
+@query(f"""{CM}, {SENSES}, {TOLD}, rare AS (SELECT * FROM members WHERE comp_id % 100 = 0), g AS (SELECT node_id, least(1.0, count(DISTINCT comp_id) / 10.0) AS c FROM rare GROUP BY 1), e AS (SELECT node_id, count(*) AS k FROM rare JOIN told USING (comp_id) WHERE confirms GROUP BY 1)
+    SELECT node_id, sense, grounding, coherence FROM senses LEFT JOIN g USING (node_id) LEFT JOIN e USING (node_id) WHERE NOT (grounding = 'Fragile' AND coalesce(c, 0) < 0.1 AND coalesce(k, 0) = 0 AND coherence < 0.2)""")
+def kept_senses(spark, d):
+    rows = members(spark, d).where("comp_id % 100 = 0")  # a graph in which some nodes have no composition
+    return N.kept(_senses(spark, d), rows, N.evidence(rows, _told(spark, d)))
+
+
+@query(f"{CM} SELECT comp_id, pos, node_id, role, round(confidence, 6) AS confidence FROM members")
+def snapshot_round_trip(spark, d):
+    return Z.members_of_snapshot(Z.snapshot_rows(members(spark, d))).withColumn("confidence", F.round("confidence", 6))
+
+
+@query("""WITH e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst, CASE WHEN l_partkey % 3 = 0 THEN -0.8::DOUBLE ELSE 0.6::DOUBLE END AS w FROM lineitem), v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), u AS (SELECT vec_id, unnest(e) AS x, generate_subscripts(e, 1) AS k FROM v),
+    m AS (SELECT dst, k, sum(w * x) / sum(abs(w)) AS m FROM e JOIN u ON vec_id = src GROUP BY dst, k), b AS (SELECT vec_id, k, m IS NOT NULL AS told, CASE WHEN m IS NULL THEN x ELSE 0.5::DOUBLE * x + 0.5::DOUBLE * m END AS x FROM u LEFT JOIN m USING (k) WHERE m.dst = vec_id OR m.dst IS NULL UNION ALL SELECT vec_id, k, false, x FROM u WHERE vec_id NOT IN (SELECT dst FROM m)),
+    n AS (SELECT vec_id, CASE WHEN bool_or(told) THEN sqrt(sum(x * x)) ELSE 1 END AS l FROM b GROUP BY 1) SELECT vec_id, round(max(x / l), 6) AS top, round(sum(x / l), 5) AS total FROM b JOIN n USING (vec_id) GROUP BY vec_id""")
+def message_passing(spark, d):
+    lines = table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
+    typed = lines.select("src", "dst", F.when(F.col("src") % 3 == 0, "DIFFERENTIAL").otherwise("FUNCTIONAL").alias("relation"), F.lit(1.0).alias("confidence"))
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("node_id"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    new = R.message_pass(typed, vectors)
+    return new.select(F.col("node_id").alias("vec_id"), F.round(F.array_max("embedding"), 6).alias("top"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
+
+
+@query("""WITH s AS (SELECT l_partkey AS part, l_suppkey AS s, list(DISTINCT l_linenumber) AS e FROM lineitem GROUP BY 1, 2), p AS (SELECT x.part, x.s AS a, y.s AS b, len(list_distinct(list_concat(x.e, y.e))) AS u, len(list_intersect(x.e, y.e)) AS i FROM s x JOIN s y ON x.part = y.part AND x.s < y.s)
+    SELECT part, a, b, round(u / 7.0::DOUBLE * (1 - i::DOUBLE / u), 6) AS score FROM p WHERE u / 7.0::DOUBLE * (1 - i::DOUBLE / u) >= 0.4""")
+def hybrid_pairs(spark, d):
+    sets = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("s")).agg(F.collect_set("l_linenumber").alias("e"))
+    return P.complementary(sets, "part", "s", "e", F.array(*[F.lit(k) for k in range(1, 8)]), 0.4)
+
+
 DECAY = "CASE relation WHEN 'CATEGORICAL' THEN 0.9 WHEN 'CAUSAL' THEN 0.7 WHEN 'FUNCTIONAL' THEN 0.6 ELSE 0.5 END::DOUBLE"
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions import scores as S
+from weftgraph.operators import aggregates as A
 from weftgraph.operators import conversation as C
 from weftgraph.operators import frames as M
 from weftgraph.operators import pairs as P
@@ -63,7 +64,7 @@ def document_keywords(spark, d):
 
 
 #: What a user teaches for these texts.
-KNOWN = M.Knowledge().taught(common_verb=("is", "was", "are", "be", "est", "ist", "es", "sind"), negation=("not", "no", "ne", "nicht", "never"), cause=("because", "car", "weil"), purpose=("for", "to", "pour", "para"), condition=("if", "unless", "wenn", "si"))
+KNOWN = M.Knowledge().taught(common_verb=("is", "was", "are", "be", "est", "ist", "es", "sind"), negation=("not", "no", "ne", "nicht", "never"), cause=("because", "car", "weil", "by", "from", "par", "von"), purpose=("for", "to", "pour", "para"), condition=("if", "unless", "wenn", "si", "as"))
 _list = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
 _verb = lambda x: f"(list_contains({_list(KNOWN.common_verb)}, {x}) OR " + " OR ".join(f"(starts_with({x}, '{p}') AND strlen({x}) > {len(p) + 1})" for p in KNOWN.verb_prefix) + ")"
 _in = lambda x, *kinds: f"list_contains({_list([w for k in kinds for w in getattr(KNOWN, k)])}, {x})"
@@ -134,12 +135,34 @@ def topic_shift(spark, d):
     return C.topic_shifts(_messages(spark, d))
 
 
-@query(f"""{MSG}, p AS (SELECT x.conv_id, x.turn AS a, y.turn AS b, len(list_intersect(x.atoms, y.atoms)) AS n, len(x.atoms) AS sa, len(y.atoms) AS sb FROM messages x JOIN messages y ON x.conv_id = y.conv_id AND y.turn < x.turn)
-    SELECT conv_id, a, b, round(n::DOUBLE / (sa + sb - n), 6) AS overlap, n = least(sa, sb) AND sa <> sb AS elaborates FROM p WHERE n > 0 AND n::DOUBLE / (sa + sb - n) >= 0.05""")
+@query(f"""{MSG}, p AS (SELECT x.conv_id, x.turn AS a, y.turn AS b, len(list_intersect(x.atoms, y.atoms)) AS n, len(x.atoms) AS sa, len(y.atoms) AS sb, x.role = y.role AS same FROM messages x JOIN messages y ON x.conv_id = y.conv_id AND y.turn < x.turn AND len(x.atoms) > 0 AND len(y.atoms) > 0)
+    SELECT conv_id, a, b, 'semantic_link' AS link, round(n::DOUBLE / (sa + sb - n), 6) AS weight FROM p WHERE n::DOUBLE / (sa + sb - n) > 0.3 UNION ALL SELECT conv_id, a, b, 'elaboration', round(sa::DOUBLE / sb, 6) FROM p WHERE n = sa AND sa < sb AND same""")
 def semantic_links(spark, d):
     return C.semantic_links(_messages(spark, d))
 
 
+MESSAGES = """t AS (SELECT conv_id || ':' || turn AS id, role, (conv_id % 10) / 10.0::DOUBLE AS c, list_distinct(regexp_extract_all(lower(text), '[^ ]+')) AS w FROM conversations)"""
+_ids = lambda rows: rows.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "role", ((F.col("conv_id") % 10) / 10.0).alias("c"), "text")
+_said = lambda: F.regexp_extract_all(F.lower("text"), F.lit("[^ ]+"), 0)
+
+
+@query(f"""WITH {MESSAGES} SELECT id FROM t x WHERE role = 'user' AND NOT EXISTS (SELECT 1 FROM t y WHERE y.role <> 'user' AND len(list_intersect(x.w, y.w))::DOUBLE / len(list_distinct(list_concat(x.w, y.w))) > 0.8)""")
+def novel_statements(spark, d):
+    rows = _ids(table(spark, d, "conversations"))
+    return P.unlike(rows.where("role = 'user'"), rows.where("role <> 'user'"), "id", _said(), 0.8).select("id")
+
+
+@query(f"""WITH {MESSAGES} SELECT id FROM t x WHERE NOT EXISTS (SELECT 1 FROM t y WHERE (-y.c, y.id) < (-x.c, x.id) AND len(list_intersect(x.w, y.w))::DOUBLE / len(list_distinct(list_concat(x.w, y.w))) > 0.8)""")
+def deduplicated_statements(spark, d):
+    return P.deduplicated(_ids(table(spark, d, "conversations")), "id", _said(), "c", 0.8).select("id")
+
+
+@query(f"""{FRAMES} SELECT doc_id, sent, 'problem_solution' AS rule, cause AS given, patient AS then_, agent, round(0.85::DOUBLE * confidence + 1e-9, 6) AS confidence FROM frames WHERE cause IS NOT NULL AND agent IS NOT NULL AND patient IS NOT NULL
+    UNION ALL SELECT doc_id, sent, 'condition_consequence', antecedent, consequent, agent, round(0.90::DOUBLE * confidence + 1e-9, 6) FROM frames WHERE antecedent IS NOT NULL AND consequent IS NOT NULL""")
+def derived_meanings(spark, d):
+    return M.derived(_frames(spark, d), ["doc_id", "sent"])
+
+
 @query(f"""{MSG}, n AS (SELECT conv_id, topic, count(*) AS n FROM (SELECT conv_id, unnest(atoms) AS topic FROM messages) GROUP BY 1, 2) SELECT conv_id, topic, n, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, topic) AS rank FROM n) WHERE rank <= 10""")
 def recent_topics(spark, d):
     return C.topics(_messages(spark, d))
@@ -236,6 +259,10 @@ def spike_counts(spark, d):
     return table(spark, d, "events").select("event_id", S.spikes(F.col("value") / 100).alias("spikes"))
 
 
-@query("SELECT doc_id, round(1 / (1 + exp(-(2.0 * (n_chars % 100) / 100.0 - 1))), 6) AS calibrated FROM documents")
+@query("""WITH RECURSIVE x AS MATERIALIZED (SELECT (doc_id * 37 % 100) / 100.0::DOUBLE AS p, count(*) AS n, sum(quality) AS good FROM labels JOIN documents USING (doc_id) GROUP BY 1), g AS (SELECT 0 AS k, 1.0::DOUBLE AS a, 0.0::DOUBLE AS b
+    UNION ALL SELECT k + 1, a - 0.01::DOUBLE * da, b - 0.01::DOUBLE * db FROM (SELECT k, a, b, sum(e * p) / sum(n) AS da, sum(e) / sum(n) AS db FROM (SELECT k, a, b, p, n, n / (1 + exp(-(a * p + b))) - good AS e FROM g, x WHERE k < 1000) GROUP BY k, a, b))
+    SELECT p, n, good::BIGINT AS good, round(1 / (1 + exp(-(a * p + b))), 6) AS calibrated FROM x, g WHERE k = 1000""")
 def calibrated_confidence(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.round(S.logistic(2.0 * (F.col("n_chars") % 100) / 100.0 - 1), 6).alias("calibrated"))
+    docs = table(spark, d, "documents").select("doc_id")
+    seen = table(spark, d, "labels").join(docs, "doc_id").select((F.pmod(F.col("doc_id") * 37, F.lit(100)) / 100.0).alias("p"), F.col("quality").alias("good"))
+    return A.platt(seen, "p", "good")
