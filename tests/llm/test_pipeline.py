@@ -4,8 +4,9 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from tests.llm.test_operators import DOCS, corpus, plain_components, plain_dedup, plain_leaks, plain_sets, words
+from tests.llm.test_operators import DOCS, corpus, plain_dedup, plain_leaks, plain_sets, words
 from weftgraph.llm import language_id
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -28,7 +29,7 @@ def test_pipeline_is_its_stages_done_plainly(spark, folder):
     told = {r.doc_id: r for r in language_id.run(docs).collect()}
     text = {i: t for i, t in text.items() if told[i].lang_pred != "und" and told[i].score > 0}
     assert all(any(c.isalpha() for c in t or "") for t in text.values())
-    text = {i: text[i] for i, _, c in plain_components(text.items(), 90) if c == i}
+    text = {i: text[i] for i in plain_near(text.items())}
     left = {}
     first = {}
     for i, t in text.items():
@@ -64,6 +65,31 @@ def test_pipeline_of_nothing(spark, folder, tmp_path):
     assert corpus_pipeline.run(spark, path).collect() == []
 
 
+def test_odd_rows_pass_through(spark, folder, tmp_path):
+    path, rows = str(tmp_path), corpus(31, 30)
+    long = next(t for _, t, *_ in rows if t and len(t.split()) > 30)
+    other = " ".join(reversed(long.split()))
+    rows += [(None, "a text without an id", "en", "s", 1), (500, " ".join(sorted(long.split())), "en", "s", 1), (500, other, "de", "t", 2), (500, other, "de", "t", 2), (501, "word " * 30000, None, None, None)]
+    clashing = {"h": 1, "keys": "k", "component_id": 2, "contaminated": True, "_row": 0, "n": None}
+    docs = spark.createDataFrame(rows, DOCS).withColumns({k: F.lit(v) for k, v in clashing.items()}).withColumn("m", F.create_map(F.lit("a"), F.lit(1)))
+    docs.repartition(3).write.parquet(f"{path}/documents.parquet")
+    spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(f"{path}/benchmark.parquet")
+    kept = spark.read.parquet(f"{path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, path)
+        assert kept.columns == docs.columns
+    told = kept.collect()
+    ids = [r.doc_id for r in told]
+    assert None not in ids and len(ids) == len(set(ids)) and {500, 501} <= set(ids) and all(r.m == {"a": 1} for r in told)
+    again = {r.doc_id: r.decoded_sha256 for r in corpus_pipeline.run(spark, path).collect()}
+    assert again == {r.doc_id: hashlib.sha256(r.text.encode()).hexdigest() for r in told}
+
+
+def test_run_reads_each_stage_from_its_table(spark, folder):
+    plan = corpus_pipeline.run(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Relation") == 1  # the last stage over what the one before it wrote
+
+
 def plain_near(rows, n=5, percent=80):
     """The least id of each component, by plain sets."""
     sets = plain_sets(rows, n)
