@@ -27,7 +27,7 @@ def query(sql: str | None = None):
     return keep
 
 
-@query(f"""{CM}, h AS (SELECT comp_id, comp_id + 1 AS source FROM comps WHERE comp_type = 'HiddenMeaning') SELECT h.comp_id, source, CASE WHEN e.comp_id IS NULL THEN 'Unlinked' WHEN (h.comp_id % 2) <> (e.comp_id % 3 % 2) THEN 'Negation' ELSE 'None' END AS conflict FROM h LEFT JOIN comps e ON e.comp_id = source AND e.comp_type = 'Event'""")
+@query(f"""{CM}, h AS (SELECT comp_id, comp_id + 1 AS source FROM comps WHERE comp_type = 'HiddenMeaning') SELECT h.comp_id, h.source, CASE WHEN e.comp_id IS NULL THEN 'Unlinked' WHEN (h.comp_id % 2) <> (e.comp_id % 3 % 2) THEN 'Negation' ELSE 'None' END AS conflict FROM h LEFT JOIN comps e ON e.comp_id = h.source AND e.comp_type = 'Event'""")
 def hidden_meanings(spark, d):
     comps = compositions(spark, d)
     hidden = comps.where("comp_type = 'HiddenMeaning'").select("comp_id", (F.col("comp_id") + 1).alias("source"), (F.col("comp_id") % 2 == 1).alias("negated"))
@@ -164,7 +164,8 @@ def degree_by_kind(spark, d):
     return U.degrees(edges(spark, d))
 
 
-@query()
+@query(f"""{TOK}, h AS (SELECT doc_id, ('0x' || substr(md5(token), 1, 8))::BIGINT % 128 AS bucket, CASE WHEN ('0x' || substr(md5(token), 9, 1))::INT % 2 = 0 THEN 1 ELSE -1 END AS s FROM tokens), x AS (SELECT doc_id, bucket, sum(s)::DOUBLE AS x FROM h GROUP BY 1, 2), l AS (SELECT doc_id, sqrt(sum(x * x)) AS l FROM x GROUP BY 1)
+    SELECT doc_id, count(*) AS buckets, round(sum(abs(coalesce(x / nullif(l, 0), 0))), 4) AS mass FROM x JOIN l USING (doc_id) GROUP BY doc_id""")
 def hashed_embeddings(spark, d):
     return U.hashed(tokens(spark, d), "doc_id", 128).groupBy("doc_id").agg(F.count("*").alias("buckets"), F.round(F.sum(F.abs("x")), 4).alias("mass"))
 
