@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_rotation, decontamination, language_id, ngram_join, sharding, substring_dedup, token_ids, topk_search, unigram, warc
+from . import bin_packing, chat_rotation, decontamination, hard_negatives, language_id, ngram_join, periodic_runs, sharding, substring_dedup, token_ids, topk_search, unigram, warc
 from .common import table
 
 
@@ -56,8 +56,20 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.run(table(spark, sf_dir, "embeddings"))
 
 
+def op11_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bin_packing.run(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.run(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_sharding, op2_token_ids, op3_language_id, op4_sentencepiece, op5_substring_dedup, op6_warc, op7_decontamination, op8_ngram_join, op9_chat_rotation, op10_topk_search)
+    found = (op1_sharding, op2_token_ids, op3_language_id, op4_sentencepiece, op5_substring_dedup, op6_warc, op7_decontamination, op8_ngram_join, op9_chat_rotation, op10_topk_search, op11_bin_packing, op12_periodic_runs, op13_hard_negatives)
     return {f.__name__: f for f in found}
 
 
@@ -113,4 +125,29 @@ def oracle_sql() -> dict[str, str]:
               WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
             s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e)::BIGINT AS score FROM v q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id AND len(q.e) = len(v.e))
             SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+        "op12_periodic_runs": r"""
+            WITH w0 AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+            h AS (SELECT *, len(ws)::BIGINT AS n, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [unicode(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+              lambda s, x: CASE WHEN x >= 0 THEN xor(s, x) ELSE xor(s >> 1, 3988292384 * (s & 1)) END)) AS h FROM w0),
+            g AS (SELECT *, h // 10 AS g, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n ELSE n END AS a FROM h),
+            w AS (SELECT doc_id, n, CASE WHEN a < n THEN list_transform(range(n), lambda i: ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) ELSE ws END AS ws FROM g),
+            p AS (SELECT doc_id, i - 1 AS i, array_to_string(ws[i:i + 4], ' ') AS five FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
+            e AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM p x JOIN p y ON x.doc_id = y.doc_id AND x.five = y.five AND x.i < y.i),
+            s AS (SELECT doc_id, q, min(i) AS start, count(*) + 4 + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM e) GROUP BY doc_id, q, island HAVING count(*) + 4 + q >= greatest(6, 4 * q)),
+            r AS (SELECT doc_id, start, length, q AS period FROM s WHERE NOT EXISTS (SELECT 1 FROM s t WHERE t.doc_id = s.doc_id AND t.q < s.q AND t.start <= s.start AND t.start + t.length >= s.start + s.length)),
+            top AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length::DOUBLE / period DESC, start, period) AS k FROM r),
+            lines AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs FROM r GROUP BY doc_id),
+            gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) + 1 AS pos FROM r),
+            words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w),
+            kept AS (SELECT words.doc_id, string_agg(word, ' ' ORDER BY words.pos) AS t FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id AND words.pos = gone.pos WHERE gone.pos IS NULL GROUP BY words.doc_id)
+            SELECT w.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, top.start::BIGINT AS start, top.length::BIGINT AS length, top.period::BIGINT AS period, (1000 * top.length // top.period)::BIGINT AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+            FROM w LEFT JOIN lines ON lines.doc_id = w.doc_id LEFT JOIN top ON top.doc_id = w.doc_id AND top.k = 1 LEFT JOIN kept ON kept.doc_id = w.doc_id""",
+        "op13_hard_negatives": """
+            WITH v AS (SELECT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END) AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+              WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+            s AS (SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same, list_inner_product(a.e, v.e)::BIGINT AS score FROM v a JOIN v ON a.vec_id % 100 = 0 AND a.vec_id <> v.vec_id AND len(a.e) = len(v.e)),
+            p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS k FROM s WHERE same) WHERE k <= 5),
+            n AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS rank
+              FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score)
+            SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""",
     }
