@@ -74,11 +74,6 @@ def test_reach_and_beam(spark):
     assert R.beam(edges, seeds).collect()[0].path == "a>b>c"
 
 
-@pytest.mark.parametrize("current, times", [(1.2, 10), (1.1, 5), (0.9, 0)])
-def test_spikes(spark, current, times):
-    assert one(spark, S.spikes(F.lit(current))) == times
-
-
 def test_scores(spark):
     assert one(spark, S.decay_factor(F.lit(10), F.lit(3))) == pytest.approx(0.8561722260)
     assert one(spark, S.decay_factor(F.lit(0), F.lit(2))) == pytest.approx(1.2197224577)

@@ -138,19 +138,5 @@ def tnorm(kind: str, a: Column, b: Column) -> Column:
     return {"product": lambda: a * b, "lukasiewicz": lambda: F.greatest(F.lit(0.0), a + b - 1), "godel": lambda: F.least(a, b)}[kind]()
 
 
-def spikes(current: Column, steps: int = 10, tau: float = 0.5, threshold: float = 1.0) -> Column:
-    """Spike count of a leaky integrate-and-fire cell under a constant current, with a step of 1."""
-    from math import exp
-
-    keep = exp(-1 / tau)
-    start = F.struct(F.lit(0.0).alias("u"), F.lit(0).alias("n"))
-
-    def step(s, _):
-        u = s["u"] * keep + current * (1 - keep)
-        return F.struct(F.when(u >= threshold, 0.0).otherwise(u).alias("u"), (s["n"] + F.when(u >= threshold, 1).otherwise(0)).alias("n"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda s: s["n"])
-
-
 def logistic(z: Column) -> Column:
     return 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), z))))

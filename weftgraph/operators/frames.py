@@ -7,6 +7,8 @@ from dataclasses import dataclass, fields, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.sources.scratch import kept
+
 
 @dataclass(frozen=True)
 class Knowledge:
@@ -122,6 +124,42 @@ def contradictions(events: DataFrame) -> DataFrame:
     return same.where("kind IS NOT NULL").select(*ends).unionByName(turned.select(*ends)).distinct().unionByName(own)
 
 
+def contradiction_counts(events: DataFrame) -> DataFrame:
+    """predicate, kind and pairs: how many pairs of events contradict each other, by the first rule of contradictions() that applies.
+
+    No pair is made. Of the events of one predicate and agent, pairs that are no polarity conflict have equal causes, or one
+    or no cause of which none denies: their number follows from the counts by cause, over all events, over those of each
+    purpose, and over those whose agent is their patient as well. What is left of all pairs is polarity; reversals of two
+    different nodes are a product of two counts.
+    """
+    rows = events.where("predicate IS NOT NULL AND agent IS NOT NULL")
+    denied = F.coalesce(F.exists(F.array(*[F.lit(d) for d in DENIALS]), lambda d: F.contains(F.lower("cause"), d)), F.lit(False))
+    kinds = kept(rows.groupBy("predicate", "agent", "patient", "cause", "purpose").agg(F.count("*").alias("n")), "kinds").withColumn("own", F.coalesce(F.col("agent") == F.col("patient"), F.lit(False))).withColumn("denied", denied)
+    two = lambda n: n * (n - 1) / 2
+
+    def peaceful(some: DataFrame, name: str, *by: str) -> DataFrame:
+        """Pairs of each group that are no polarity conflict."""
+        n = some.groupBy("predicate", "agent", *by, "cause", "denied").agg(F.sum("n").alias("n"))
+        none = F.coalesce(F.sum(F.when(F.col("cause").isNull(), F.col("n"))), F.lit(0))
+        mild = F.coalesce(F.sum(F.when(F.col("cause").isNotNull() & ~F.col("denied"), F.col("n"))), F.lit(0))
+        same = F.coalesce(F.sum(F.when(F.col("cause").isNotNull(), two(F.col("n")))), F.lit(0))
+        return n.groupBy("predicate", "agent", *by).agg((two(none) + none * mild + same).alias(name), two(F.sum("n")).alias("every"))
+
+    with_purpose = kinds.where("purpose IS NOT NULL")
+    alike = lambda some, name: peaceful(some, name, "purpose").groupBy("predicate", "agent").agg(F.sum(name).alias(name))
+    keys, told = ["predicate", "agent"], peaceful(kinds, "calm")
+    parts = [peaceful(kinds.where("own"), "own_calm"), peaceful(with_purpose, "aimed"), alike(with_purpose, "aimed_alike"), peaceful(with_purpose.where("own"), "own_aimed"), alike(with_purpose.where("own"), "own_aimed_alike")]
+    for part in parts:
+        told = told.join(part.drop("every"), keys, "left")
+    of = lambda c: F.coalesce(c, F.lit(0))
+    ends = kinds.where("patient IS NOT NULL AND agent <> patient").groupBy("predicate", "agent", "patient").agg(F.sum("n").alias("n"))
+    back = ends.select("predicate", F.col("patient").alias("agent"), F.col("agent").alias("patient"), F.col("n").alias("m"))
+    turned = ends.where("agent < patient").join(back, ["predicate", "agent", "patient"]).select("predicate", F.lit("RoleReversal").alias("kind"), (F.col("n") * F.col("m")).alias("pairs"))
+    kinds_of = [("Polarity", F.col("every") - F.col("calm")), ("RoleReversal", of("own_calm")), ("Purpose", of("aimed") - of("aimed_alike") - of("own_aimed") + of("own_aimed_alike"))]
+    same = told.select("predicate", F.inline(F.array(*[F.struct(F.lit(kind).alias("kind"), pairs.cast("long").alias("pairs")) for kind, pairs in kinds_of])))
+    return same.unionByName(turned).groupBy("predicate", "kind").agg(F.sum("pairs").alias("pairs")).where("pairs > 0")
+
+
 #: What a meaning keeps of its event's confidence, by rule.
 KEPT = {"problem_solution": 0.85, "condition_consequence": 0.90}
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.operators.pairs import over_half
+from weftgraph.sources.scratch import kept
 
 #: Lifecycle and epistemic states that each state may change to.
 LIFECYCLE_CHANGES = {"New": ("New", "Candidate", "Deprecated"), "Candidate": ("Candidate", "Stable", "Deprecated"), "Stable": ("Stable", "Deprecated"), "Deprecated": ("Deprecated", "Candidate")}
@@ -93,13 +94,15 @@ def npmi(tokens: DataFrame, key: str, least: int) -> DataFrame:
     return often.select("x", "y", "n", F.round(score, 6).alias("npmi"))
 
 
-def substitutable(tokens: DataFrame, key: str, least: int) -> DataFrame:
-    """Pairs of frequent tokens that share over half of the fewer of their followers."""
+def substitutable(tokens: DataFrame, key: str, asked: DataFrame) -> DataFrame:
+    """For asked tokens (token): every other token b with which one shares over half of the fewer of their followers. Followers of asked tokens meet all tokens' once each; pairs without a common follower aren't made."""
     w = Window.partitionBy(key, "sent").orderBy("pos")
-    follow = tokens.withColumn("next", F.lead("token").over(w))
-    often = follow.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("token")
-    rows = follow.where("next IS NOT NULL").select("token", "next").distinct().join(often, "token").withColumn("all", F.lit(0))
-    return over_half(rows, "all", "token", "next").select("a", "b", "shared", F.round(F.col("shared") / F.col("fewer"), 6).alias("rate"))
+    rows = kept(tokens.withColumn("next", F.lead("token").over(w)).where("next IS NOT NULL").select("token", "next").distinct(), "followers")
+    sizes = rows.groupBy("token").agg(F.count("*").alias("size"))
+    ours = rows.join(asked.select("token").distinct(), "token", "left_semi").withColumnRenamed("token", "a")
+    met = ours.join(rows.withColumnRenamed("token", "b"), "next").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    told = met.join(sizes.withColumnsRenamed({"token": "a", "size": "size_a"}), "a").join(sizes.withColumnsRenamed({"token": "b", "size": "size_b"}), "b").withColumn("fewer", F.least("size_a", "size_b"))
+    return told.where("shared * 2 > fewer").select("a", "b", "shared", F.round(F.col("shared") / F.col("fewer"), 6).alias("rate"))
 
 
 def markup_kind(text: Column) -> Column:

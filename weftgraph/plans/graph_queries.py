@@ -15,7 +15,7 @@ from weftgraph.operators import pairs as P
 from weftgraph.operators import senses as N
 from weftgraph.sources import store as Z
 from weftgraph.sources.scratch import kept
-from weftgraph.sources.tables import compositions, edges, members, share, table, typed_members, with_sql
+from weftgraph.sources.tables import compositions, edges, members, share, table, tokens, typed_members, with_sql
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -167,9 +167,9 @@ def origin_breakdown(spark, d):
     return A.origin_trust(comps, L.trust(F.col("origin")))
 
 
-@query("SELECT l_returnflag, l_shipmode, n FROM (SELECT l_returnflag, 's' || l_suppkey AS l_shipmode, count(*) AS n FROM lineitem WHERE l_quantity > 40 GROUP BY 1, 2) WHERE n >= 5")
+@query("SELECT l_returnflag, l_shipmode, n FROM (SELECT l_returnflag, 's' || l_suppkey AS l_shipmode, count(*) AS n FROM lineitem GROUP BY 1, 2) WHERE n >= 5")
 def learned_markers(spark, d):
-    return A.learned_markers(table(spark, d, "lineitem").where("l_quantity > 40").select("l_returnflag", F.concat(F.lit("s"), F.col("l_suppkey")).alias("l_shipmode")), ["l_returnflag", "l_shipmode"])
+    return A.learned_markers(table(spark, d, "lineitem").select("l_returnflag", F.concat(F.lit("s"), F.col("l_suppkey")).alias("l_shipmode")), ["l_returnflag", "l_shipmode"])
 
 
 @query("""SELECT user_id, round(sum(0.3::DOUBLE * pow(0.7::DOUBLE, age) * value) + 0.5 * pow(0.7::DOUBLE, count(*)), 6) AS ema FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) - 1 AS age FROM events) GROUP BY user_id""")
@@ -347,9 +347,12 @@ def role_gaps(spark, d):
     return Q.atom_gaps(compositions(spark, d), typed_members(spark, d))
 
 
-@query(f"{CM}, shared AS (SELECT node_id FROM members WHERE role = 'Patient' GROUP BY node_id HAVING count(DISTINCT comp_id) > 1) SELECT comp_id FROM comps WHERE comp_id NOT IN (SELECT comp_id FROM members JOIN shared USING (node_id))")
+@query(f"""{with_sql('sentences', 'tokens')}, shared AS (SELECT token FROM tokens GROUP BY token HAVING count(DISTINCT (doc_id, sent)) > 1)
+    SELECT DISTINCT doc_id || ':' || sent AS comp_id FROM tokens t WHERE NOT EXISTS (SELECT 1 FROM tokens x JOIN shared USING (token) WHERE x.doc_id = t.doc_id AND x.sent = t.sent)""")
 def isolated_compositions(spark, d):
-    return G.isolated(compositions(spark, d), members(spark, d).where("role = 'Patient'"))
+    """Of sentences as compositions of their words; orders always share a priority with others."""
+    rows = tokens(spark, d).select(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("sent").cast("string")).alias("comp_id"), F.col("token").alias("node_id"))
+    return G.isolated(rows.select("comp_id").distinct(), rows)
 
 
 @query(f"{CM} SELECT comp_id, CASE WHEN epistemic = 'Contradicted' THEN 'UnresolvedContradiction' ELSE 'LowGrounding' END AS gap FROM comps WHERE epistemic = 'Contradicted' OR (epistemic = 'Inferred' AND confidence < 0.5)")
@@ -448,12 +451,12 @@ def coherence_penalty(spark, d):
     return N.coherence_penalty(members(spark, d), _senses(spark, d))
 
 
-TOLD = "told AS (SELECT comp_id, epistemic <> 'Contradicted' AS confirms FROM comps WHERE epistemic = 'Contradicted' OR (lifecycle = 'Stable' AND comp_id % 40 = 0))"
+TOLD = "told AS (SELECT comp_id, epistemic <> 'Contradicted' AS confirms FROM comps WHERE epistemic = 'Contradicted' OR lifecycle = 'Stable')"
 
 
 def _told(spark, d):
     comps = compositions(spark, d)
-    return comps.where("epistemic = 'Contradicted' OR (lifecycle = 'Stable' AND comp_id % 40 = 0)").select("comp_id", (F.col("epistemic") != "Contradicted").alias("confirms"))
+    return comps.where("epistemic = 'Contradicted' OR lifecycle = 'Stable'").select("comp_id", (F.col("epistemic") != "Contradicted").alias("confirms"))
 
 
 @query(f"{CM}, {TOLD} SELECT node_id, count(*) FILTER (WHERE confirms) AS confirming, count(*) FILTER (WHERE NOT confirms) AS contradicting FROM (SELECT DISTINCT comp_id, node_id FROM members) JOIN told USING (comp_id) GROUP BY node_id")
@@ -461,10 +464,10 @@ def sense_evidence(spark, d):
     return N.evidence(members(spark, d), _told(spark, d))
 
 
-@query(f"""{CM}, {SENSES}, {TOLD}, rare AS (SELECT * FROM members WHERE comp_id % 100 = 0), g AS (SELECT node_id, least(1.0, count(DISTINCT comp_id) / 10.0) AS c FROM rare GROUP BY 1), e AS (SELECT node_id, count(*) AS k FROM rare JOIN told USING (comp_id) WHERE confirms GROUP BY 1)
+@query(f"""{CM}, {SENSES}, {TOLD}, g AS (SELECT node_id, least(1.0, count(DISTINCT comp_id) / 10.0) AS c FROM members GROUP BY 1), e AS (SELECT node_id, count(*) AS k FROM members JOIN told USING (comp_id) WHERE confirms GROUP BY 1)
     SELECT node_id, sense, grounding, coherence FROM senses LEFT JOIN g USING (node_id) LEFT JOIN e USING (node_id) WHERE NOT (grounding = 'Fragile' AND coalesce(c, 0) < 0.1 AND coalesce(k, 0) = 0 AND coherence < 0.2)""")
 def kept_senses(spark, d):
-    rows = members(spark, d).where("comp_id % 100 = 0")  # a graph in which some nodes have no composition
+    rows = members(spark, d)
     return N.kept(_senses(spark, d), rows, N.evidence(rows, _told(spark, d)))
 
 

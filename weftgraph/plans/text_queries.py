@@ -103,7 +103,7 @@ def frame_quality(spark, d):
     p AS (SELECT x.predicate, CASE WHEN x.agent = y.agent AND (x.denied <> y.denied OR coalesce(x.cause <> y.cause, false)) THEN 'Polarity' WHEN x.agent = y.patient AND x.patient = y.agent THEN 'RoleReversal' WHEN x.agent = y.agent AND x.purpose <> y.purpose THEN 'Purpose' END AS kind
       FROM e x JOIN e y ON x.predicate = y.predicate AND x.id < y.id AND (x.agent = y.agent OR x.agent = y.patient)) SELECT predicate, kind, count(*)::BIGINT AS pairs FROM p WHERE kind IS NOT NULL GROUP BY 1, 2""")
 def contradictions(spark, d):
-    return M.contradictions(_frames(spark, d)).groupBy("predicate", "kind").agg(F.sum("pairs").alias("pairs"))
+    return M.contradiction_counts(_frames(spark, d))
 
 
 @query("""WITH q AS (SELECT item_id AS q, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark), h AS (SELECT doc_id, (n_chars % 1000) / 1000.0::DOUBLE AS c, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS t FROM documents),
@@ -141,7 +141,7 @@ def semantic_links(spark, d):
     return C.semantic_links(_messages(spark, d))
 
 
-MESSAGES = """t AS (SELECT conv_id || ':' || turn AS id, role, (conv_id % 10) / 10.0::DOUBLE AS c, list_distinct(regexp_extract_all(lower(text), '[^ ]+')) AS w FROM conversations)"""
+MESSAGES = """t AS (SELECT conv_id || ':' || turn AS id, role, text, (conv_id % 10) / 10.0::DOUBLE AS c, list_distinct(regexp_extract_all(lower(text), '[^ ]+')) AS w FROM conversations)"""
 _ids = lambda rows: rows.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "role", ((F.col("conv_id") % 10) / 10.0).alias("c"), "text")
 _said = lambda: F.regexp_extract_all(F.lower("text"), F.lit("[^ ]+"), 0)
 
@@ -152,9 +152,13 @@ def novel_statements(spark, d):
     return P.unlike(rows.where("role = 'user'"), rows.where("role <> 'user'"), "id", _said(), 0.8).select("id")
 
 
-@query(f"""WITH {MESSAGES} SELECT id FROM t x WHERE NOT EXISTS (SELECT 1 FROM t y WHERE (-y.c, y.id) < (-x.c, x.id) AND len(list_intersect(x.w, y.w))::DOUBLE / len(list_distinct(list_concat(x.w, y.w))) > 0.8)""")
+@query(f"""WITH RECURSIVE {MESSAGES}, o AS MATERIALIZED (SELECT t.*, row_number() OVER (ORDER BY c DESC, id) AS k FROM (SELECT t.*, row_number() OVER (PARTITION BY regexp_replace(lower(left(text, 80)), '^\\s+|\\s+$', '', 'g') ORDER BY c DESC, id) AS same FROM t) t WHERE same = 1),
+    near AS MATERIALIZED (SELECT y.k, coalesce(list(x.k) FILTER (WHERE x.k IS NOT NULL), []) AS before FROM o y LEFT JOIN o x ON x.k < y.k AND len(x.w) > 0 AND len(list_intersect(x.w, y.w))::DOUBLE / len(list_distinct(list_concat(x.w, y.w))) > 0.8 GROUP BY y.k),
+    g AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS stay UNION ALL SELECT near.k, CASE WHEN list_has_any(stay, before) THEN stay ELSE list_append(stay, near.k) END FROM g JOIN near ON near.k = g.k + 1)
+    SELECT id FROM o WHERE list_contains((SELECT stay FROM g ORDER BY k DESC LIMIT 1), k)""")
 def deduplicated_statements(spark, d):
-    return P.deduplicated(_ids(table(spark, d, "conversations")), "id", _said(), "c", 0.8).select("id")
+    signature = F.regexp_replace(F.lower(F.substring("text", 1, 80)), r"^\s+|\s+$", "")
+    return P.deduplicated(_ids(table(spark, d, "conversations")), "id", _said(), "c", 0.8, signature).select("id")
 
 
 @query(f"""{FRAMES} SELECT doc_id, sent, 'problem_solution' AS rule, cause AS given, patient AS then_, agent, round(0.85::DOUBLE * confidence + 1e-9, 6) AS confidence FROM frames WHERE cause IS NOT NULL AND agent IS NOT NULL AND patient IS NOT NULL
@@ -254,11 +258,6 @@ def projected_embeddings(spark, d):
     return v.select("vec_id", F.round(F.col("e")[0], 6).alias("head"), F.round(F.aggregate("e", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
-@query()
-def spike_counts(spark, d):
-    return table(spark, d, "events").select("event_id", S.spikes(F.col("value") / 100).alias("spikes"))
-
-
 @query("""WITH RECURSIVE x AS MATERIALIZED (SELECT (doc_id * 37 % 100) / 100.0::DOUBLE AS p, count(*) AS n, sum(quality) AS good FROM labels JOIN documents USING (doc_id) GROUP BY 1), g AS (SELECT 0 AS k, 1.0::DOUBLE AS a, 0.0::DOUBLE AS b
     UNION ALL SELECT k + 1, a - 0.01::DOUBLE * da, b - 0.01::DOUBLE * db FROM (SELECT k, a, b, sum(e * p) / sum(n) AS da, sum(e) / sum(n) AS db FROM (SELECT k, a, b, p, n, n / (1 + exp(-(a * p + b))) - good AS e FROM g, x WHERE k < 1000) GROUP BY k, a, b))
     SELECT p, n, good::BIGINT AS good, round(1 / (1 + exp(-(a * p + b))), 6) AS calibrated FROM x, g WHERE k = 1000""")
