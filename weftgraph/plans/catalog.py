@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graph_queries, rule_queries, text_queries
+from . import graph_queries, language_queries, rule_queries, text_queries
+
+MODULES = (graph_queries, text_queries, rule_queries, language_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return graph_queries.QUERIES | text_queries.QUERIES | rule_queries.QUERIES
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return graph_queries.SQL | text_queries.SQL | rule_queries.SQL
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}

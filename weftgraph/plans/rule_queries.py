@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import scores as S
 from weftgraph.operators import acquisition as Q
+from weftgraph.operators import convergence as V
 from weftgraph.operators import governance as G
 from weftgraph.operators import rules as U
 from weftgraph.plans.graph_queries import CM, GAPS, PARTS, TM, _activations, _spread_sql
@@ -220,3 +221,38 @@ def active_records(spark, d):
     rows = table(spark, d, "events")
     seen = rows.groupBy("user_id", "event_type").agg(F.max(seconds("ts")).alias("last"), F.count("*").alias("n"))
     return U.active(seen, "last", 172_800).select("user_id", "event_type", "n")
+
+
+STRUCTURES = """st AS (SELECT comp_id, comp_type, comps.confidence, lifecycle, array_to_string(list_sort(list(DISTINCT role)), ',') AS roles, count(DISTINCT node_id) AS size FROM comps JOIN typed_members USING (comp_id) GROUP BY ALL)"""
+
+
+@query(f"""{TM}, {STRUCTURES}, g AS (SELECT * FROM st WHERE confidence >= 0.3 AND lifecycle <> 'Deprecated'), m AS (SELECT DISTINCT comp_id, node_id, comp_type, roles, size FROM g JOIN typed_members USING (comp_id)),
+    sh AS (SELECT x.comp_type, x.comp_id AS a, y.comp_id AS b, x.roles AS ra, y.roles AS rb, x.size AS sa, y.size AS sb, count(*) AS shared FROM m x JOIN m y ON x.comp_type = y.comp_type AND x.node_id = y.node_id AND x.comp_id < y.comp_id GROUP BY ALL),
+    cl AS (SELECT comp_type, roles, count(*) AS n, min(comp_id) AS a FROM g GROUP BY ALL), far AS (SELECT comp_type, ra AS roles, count(*) AS k FROM sh WHERE ra = rb AND shared > 2 GROUP BY ALL),
+    ex AS (SELECT cl.comp_type, cl.roles, min(g.comp_id) AS b FROM cl JOIN g ON g.comp_type = cl.comp_type AND g.roles = cl.roles AND g.comp_id > cl.a WHERE NOT EXISTS (SELECT 1 FROM sh WHERE sh.a = cl.a AND sh.b = g.comp_id AND shared > 2) GROUP BY ALL),
+    same AS (SELECT cl.comp_type, cl.roles AS roles_a, cl.roles AS roles_b, (n * (n - 1)) // 2 - coalesce(k, 0) AS links, coalesce(k, 0) AS too_close, CASE WHEN ex.b IS NOT NULL THEN a END AS a, ex.b FROM cl LEFT JOIN far USING (comp_type, roles) LEFT JOIN ex USING (comp_type, roles)),
+    j AS (SELECT *, string_split(ra, ',') AS la, string_split(rb, ',') AS lb FROM sh WHERE ra <> rb AND shared <= 2),
+    other AS (SELECT comp_type, least(ra, rb) AS roles_a, greatest(ra, rb) AS roles_b, count(*) AS links, 0::BIGINT AS too_close, min({{'a': a, 'b': b}}) AS p FROM j WHERE 0.6::DOUBLE * len(list_intersect(la, lb)) / len(list_distinct(list_concat(la, lb))) + 0.4::DOUBLE * shared / (sa + sb - shared) + 1e-9 >= 0.6 GROUP BY 1, 2, 3)
+    SELECT * FROM same WHERE links > 0 OR too_close > 0 UNION ALL SELECT comp_type, roles_a, roles_b, links, too_close, p.a, p.b FROM other""")
+def convergence(spark, d):
+    return V.convergence(compositions(spark, d), typed_members(spark, d))
+
+
+@query(f"""{TM}, {STRUCTURES}, f AS (SELECT comp_id, role, arg_min(node_id, {{'p': pos, 'n': node_id}}) AS node, count(DISTINCT node_id) AS k FROM typed_members GROUP BY ALL), s AS (SELECT st.comp_id, comp_type, roles, string_agg(role || '=' || node, ';' ORDER BY role) FILTER (WHERE role <> 'Predicate') AS fill, bool_and(k = 1) FILTER (WHERE role <> 'Predicate') AS single,
+      max(node) FILTER (WHERE role = 'Problem') AS problem, max(node) FILTER (WHERE role = 'Solution') AS solution FROM st JOIN f USING (comp_id) WHERE comp_type <> 'Event' GROUP BY ALL),
+    al AS (SELECT x.comp_type, x.roles, count(*) AS k FROM s x JOIN s y ON x.comp_type = y.comp_type AND x.roles = y.roles AND x.fill = y.fill AND x.comp_id < y.comp_id AND x.single WHERE x.comp_type <> 'HiddenMeaning' GROUP BY ALL),
+    hm AS (SELECT x.comp_type, x.roles, count(*) AS k FROM s x JOIN s y ON x.comp_type = y.comp_type AND x.roles = y.roles AND x.problem = y.problem AND x.solution <> y.solution AND x.comp_id < y.comp_id WHERE x.comp_type = 'HiddenMeaning' GROUP BY ALL),
+    cl AS (SELECT comp_type, roles, (count(*) * (count(*) - 1)) // 2 AS pairs FROM s GROUP BY ALL)
+    SELECT cl.comp_type, cl.roles, pairs, CASE WHEN cl.comp_type = 'HiddenMeaning' THEN coalesce(hm.k, 0) ELSE pairs - coalesce(al.k, 0) END AS mismatches FROM cl LEFT JOIN al USING (comp_type, roles) LEFT JOIN hm USING (comp_type, roles)""")
+def equivalence_mismatches(spark, d):
+    return V.equivalence_mismatches(compositions(spark, d), typed_members(spark, d))
+
+
+@query(f"""{TM}, k AS (SELECT o_orderkey AS a, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS b FROM orders), m AS (SELECT DISTINCT comp_id, role, node_id FROM typed_members), n AS (SELECT comp_id, count(*) AS n FROM m GROUP BY 1),
+    s AS (SELECT a, b, count(*) AS shared FROM k JOIN m x ON x.comp_id = a JOIN m y ON y.comp_id = b AND y.role = x.role AND y.node_id = x.node_id GROUP BY 1, 2)
+    SELECT k.a, k.b, round(coalesce(shared, 0)::DOUBLE / (x.n + y.n - coalesce(shared, 0)), 6) AS similarity FROM k JOIN n x ON x.comp_id = k.a JOIN n y ON y.comp_id = k.b LEFT JOIN s ON s.a = k.a AND s.b = k.b WHERE k.b IS NOT NULL""")
+def role_aware_similarity(spark, d):
+    """Of each order and the same customer's next one."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    pairs = table(spark, d, "orders").select(F.col("o_orderkey").alias("a"), F.lead("o_orderkey").over(w).alias("b")).where("b IS NOT NULL")
+    return V.role_aware(typed_members(spark, d), pairs)
