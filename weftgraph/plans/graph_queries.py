@@ -514,7 +514,14 @@ def bounded_reach(spark, d):
     return R.reach(edges(spark, d), seeds, 2)
 
 
-@query()
+def _beam_sql() -> str:
+    hop = lambda i, front: f"b{i} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY score DESC, path) AS k FROM (SELECT seed, dst AS end_, list_append(path, dst) AS path, score * w AS score FROM {front} JOIN rated ON src = end_ WHERE NOT list_contains(path, dst))) WHERE k <= 3)"
+    return f"""{with_sql('edges')}, rated AS (SELECT src, dst, {DECAY} * confidence AS w FROM edges WHERE {DECAY} * confidence >= 0.1), b0 AS (SELECT 'c' || c_custkey AS seed, 'c' || c_custkey AS end_, ['c' || c_custkey] AS path, 1.0::DOUBLE AS score FROM customer WHERE c_custkey % 50 = 0),
+    {hop(1, "b0")}, {hop(2, "b1")}, {hop(3, "b2")}, every AS (SELECT seed, path, score FROM b1 UNION ALL SELECT seed, path, score FROM b2 UNION ALL SELECT seed, path, score FROM b3)
+    SELECT seed, array_to_string(path, '>') AS path, round(score + 1e-9, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY len(path) DESC, score DESC, path) AS k FROM every) WHERE k = 1"""
+
+
+@query(_beam_sql())
 def beam_traverse(spark, d):
     seeds = table(spark, d, "customer").where("c_custkey % 50 = 0").select(F.concat(F.lit("c"), F.col("c_custkey")).alias("node_id"))
     return R.beam(edges(spark, d), seeds)
