@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import governance_queries, graph_queries, language_queries, rule_queries, text_queries
+from . import governance_queries, graph_queries, language_queries, rule_queries, store_queries, text_queries
 
-MODULES = (graph_queries, text_queries, rule_queries, language_queries, governance_queries)
+MODULES = (graph_queries, text_queries, rule_queries, language_queries, governance_queries, store_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
