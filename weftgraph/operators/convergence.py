@@ -22,13 +22,19 @@ def structures(comps: DataFrame, members: DataFrame) -> DataFrame:
     return comps.select("comp_id", "comp_type").join(sets, "comp_id")
 
 
-def sharing_pairs(sets: DataFrame, group: str, prefix: Column) -> DataFrame:
-    """group, a < b and shared of the pairs of sets (group, comp_id, nodes) that have a node in common among the ``prefix`` first nodes of each, the rarest first; prefix is a column of n, the set's size."""
+def sharing_pairs(sets: DataFrame, group: str, prefix: Column, twos: bool = False) -> DataFrame:
+    """group, a < b and shared of the pairs of sets (group, comp_id, nodes) that have a node in common among the ``prefix`` first nodes of each, the rarest first; prefix is a column of n, the set's size. With ``twos``, that have two: sets then meet on pairs of nodes, which hardly any share by chance."""
     flat = sets.select(group, "comp_id", F.explode("nodes").alias("i"), F.size("nodes").alias("n"))
     often = flat.groupBy(group, "i").agg(F.count("*").alias("d"))
     ordered = flat.join(often, [group, "i"]).groupBy(group, "comp_id", "n").agg(F.array_sort(F.collect_list(F.struct("d", "i"))).alias("o"))
-    first = kept(ordered.select(group, "comp_id", F.explode(F.transform(F.slice("o", 1, F.greatest(F.lit(0), prefix.cast("int"))), lambda x: x["i"])).alias("i")), "first-nodes")
-    met = first.withColumnRenamed("comp_id", "a").join(first.withColumnRenamed("comp_id", "b"), [group, "i"]).where("a < b").select(group, "a", "b").distinct()
+    nodes = F.transform(F.slice("o", 1, F.greatest(F.lit(0), prefix.cast("int"))), lambda x: x["i"])
+    if twos:
+        first = ordered.select(group, "comp_id", nodes.alias("p")).select(group, "comp_id", "p", F.posexplode("p").alias("k", "i"))
+        first = first.select(group, "comp_id", "i", F.explode(F.slice("p", F.col("k") + 2, F.greatest(F.lit(0), F.size("p") - F.col("k") - 1))).alias("j"))
+    else:
+        first = ordered.select(group, "comp_id", F.explode(nodes).alias("i"))
+    first, on = kept(first, "first-nodes"), [group, "i", *(["j"] if twos else [])]
+    met = first.withColumnRenamed("comp_id", "a").join(first.withColumnRenamed("comp_id", "b"), on).where("a < b").select(group, "a", "b").distinct()
     side = lambda c: sets.select(group, F.col("comp_id").alias(c), F.col("nodes").alias(f"n{c}"), F.col("roles").alias(f"roles_{c}"))
     told = met.join(side("a"), [group, "a"]).join(side("b"), [group, "b"])
     return told.withColumn("shared", F.size(F.array_intersect("na", "nb")))
@@ -45,7 +51,7 @@ def convergence(comps: DataFrame, members: DataFrame) -> DataFrame:
     good = comps.where((F.col("confidence") >= LEAST_CONFIDENCE) & (F.col("lifecycle") != "Deprecated"))
     sets = kept(structures(good, members), "structures")
     classes = sets.groupBy("comp_type", "roles").agg(F.count("*").alias("n"), F.min("comp_id").alias("a"))
-    close = kept(sharing_pairs(sets, "comp_type", F.col("n") - MOST_SHARED).where((F.col("shared") > MOST_SHARED) & (F.col("roles_a") == F.col("roles_b"))).select("comp_type", F.col("roles_a").alias("roles"), "a", "b"), "close")
+    close = kept(sharing_pairs(sets, "comp_type", F.col("n") - MOST_SHARED + 1, twos=True).where((F.col("shared") > MOST_SHARED) & (F.col("roles_a") == F.col("roles_b"))).select("comp_type", F.col("roles_a").alias("roles"), "a", "b"), "close")
     n_close = close.groupBy("comp_type", "roles").agg(F.count("*").alias("too_close"))
     keys = ["comp_type", "roles"]
     ruled_out = close.join(classes.select(*keys, "a"), [*keys, "a"]).select(*keys, F.col("b").alias("comp_id"))
@@ -61,7 +67,8 @@ def convergence(comps: DataFrame, members: DataFrame) -> DataFrame:
         return told.where("links > 0 OR too_close > 0")
     need = (LEAST_OVERLAP - ROLE_PART * nearest) / (1 - ROLE_PART)  # of the overlap of nodes, by any two classes
     n = F.col("n")
-    met = sharing_pairs(sets, "comp_type", n - F.ceil(n * need - 1e-9) + 1).where((F.col("roles_a") != F.col("roles_b")) & (F.col("shared") <= MOST_SHARED))
+    small = sets.where(F.size("nodes") * need <= MOST_SHARED + 1e-9)  # shared nodes are at most MOST_SHARED of all that the larger one has
+    met = sharing_pairs(small, "comp_type", n - F.ceil(n * need - 1e-9) + 1).where((F.col("roles_a") != F.col("roles_b")) & (F.col("shared") <= MOST_SHARED))
     score = role_weighted(role_overlap, F.col("shared") / F.size(F.array_union("na", "nb")))
     fits = met.where(score + 1e-9 >= LEAST_OVERLAP)
     low, high = F.least("roles_a", "roles_b"), F.greatest("roles_a", "roles_b")
