@@ -38,6 +38,8 @@ EVERY = 50
 SCALE = 256
 #: Bytes of the queries of a block: the bound of what is broadcast, and of what the driver holds.
 BLOCK_BYTES = 32 << 20
+#: Bytes of the tasks' matrices of second moments that are added up in one task, two at least.
+ADDED_BYTES = 32 << 20
 #: Longest vectors from which the first k-th best scores come.
 SEED_VECTORS = 1024
 #: Vectors of a task that are scored at once.
@@ -58,19 +60,28 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def second_moments(vectors: DataFrame, dimension: int) -> np.ndarray:
-    """Sum of the outer products of all vectors; each task sends one matrix of the dimension squared."""
+    """Sum of the outer products of all vectors. Each task sends one matrix; those of a number of tasks, as many as ADDED_BYTES hold, are added up in a task, and these few sums by the driver, one at a time."""
+    together = max(2, ADDED_BYTES // (8 * dimension * dimension))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         total = np.zeros((dimension, dimension))
         for batch in batches:
             x = _matrix(batch.column(0)).astype(np.float64)
             total += x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], names=["m"])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() // together], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["some", "m"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        total = np.zeros(dimension * dimension)
+        for x in table.column("m"):
+            total += np.frombuffer(x.as_buffer(), np.float64)
+        return pa.table({"some": table.column("some")[:1], "m": pa.array([total.tobytes()], pa.binary())})
 
-    parts = vectors.select("v").mapInArrow(add, "m array<double>").select(F.posexplode("m").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"))
+    schema = "some int, m binary"
     out = np.zeros(dimension * dimension)
-    for r in parts.collect():  # dimension squared numbers
-        out[r.i] = r.x
+    for r in vectors.select("v").mapInArrow(add, schema).groupBy("some").applyInArrow(merge, schema).toLocalIterator():
+        out += np.frombuffer(r.m, np.float64)
     return out.reshape(dimension, dimension)
 
 
