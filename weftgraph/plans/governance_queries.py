@@ -7,14 +7,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.operators import evidence as E
 from weftgraph.operators import neighbours as N
 from weftgraph.operators import rule_texts as R
 from weftgraph.operators import scopes as S
 from weftgraph.operators import vectors as W
-from weftgraph.plans.graph_queries import CM
+from weftgraph.plans.graph_queries import CM, TM, _activations, _spread_sql
+from weftgraph.plans.text_queries import FRAMES, _frames
 from weftgraph.sources import versions as V
 from weftgraph.sources.scratch import shared_folder
-from weftgraph.sources.tables import compositions, edges, members, share, table, with_sql
+from weftgraph.sources.tables import compositions, edges, members, share, table, typed_members, with_sql
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -156,3 +158,50 @@ def second_hop(spark, d):
     first = W.nearest(v.where("vec_id % 50 = 0"), v, "vec_id", "embedding", 3).select("q", F.col("vec_id").alias("key"), F.col("cosine").alias("score"))
     told = N.retrieve(first, v, "vec_id", "embedding", 6, 3, 0.05, CLOSE)
     return told.select("q", "key", F.round("score", 6).alias("score"), "rank")
+
+
+ENDS = "SELECT 'p' || p_partkey AS seed, 'p' || p_partkey AS node_id, 1.0::DOUBLE AS energy FROM part WHERE p_partkey IN (100, 200)"
+
+
+@query(f"{CM}, {_spread_sql(ENDS)} SELECT node_id, round(max(energy), 6) AS energy FROM act GROUP BY node_id")
+def merged_activations(spark, d):
+    act = _activations(spark, d, members(spark, d), "p100", "p200")
+    return E.merged(act.where("seed = 'p100'"), act.where("seed = 'p200'")).withColumn("energy", F.round("energy", 6))
+
+
+@query(f"""{TM}, q AS (SELECT n_name AS q, 's' || s_suppkey AS node_id FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION SELECT n_name, 'c' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 20 = 0),
+    r AS (SELECT DISTINCT q, node_id, comp_id, role FROM q JOIN typed_members USING (node_id)), k AS (SELECT q, count(DISTINCT node_id) AS k FROM r GROUP BY 1), m AS (SELECT q, count(*) AS met FROM (SELECT DISTINCT x.q, x.node_id, y.node_id FROM r x JOIN r y ON x.q = y.q AND x.comp_id = y.comp_id AND x.node_id < y.node_id AND x.role <> y.role) GROUP BY 1)
+    SELECT q, round(CASE WHEN count(*) < 2 THEN 1.0 WHEN coalesce(any_value(k), 0) < 2 THEN 0.5 ELSE coalesce(any_value(met), 0) / (any_value(k) * (any_value(k) - 1) / 2.0::DOUBLE) END, 6)::DOUBLE AS coherence FROM q LEFT JOIN k USING (q) LEFT JOIN m USING (q) GROUP BY q""")
+def role_coherence(spark, d):
+    """Of each nation's suppliers and every twentieth of its customers."""
+    nation, supplier, customer = (table(spark, d, n) for n in ("nation", "supplier", "customer"))
+    seeds = supplier.join(nation, supplier.s_nationkey == nation.n_nationkey).select(F.col("n_name").alias("q"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node_id"))
+    more = customer.where("c_custkey % 20 = 0").join(nation, customer.c_nationkey == nation.n_nationkey).select(F.col("n_name").alias("q"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node_id"))
+    return E.role_coherence(typed_members(spark, d), seeds.unionByName(more))
+
+
+@query(f"""{CM}, k AS (SELECT o_orderkey AS a, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS b FROM orders), f AS (SELECT comp_id, count(*) AS size, min({{'p': pos, 'n': node_id}}) FILTER (WHERE role = 'Patient') AS pt, min(node_id) FILTER (WHERE role = 'Agent') AS ag, min({{'p': pos, 'n': node_id}}) FILTER (WHERE role = 'Instrument') AS i FROM members GROUP BY 1),
+    c AS (SELECT comps.*, size, pt, ag, i FROM comps JOIN f USING (comp_id)) SELECT k.a, k.b, CASE WHEN coalesce(x.i.n <> y.i.n, false) THEN 'ScopedValidity' WHEN y.confidence > x.confidence AND y.batch_seen >= x.batch_seen AND y.size >= x.size THEN 'Superseded' END AS resolution
+    FROM k JOIN c x ON x.comp_id = k.a JOIN c y ON y.comp_id = k.b WHERE k.b IS NOT NULL""")
+def conflict_resolutions(spark, d):
+    """Of each order and the same customer's next one; what differs by its first supplier holds in another place."""
+    from pyspark.sql import Window
+
+    pairs = table(spark, d, "orders").select(F.col("o_orderkey").alias("a"), F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("b")).where("b IS NOT NULL")
+    return E.resolutions(pairs, compositions(spark, d), members(spark, d), ("Instrument",))
+
+
+@query(f"""{FRAMES}, n AS (SELECT doc_id, count(*) AS n, count(DISTINCT predicate) AS kinds FROM frames GROUP BY 1), p AS (SELECT doc_id, predicate, count(*) AS k, bool_or(negative) AND NOT bool_and(negative) AS torn FROM frames GROUP BY 1, 2),
+    x AS (SELECT doc_id, sent, confidence AS c, k / n::DOUBLE AS energy, (kinds - 1) / n::DOUBLE AS ambiguity, k - 1 AS equal, torn FROM frames JOIN n USING (doc_id) JOIN p USING (doc_id, predicate)),
+    y AS (SELECT *, CASE WHEN energy > 0.5 THEN least(1.0, c + energy * 0.15::DOUBLE) ELSE c END AS c1 FROM x), z AS (SELECT *, CASE WHEN ambiguity > 0.3 THEN c1 * (1 - ambiguity * 0.5::DOUBLE) ELSE c1 END AS c2 FROM y), w AS (SELECT *, CASE WHEN equal > 0 THEN least(1.0, c2 + least(0.1::DOUBLE, equal * 0.02::DOUBLE)) ELSE c2 END AS c3 FROM z)
+    SELECT doc_id, sent, round(CASE WHEN torn THEN c3 * 0.85::DOUBLE ELSE c3 END + 1e-9, 6) AS confidence FROM w""")
+def modulated_confidence(spark, d):
+    """Frames in the light of their document: the share of frames with the same predicate, other predicates, and whether the predicate is denied elsewhere."""
+    from weftgraph.sources.scratch import kept
+
+    frames = kept(_frames(spark, d), "frames")
+    n = frames.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("predicate").alias("kinds"))
+    p = frames.groupBy("doc_id", "predicate").agg(F.count("*").alias("k"), (F.bool_or("negative") & ~F.bool_and("negative")).alias("torn"))
+    rows = frames.join(n, "doc_id").join(p, ["doc_id", "predicate"])
+    told = E.modulated(F.col("confidence"), F.col("k") / F.col("n"), (F.col("kinds") - 1) / F.col("n"), F.col("k") - 1, F.col("torn"))
+    return rows.select("doc_id", "sent", F.round(told + 1e-9, 6).alias("confidence"))

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from weftgraph.functions import scores as S
 from weftgraph.operators import acquisition as Q
 from weftgraph.operators import convergence as V
+from weftgraph.operators import frames as M
 from weftgraph.operators import governance as G
 from weftgraph.operators import rules as U
 from weftgraph.plans.graph_queries import CM, GAPS, PARTS, TM, _activations, _spread_sql
-from weftgraph.plans.text_queries import MSG, TOK, _messages
+from weftgraph.plans.text_queries import FRAMES, MSG, TOK, _frames, _messages
+from weftgraph.sources.scratch import kept
 from weftgraph.sources.tables import compositions, edges, members, table, tokens, typed_members, with_sql
 
 QUERIES: dict = {}
@@ -28,12 +30,15 @@ def query(sql: str | None = None):
     return keep
 
 
-@query(f"""{CM}, h AS (SELECT comp_id, comp_id + 1 AS source FROM comps WHERE comp_type = 'HiddenMeaning') SELECT h.comp_id, h.source, CASE WHEN e.comp_id IS NULL THEN 'Unlinked' WHEN (h.comp_id % 2) <> (e.comp_id % 3 % 2) THEN 'Negation' ELSE 'None' END AS conflict FROM h LEFT JOIN comps e ON e.comp_id = h.source AND e.comp_type = 'Event'""")
+@query(f"""{FRAMES}, h AS (SELECT doc_id || ':' || sent AS source, 'problem_solution' AS rule, cause AS given FROM frames WHERE cause IS NOT NULL AND agent IS NOT NULL AND patient IS NOT NULL UNION ALL SELECT doc_id || ':' || sent, 'condition_consequence', antecedent FROM frames WHERE antecedent IS NOT NULL AND consequent IS NOT NULL),
+    e AS (SELECT doc_id || ':' || sent AS source, negative FROM frames WHERE agent IS NOT NULL) SELECT h.source || ':' || rule AS comp_id, h.source, CASE WHEN e.source IS NULL THEN 'Unlinked' WHEN (len(list_filter([{", ".join("'" + x.replace("'", "''") + "'" for x in M.DENIALS)}], lambda d: contains(lower(given), d))) > 0) <> negative THEN 'Negation' ELSE 'None' END AS conflict FROM h LEFT JOIN e USING (source)""")
 def hidden_meanings(spark, d):
-    comps = compositions(spark, d)
-    hidden = comps.where("comp_type = 'HiddenMeaning'").select("comp_id", (F.col("comp_id") + 1).alias("source"), (F.col("comp_id") % 2 == 1).alias("negated"))
-    events = comps.where("comp_type = 'Event'").select(F.col("comp_id").alias("source"), (F.col("comp_id") % 3 % 2 == 1).alias("negated"))
-    return U.hidden_conflicts(hidden, events)
+    """Meanings derived from frames against the events that they come from: one denies what the other doesn't. Frames without an agent are no events."""
+    frames = kept(_frames(spark, d), "frames")
+    name = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("sent").cast("string"))
+    denied = F.exists(F.array(*[F.lit(x) for x in M.DENIALS]), lambda x: F.contains(F.lower("given"), x))
+    hidden = M.derived(frames, ["doc_id", "sent"]).select(F.concat_ws(":", name, "rule").alias("comp_id"), name.alias("source"), denied.alias("negated"))
+    return U.hidden_conflicts(hidden, frames.where("agent IS NOT NULL").select(name.alias("source"), F.col("negative").alias("negated")))
 
 
 @query(f"""{TM}, {GAPS}, every AS (SELECT * FROM gaps UNION ALL SELECT comp_id, CASE WHEN epistemic = 'Contradicted' THEN 'UnresolvedContradiction' ELSE 'LowGrounding' END, NULL FROM comps WHERE epistemic = 'Contradicted' OR (epistemic = 'Inferred' AND confidence < 0.5)),
