@@ -104,7 +104,7 @@ def test_temporal_overlaps_come_once(spark):
         got = [(r.a, r.b) for r in T.overlaps(spans.where("k <> 3"), spans, "k", tolerance, 60).collect()]
         both = want | {(b, a) for a, b in want}
         assert sorted(got) == sorted((a, b) for a, b in both if a != 3)
-        counts = {r.k: r.n for r in T.overlap_counts(spans, "k", tolerance, 60).collect()}
+        counts = {r.k: r.n for r in T.overlap_counts(spans, "k", tolerance).collect()}
         assert counts == {k: sum(a == k for a, _ in both) for k in range(1, 6)}
 
 

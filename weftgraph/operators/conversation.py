@@ -48,7 +48,7 @@ def newest_messages(messages: DataFrame, keep: int) -> DataFrame:
     Counts by conversation and their running sum, the newest first, decide; messages themselves aren't sorted.
     """
     n = messages.groupBy("conv_id").agg(F.count("*").alias("n"))
-    summed = running_sum(n, -F.col("conv_id"), [F.desc("conv_id")], "n", 4096)
+    summed = running_sum(n, [F.desc("conv_id")], "n")
     return summed.select("conv_id", F.greatest(F.lit(0), F.least("n", F.lit(keep) - (F.col("running") - F.col("n")))).alias("kept"))
 
 

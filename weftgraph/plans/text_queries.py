@@ -208,7 +208,7 @@ def temporal_overlap(spark, d):
 
 @query(f"WITH {SESSIONS}, p AS (SELECT x.label, count(*) AS n FROM spans x JOIN spans y ON x.label <> y.label AND x.first - 60 <= y.last + 60 AND y.first - 60 <= x.last + 60 GROUP BY 1) SELECT label, coalesce(n, 0) AS n FROM spans LEFT JOIN p USING (label)")
 def temporal_overlap_counts(spark, d):
-    return T.overlap_counts(_spans(spark, d), "label", 60, 3600)
+    return T.overlap_counts(_spans(spark, d), "label", 60)
 
 
 @query("""WITH o AS (SELECT 'u' || user_id || event_type AS label, min(epoch_us(ts)) / 1e6 AS first, max(epoch_us(ts)) / 1e6 AS last, count(*) AS n FROM events GROUP BY 1), e AS (SELECT max(epoch_us(ts)) / 1e6 AS now FROM events)
