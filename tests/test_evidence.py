@@ -37,3 +37,11 @@ def test_resolutions_of_conflicts(spark):
 def test_confidence_in_the_light_of_the_graph(spark, given, want):
     told = spark.range(1).select(E.modulated(*[F.lit(x) for x in given]).alias("c")).first().c
     assert told == pytest.approx(want)
+
+
+def test_related_nodes_and_their_overlap(spark):
+    members = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, "b"), (2, "c"), (3, "d")], "comp_id int, node_id string")
+    asked = spark.createDataFrame([("a",), ("b",), ("d",), ("none",)], "q string")
+    assert {tuple(r) for r in E.related(members, asked).collect()} == {("a", "b"), ("b", "a"), ("b", "c")}
+    pairs = spark.createDataFrame([("a", "b"), ("a", "d"), ("d", "none")], "a string, b string")
+    assert {(r.a, r.b): r.overlap for r in E.neighbourhood_overlap(members, pairs).collect()} == {("a", "b"): pytest.approx(2 / 3, abs=1e-6), ("a", "d"): 0.0, ("d", "none"): 0.0}

@@ -65,3 +65,22 @@ def modulated(confidence: Column, energy: Column, ambiguity: Column, equal: Colu
     two = F.when(ambiguity > AMBIGUOUS, one * (1 - ambiguity * AMBIGUOUS_PART)).otherwise(one)
     three = F.when(equal > 0, F.least(F.lit(1.0), two + F.least(F.lit(MOST_EQUAL), equal * EQUAL))).otherwise(two)
     return F.when(contradicted, three * CONTRADICTED).otherwise(three)
+
+
+def related(members: DataFrame, asked: DataFrame) -> DataFrame:
+    """q and node_id: the other nodes that share a composition with an asked node (q), each once."""
+    own = members.select("comp_id", "node_id").distinct()
+    mine = own.join(asked.select(F.col("q").alias("node_id")).distinct(), "node_id", "left_semi").select(F.col("node_id").alias("q"), "comp_id")
+    return mine.join(own, "comp_id").where("q <> node_id").select("q", "node_id").distinct()
+
+
+def neighbourhood_overlap(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """a, b and overlap of pairs of nodes: the Jaccard overlap of what each is related to and itself. Shared ones are counted by a join; nodes without a composition have only themselves."""
+    ends = pairs.select(F.col("a").alias("q")).unionAll(pairs.select("b")).distinct()
+    around = related(members, ends).unionAll(ends.select("q", F.col("q").alias("node_id")))
+    n = around.groupBy("q").agg(F.count("*").alias("n"))
+    side = lambda c: n.select(F.col("q").alias(c), F.col("n").alias(f"n_{c}"))
+    shared = pairs.join(around.withColumnRenamed("q", "a"), "a").join(around.withColumnRenamed("q", "b"), ["b", "node_id"]).groupBy("a", "b").agg(F.count("*").alias("shared"))
+    told = pairs.join(side("a"), "a").join(side("b"), "b").join(shared, ["a", "b"], "left")
+    both = F.coalesce("shared", F.lit(0))
+    return told.select("a", "b", F.round(both / (F.col("n_a") + F.col("n_b") - both), 6).alias("overlap"))

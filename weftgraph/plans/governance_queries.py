@@ -205,3 +205,24 @@ def modulated_confidence(spark, d):
     rows = frames.join(n, "doc_id").join(p, ["doc_id", "predicate"])
     told = E.modulated(F.col("confidence"), F.col("k") / F.col("n"), (F.col("kinds") - 1) / F.col("n"), F.col("k") - 1, F.col("torn"))
     return rows.select("doc_id", "sent", F.round(told + 1e-9, 6).alias("confidence"))
+
+
+RELATED = "own AS (SELECT DISTINCT comp_id, node_id FROM members), rel AS (SELECT DISTINCT x.node_id AS q, y.node_id FROM own x JOIN own y USING (comp_id) WHERE x.node_id LIKE 'p%' AND substr(x.node_id, 2)::BIGINT % 100 = 0 AND x.node_id <> y.node_id)"
+
+
+def _hundredth(spark, d):
+    return table(spark, d, "part").where("p_partkey % 100 = 0").select("p_partkey", F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("q"))
+
+
+@query(f"{CM}, {RELATED} SELECT q, node_id FROM rel")
+def related_concepts(spark, d):
+    return E.related(members(spark, d), _hundredth(spark, d))
+
+
+@query(f"""{CM}, {RELATED}, z AS (SELECT 'p' || p_partkey AS q FROM part WHERE p_partkey % 100 = 0), s AS (SELECT q, node_id FROM rel UNION SELECT q, q FROM z), n AS (SELECT q, count(*) AS n FROM s GROUP BY 1), k AS (SELECT x.q AS a, y.q AS b, count(*) AS k FROM s x JOIN s y ON x.node_id = y.node_id AND x.q < y.q GROUP BY 1, 2)
+    SELECT x.q AS a, y.q AS b, round(coalesce(k, 0)::DOUBLE / (x.n + y.n - coalesce(k, 0)), 6) AS overlap FROM n x JOIN n y ON x.q < y.q LEFT JOIN k ON k.a = x.q AND k.b = y.q WHERE abs(substr(x.q, 2)::BIGINT - substr(y.q, 2)::BIGINT) = 100""")
+def neighbourhood_overlap(spark, d):
+    """Of every hundredth part and the next such one."""
+    asked = _hundredth(spark, d)
+    pairs = asked.join(asked.select((F.col("p_partkey") - 100).alias("p_partkey"), F.col("q").alias("other")), "p_partkey").select(F.least("q", "other").alias("a"), F.greatest("q", "other").alias("b"))
+    return E.neighbourhood_overlap(members(spark, d), pairs)
