@@ -29,6 +29,19 @@ def docs(spark, rows):
 # 11
 
 
+def best_fit_decreasing(lengths, size):
+    """Bins of the plain greedy method: the longest piece left goes where the least room remains."""
+    room = []
+    for x in sorted(lengths, reverse=True):
+        fits = [k for k, r in enumerate(room) if r >= x]
+        if fits:
+            k = min(fits, key=room.__getitem__)
+            room[k] -= x
+        else:
+            room.append(size - x)
+    return len(room)
+
+
 @pytest.mark.parametrize("size", [7, 64, 2048])
 def test_packing_keeps_every_piece_and_leaves_no_gap(spark, docs, rows, size):
     from tokenizers import Tokenizer
@@ -51,7 +64,7 @@ def test_packing_keeps_every_piece_and_leaves_no_gap(spark, docs, rows, size):
             assert offset == end
             end += length
         assert end <= size
-    assert len(bins) <= -(-sum(r.length for r in got) // size) + 1  # one more than the least that could be
+    assert len(bins) <= best_fit_decreasing([r.length for r in got], size)
 
 
 def test_packing_of_nothing(spark):
@@ -262,7 +275,8 @@ def test_the_curve_goes_from_neighbour_to_neighbour():
         assert (np.abs(np.diff(points[np.argsort(key)], axis=0)).sum(axis=1) == 1).all()
 
 
-def test_zones_bound_all_products_and_leave_blocks_out(spark, tmp_path):
+def test_zones_bound_all_products_and_leave_blocks_out(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(hard_negatives, "BLOCK_ROWS", 64)
     rng = np.random.default_rng(8)
     v = (rng.normal(size=(40, 4))[rng.integers(0, 40, 4000)] * 1000 + rng.normal(size=(4000, 4)) * 20).astype(np.int64)
     rows = spark.createDataFrame([(i, i % 3, x) for i, x in enumerate(v.tolist())], "id long, label long, v array<long>")
@@ -281,7 +295,14 @@ def test_zones_bound_all_products_and_leave_blocks_out(spark, tmp_path):
     everything = v @ v[:50].T
     floor = np.sort(everything, axis=0)[-6]
     asked = hard_negatives.Anchors(np.arange(50), np.arange(50) % 3, v[:50], floor[:, None], np.full((50, 1), hard_negatives.FULL), True)
-    assert asked.needs(zones, asked.low).mean() < 0.5  # most cells aren't needed
+    told = blocks.collect()
+    label = np.array([r.label for r in told])
+    of_blocks = hard_negatives.Zones(np.array([r.low for r in told]), np.array([r.high for r in told]), label, label)
+    needs = asked.needs(of_blocks, asked.low)
+    assert needs.mean() < 0.15 < (label == asked.labels[:, None]).mean()  # fewer than half of the blocks of the anchor's label
+    for k, r in enumerate(told):
+        ids = np.frombuffer(r.ids, "<i8")
+        assert not ((everything[ids, :50].T >= floor[:, None]) & (asked.labels[:, None] == r.label))[~needs[:, k]].any()
 
 
 def test_products_beyond_doubles_are_exact():
