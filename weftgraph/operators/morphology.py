@@ -94,7 +94,8 @@ def stems(words: DataFrame, word: str, known: Morphology = Morphology()) -> Data
     suffix and prefix are taken off in either order; a candidate that is a known root wins, then the shortest of two bytes or
     more, the earlier of equals.
     """
-    rows = words.select(word, F.lower(word).alias("w")).where(~F.col("w").isin(*known.roots))
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # words are few bytes and much work, which adaptive execution would put into one task
+    rows = words.select(word, F.lower(word).alias("w")).where(~F.col("w").isin(*known.roots)).repartition(parts)
     one = lambda root, prefix, suffix: F.struct(root.alias("root"), prefix.alias("prefix"), suffix.alias("suffix"))
     none = F.lit(None).cast("string")
     kind = "struct<root:string,prefix:string,suffix:string>"
