@@ -1,5 +1,7 @@
 """Tables and rules with values worked out by hand."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +72,22 @@ def test_graph_context_counts_others_once(spark):
     assert got == {"Agent": (2, pytest.approx(1.28)), "Patient": (2, pytest.approx(1.35))}
 
 
+def test_graph_context_is_the_same_with_any_hubs(spark):
+    rng = random.Random(5)
+    rows = [(c, k, rng.choice("aaaabbcdefghijklmnop"), rng.choice(("Agent", "Patient", "Purpose")), rng.randrange(1, 100) / 100) for c in range(60) for k in range(rng.randrange(1, 6))]
+    members, asked = spark.createDataFrame(rows, MEMBERS), list(range(0, 60, 7))
+    nodes = {c: {r[2] for r in rows if r[0] == c} for c in range(60)}
+    want = {}
+    for c in asked:
+        for o, _, node, role, w in rows:
+            if o == c or (nodes[o] & nodes[c] and node not in nodes[c]):
+                n, total = want.get((c, role), (0, 0.0))
+                want[c, role] = n + 1, total + w * (1 if o == c else 0.7)
+    for hub in (0, 3, 8, 20, 4096):
+        found = L.graph_context(members, spark.createDataFrame([(c,) for c in asked], "comp_id int"), hub).collect()
+        assert {(r.comp_id, r.role): (r.n, r.weight) for r in found} == {k: (n, pytest.approx(w, abs=1e-4)) for k, (n, w) in want.items()}
+
+
 def test_overlap_findings_by_rarest_nodes(spark):
     comps = spark.createDataFrame([(i, "t") for i in range(1, 6)], "comp_id int, comp_type string")
     sets = {1: "abc", 2: "abd", 3: "a", 4: "bcxyz", 5: "q"}

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.sources.scratch import kept
+
+#: Compositions of a node from which it is a hub, whose compositions are summed by the hubs that they have. Results don't depend on it.
+HUB = 4096
+
 #: Role names that a search may ask for, with the names that stand for them.
 ROLE_NAMES = {"agent": "Agent", "patient": "Patient", "instrument": "Instrument", "purpose": "Purpose", "cause": "Cause", "location": "Location", "time": "Time", "tool": "Instrument", "goal": "Purpose"}
 
@@ -123,24 +128,39 @@ def recent_fillers(comps: DataFrame, members: DataFrame, limit: int = 10) -> Dat
     return first.select("comp_id", "node_id", F.when(F.col("rank") == 0, 0.6).otherwise(0.5).alias("score"))
 
 
-def graph_context(members: DataFrame, asked: DataFrame) -> DataFrame:
+def graph_context(members: DataFrame, asked: DataFrame, hub: int = HUB) -> DataFrame:
     """For the compositions asked about (comp_id): by role, their own members at full confidence, and those of every other one that shares a node with them, at 0.7, but for shared nodes.
 
-    Up to 32 compositions asked about share a row, a bit each, so memberships are joined twice for all of them and no pair of
-    compositions is made. What shared nodes give is taken off again by node, as every composition that holds one counts.
+    Nodes of more than ``hub`` compositions are hubs. Compositions of equal hubs are one class, and what a class sums to is told
+    once to all asked about that have one of its hubs. Of the other compositions, none of the asked one's hubs in them, sums by
+    node and class are added up; those that share several nodes counted several times, and are taken off again, so pairs of
+    compositions are made only for nodes that aren't hubs and travel as two ids. What shared nodes give is taken off by node,
+    as every composition that holds one counts.
     """
     names, own = asked.select("comp_id").distinct(), members.join(asked.select("comp_id").distinct(), "comp_id", "left_semi")
-    buckets = max(1, names.count() // 4096)
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy("comp_id")) - 1
-    numbered = names.withColumn("bucket", F.pmod(F.xxhash64("comp_id"), F.lit(buckets))).select("comp_id", (F.col("bucket") * (1 << 32) + F.floor(place / 32)).alias("block"), (place % 32).alias("lane"))
-    source = members.select("node_id", "comp_id").distinct()
-    bits = own.join(numbered, "comp_id").groupBy("block", "node_id").agg(F.bit_or(F.expr("shiftleft(1L, lane)")).alias("bits"))
-    reached = bits.join(source, "node_id").groupBy("block", "comp_id").agg(F.bit_or("bits").alias("bits"))
+    source = kept(members.select("node_id", "comp_id").distinct(), "memberships")
+    hubs = kept(source.groupBy("node_id").agg(F.count("*").alias("k")).where(F.col("k") > hub).select("node_id"), "hubs")
+    # the class of a composition: its hubs in ascending order
+    classes = source.join(hubs, "node_id").groupBy("comp_id").agg(F.array_sort(F.collect_list("node_id")).alias("hubs"))
+    none = F.array().cast(classes.schema["hubs"].dataType)
     profile = members.groupBy("comp_id", "role").agg(F.count("*").alias("n"), F.sum("confidence").alias("w"))
-    lanes = [F.expr(f"{f} AS {c}{i}") for i in range(32) for c, f in (("n", f"sum(if(bits & {1 << i} != 0, n, 0))"), ("w", f"sum(if(bits & {1 << i} != 0, w, 0D))"))]
-    sums = reached.join(profile, "comp_id").groupBy("block", "role").agg(*lanes)
-    flat = sums.selectExpr("block", "role", f"posexplode(array({', '.join(f'struct(n{i} AS n, w{i} AS w)' for i in range(32))})) AS (lane, s)").where("s.n > 0")
-    total = flat.join(numbered, ["block", "lane"]).select("comp_id", "role", F.col("s.n").alias("n"), (0.7 * F.col("s.w")).alias("w"))
+    classed = kept(profile.join(classes, "comp_id", "left").withColumn("hubs", F.coalesce("hubs", none)), "profiles")
+    sums = classed.where(F.size("hubs") > 0).groupBy("hubs", "role").agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
+    asking = kept(names.join(classes, "comp_id", "left").withColumn("hubs", F.coalesce("hubs", none)), "asking")
+    kinds = lambda rows, name: rows.select(F.col("hubs").alias(name)).distinct().withColumn("hub", F.explode(name))
+    meet = kinds(asking, "ours").join(kinds(sums, "hubs"), "hub").select("ours", "hubs").distinct()
+    by_class = meet.join(sums, "hubs").groupBy("ours", "role").agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
+    by_hubs = asking.join(by_class.withColumnRenamed("ours", "hubs"), "hubs").select("comp_id", "role", "n", (0.7 * F.col("w")).alias("w"))
+    rare = source.join(hubs, "node_id", "left_anti")
+    ours = rare.join(asking, "comp_id").select("node_id", F.col("comp_id").alias("asked"), F.col("hubs").alias("ours"))
+    theirs = rare.join(ours.select("node_id").distinct(), "node_id", "left_semi")
+    apart = ~F.arrays_overlap("ours", "hubs")
+    at_node = theirs.join(classed, "comp_id").groupBy("node_id", "hubs", "role").agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
+    by_nodes = ours.join(at_node, "node_id").where(apart).groupBy(F.col("asked").alias("comp_id"), "role").agg(F.sum("n").alias("n"), (0.7 * F.sum("w")).alias("w"))
+    often = ours.select("node_id", "asked").join(theirs, "node_id").groupBy("asked", "comp_id").agg(F.count("*").alias("k")).where("k > 1")
+    again = often.join(asking.select(F.col("comp_id").alias("asked"), F.col("hubs").alias("ours")), "asked").join(classed, "comp_id").where(apart)
+    again = again.select(F.col("asked").alias("comp_id"), "role", (F.col("n") * (1 - F.col("k"))).alias("n"), (0.7 * F.col("w") * (1 - F.col("k"))).alias("w"))
+    total = by_hubs.unionAll(by_nodes).unionAll(again)
     # others' members that are its own nodes: all that such a node plays anywhere but in the composition itself, whose own profile the sums hold too
     plays = members.groupBy("node_id", "role").agg(F.count("*").alias("n"), F.sum("confidence").alias("w"))
     shared = own.select("comp_id", "node_id").distinct().join(plays, "node_id").select("comp_id", "role", (-F.col("n")).alias("n"), (-0.7 * F.col("w")).alias("w"))
