@@ -29,6 +29,21 @@ def test_beliefs_follow_observations_in_order(spark, tmp_path):
     assert abs(got["b"].belief - 0.51) < 1e-9 and not got["b"].anomaly
 
 
+def test_beliefs_follow_the_order_of_time_over_all_arrow_batches(spark, tmp_path):
+    rows = [("a", i % 7 / 7, T0 + datetime.timedelta(seconds=i)) for i in range(40)]
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "3")
+    try:
+        got = drain(B.beliefs(stream(spark, tmp_path / "in", rows[::-1], "k string, v double, ts timestamp"), "k", "v", "ts"), "ordered", "update")
+    finally:
+        spark.conf.set(name, before)
+    want = 0.5
+    for _, x, _ in rows:
+        want += 0.1 * (x - want)
+    assert [(r.seen, round(r.belief, 9)) for r in got] == [(40, round(want, 9))]
+
+
 def test_sessions_close_behind_the_watermark(spark, tmp_path):
     at = lambda s: T0 + datetime.timedelta(seconds=s)
     rows = [("a", at(0)), ("a", at(200)), ("a", at(900)), ("z", at(90_000))]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ STATE = "belief double, seen long"
 def beliefs(rows: DataFrame, key: str, value: str, time: str, rate: float = 0.1, start: float = 0.5, anomaly: float = 0.3, ttl_seconds: int = 600, delay: str = "1 minute") -> DataFrame:
     """For each key and micro-batch: belief <- belief + rate * (observation - belief), within 0 and 1, over its rows in the order of time; keys unseen for the time to live are forgotten.
 
-    The state of a key is two numbers, whatever its number of rows.
+    The state of a key is two numbers, whatever its number of rows; a micro-batch takes 16 bytes a row of a key while it is put in order.
     """
 
     def update(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -24,12 +25,15 @@ def beliefs(rows: DataFrame, key: str, value: str, time: str, rate: float = 0.1,
             state.remove()
             return
         belief, seen = state.get if state.exists else (start, 0)
-        newest, worst = 0, 0.0
-        for part in parts:
-            for at, x in sorted(zip(part["at"].tolist(), part["x"].tolist(), strict=True)):
-                worst = max(worst, abs(x - belief))
-                belief = min(1.0, max(0.0, belief + rate * (x - belief)))
-                seen, newest = seen + 1, max(newest, int(at.timestamp() * 1000))
+        worst = 0.0
+        # parts are Arrow batches without an order among them, so all of a key's rows are put in order, as two numbers a row
+        held = [(part["at"].to_numpy("datetime64[ns]").astype(np.int64), part["x"].to_numpy(np.float64)) for part in parts]
+        at, xs = (np.concatenate(c) for c in zip(*held, strict=True))
+        newest = int(at.max()) // 1_000_000
+        for x in xs[np.lexsort((xs, at))].tolist():
+            worst = max(worst, abs(x - belief))
+            belief = min(1.0, max(0.0, belief + rate * (x - belief)))
+        seen += len(xs)
         state.update((belief, seen))
         state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + ttl_seconds * 1000)
         yield pd.DataFrame({"key": [group[0]], "belief": [belief], "seen": [seen], "error": [worst], "anomaly": [worst > anomaly]})
