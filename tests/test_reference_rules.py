@@ -72,6 +72,14 @@ def test_graph_context_counts_others_once(spark):
     assert got == {"Agent": (2, pytest.approx(1.28)), "Patient": (2, pytest.approx(1.35))}
 
 
+def test_of_members_in_one_place_the_least_is_a_candidate(spark):
+    for order in (1, -1):
+        rows = [(1, 4, "y", "Cause", 0.9), (1, 4, "x", "Cause", 0.8), (1, 4, "x", "Cause", 0.4)][::order]
+        members = spark.createDataFrame([*rows, (2, 0, "q", "Agent", 1.0)], MEMBERS).coalesce(1)
+        gaps = spark.createDataFrame([(2, "MissingCause", "Cause")], "comp_id int, gap string, role string")
+        assert [(r.candidate, round(r.candidate_confidence, 6)) for r in Q.candidates(gaps, members).collect()] == [("x", round(0.4 / 3, 6))]
+
+
 def test_graph_context_is_the_same_with_any_hubs(spark):
     rng = random.Random(5)
     rows = [(c, k, rng.choice("aaaabbcdefghijklmnop"), rng.choice(("Agent", "Patient", "Purpose")), rng.randrange(1, 100) / 100) for c in range(60) for k in range(rng.randrange(1, 6))]

@@ -43,10 +43,11 @@ def grounding_gaps(comps: DataFrame) -> DataFrame:
 def candidates(gaps: DataFrame, members: DataFrame) -> DataFrame:
     """comp_id, role, candidate, candidate_confidence: the node that plays the role in most other compositions and isn't in this one; ties go to the smaller id.
 
+    Of several nodes in a role, a composition's first by place, then id, then confidence counts.
     A composition looks at no more than its number of nodes plus one of a role's nodes in that order, so
     gaps meet them by their place in it, and no two compositions meet.
     """
-    w = Window.partitionBy("comp_id", "role").orderBy("pos")
+    w = Window.partitionBy("comp_id", "role").orderBy("pos", "node_id", "confidence")
     plays = members.withColumn("k", F.row_number().over(w)).where("k = 1").groupBy("role", F.col("node_id").alias("candidate")).agg(F.count("*").alias("n"), F.avg("confidence").alias("c"))
     nodes = members.groupBy("comp_id").agg(F.collect_set("node_id").alias("nodes"))
     most = nodes.agg(F.max(F.size("nodes"))).first()[0] or 0  # one number: how long a role's list has to be
