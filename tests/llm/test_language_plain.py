@@ -1,5 +1,6 @@
 """Language ID done plainly: one letter, n-gram and text at a time; samples of training texts, and ties."""
 
+import inspect
 import random
 import zlib
 
@@ -90,6 +91,14 @@ def test_a_sample_of_training_texts_is_chosen_by_id(spark):
     assert all(0 < taken.count(lang) < n[lang] and taken.count(lang) < 2 * most for lang in n)
 
 
+def test_all_training_texts_count_whatever_their_number(spark):
+    n = 12_000
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('abc def ', repeat('gh ', int(id % 5))) AS text", "'kk' AS lang")
+    rows = [i for i in range(n) if zlib.crc32(str(i).encode()) % 5]
+    assert language_id._training_texts(docs, "doc_id", "text", "lang", inspect.signature(language_id.profiles).parameters["most"].default).count() == len(rows)
+    assert inspect.signature(language_id.limits).parameters["most"].default is None
+
+
 def test_tied_languages_give_the_first(spark):
     same = [(i, f"abc def {i % 7 * 'gh '}") for i in range(1, 60)]
     rows = [*[(i, t, "mm") for i, t in same], *[(1000 + i, t, "kk") for i, t in same], *[(2000 + i, "xyz uvw", "zz") for i in range(20)]]

@@ -42,8 +42,6 @@ from .wordhash import chunks, mix
 DIMENSION = 512
 NGRAM = 3
 FOLDS = 5
-#: The classifier learns from about so many texts of a language, chosen by a hash of the id; all, if it has fewer.
-MOST_TRAINING_TEXTS = 8000
 #: The share of training texts of about one length that count as outliers, how many texts it takes to fit a limit, and the part of the others' least likeness that is enough: new texts can be less like than any seen.
 OUTLIERS, LEAST_TEXTS, ENOUGH = 0.001, 50, 0.8
 #: Numbers of n-grams by power of two; steps that cosines are counted in.
@@ -167,9 +165,11 @@ def _cleaned(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
-def _training_texts(docs: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> DataFrame | None:
-    """text and lang of the rows to learn from; None without any."""
+def _training_texts(docs: DataFrame, id_col: str, text_col: str, label_col: str, most: int | None) -> DataFrame | None:
+    """text and lang of the rows to learn from; None without any. With ``most``, about so many of a language, chosen by a hash of the id; otherwise all."""
     labelled = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{label_col}`").alias("lang")).where("id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL").where(fold_of("id") != 0)
+    if most is None:
+        return None if labelled.isEmpty() else labelled.select("text", "lang")
     rates = {r.lang: min(1.0, most / r["n"]) for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
     if not rates:
         return None
@@ -177,7 +177,7 @@ def _training_texts(docs: DataFrame, id_col: str, text_col: str, label_col: str,
     return labelled.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < rate * 1_000_000).select("text", "lang")
 
 
-def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", most: int = MOST_TRAINING_TEXTS, dimension: int = DIMENSION, n: int = NGRAM) -> tuple[list[str], np.ndarray]:
+def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", most: int | None = None, dimension: int = DIMENSION, n: int = NGRAM) -> tuple[list[str], np.ndarray]:
     """Languages in ascending order, and their prototypes before the shift. Each task bundles its own rows; what reaches the driver has the size of the prototypes."""
     bound_batches(docs.sparkSession)
     chosen = _training_texts(docs, id_col, text_col, label_col, most)
@@ -206,7 +206,7 @@ def shifted(prototypes: np.ndarray) -> np.ndarray:
     return unit(prototypes).astype(np.float32)
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", most: int = MOST_TRAINING_TEXTS, dimension: int = DIMENSION, n: int = NGRAM) -> tuple[list[str], np.ndarray]:
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", most: int | None = None, dimension: int = DIMENSION, n: int = NGRAM) -> tuple[list[str], np.ndarray]:
     """Languages in ascending order, and their prototypes."""
     languages, prototypes = profiles(docs, id_col, text_col, label_col, most, dimension, n)
     return languages, shifted(prototypes)
@@ -221,7 +221,7 @@ def _likeness(vectors: np.ndarray, prototypes: np.ndarray) -> np.ndarray:
     return np.floor(np.clip((unit(vectors) @ prototypes.T).max(axis=1), 0, 1) * STEPS).astype(np.int64)
 
 
-def limits(docs: DataFrame, prototypes: np.ndarray, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", most: int = MOST_TRAINING_TEXTS, n: int = NGRAM) -> np.ndarray:
+def limits(docs: DataFrame, prototypes: np.ndarray, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", most: int | None = None, n: int = NGRAM) -> np.ndarray:
     """By power of two of the number of n-grams: the likeness, in steps, that is enough: ENOUGH of what all but the OUTLIERS of the training texts reach.
 
     Lengths of too few texts have the limit of the next shorter one; without any, 0, which nothing is below.
