@@ -1,5 +1,6 @@
 """Survivors, counts by complement, stems, senses in context and schemas, by hand and against plain loops."""
 
+import inspect
 import random
 from itertools import combinations
 
@@ -12,7 +13,8 @@ from weftgraph.operators import frames as M
 from weftgraph.operators import graph as R
 from weftgraph.operators import morphology as W
 from weftgraph.operators import pairs as P
-from weftgraph.operators.rules import substitutable
+from weftgraph.operators.rules import substitutable, substitutable_pairs
+from weftgraph.plans import rule_queries
 
 
 def greedy(order, pairs):
@@ -198,3 +200,15 @@ def test_substitutes_of_asked_words(spark):
     rows = spark.createDataFrame([(1, 0, i, t) for i, t in enumerate("a x b x a y c z".split())], "k int, sent int, pos int, token string")
     got = {(r.a, r.b, r.shared) for r in substitutable(rows, "k", spark.createDataFrame([("b",)], "token string")).collect()}
     assert got == {("b", "a", 1)}
+
+
+def test_substitutes_among_all_frequent_words(spark):
+    rng = random.Random(3)
+    sents = [[rng.choice("abcdefgh") for _ in range(rng.randrange(1, 6))] for _ in range(60)]
+    rows = spark.createDataFrame([(1, s, i, t) for s, ts in enumerate(sents) for i, t in enumerate(ts)], "k int, sent int, pos int, token string")
+    least = 20
+    often = {t for t in "abcdefgh" if sum(ts.count(t) for ts in sents) >= least}
+    after = {t: {y for ts in sents for x, y in zip(ts, ts[1:]) if x == t} for t in often}
+    want = {(a, b, len(after[a] & after[b])) for a in often for b in often if a < b and 2 * len(after[a] & after[b]) > min(len(after[a]), len(after[b]))}
+    assert want and {(r.a, r.b, r.shared) for r in substitutable_pairs(rows, "k", least).collect()} == want
+    assert "substitutable_pairs" in inspect.getsource(rule_queries.substitutable)  # all pairs, no list of asked words

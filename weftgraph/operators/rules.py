@@ -105,6 +105,16 @@ def substitutable(tokens: DataFrame, key: str, asked: DataFrame) -> DataFrame:
     return told.where("shared * 2 > fewer").select("a", "b", "shared", F.round(F.col("shared") / F.col("fewer"), 6).alias("rate"))
 
 
+def substitutable_pairs(tokens: DataFrame, key: str, least: int) -> DataFrame:
+    """Pairs of frequent tokens that share over half of the fewer of their followers."""
+    w = Window.partitionBy(key, "sent").orderBy("pos")
+    follow = tokens.withColumn("next", F.lead("token").over(w))
+    counted = kept(follow.groupBy("token", "next").agg(F.count("*").alias("n")), "followers")
+    often = counted.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("token")
+    rows = counted.where("next IS NOT NULL").select("token", "next").join(often, "token", "left_semi").withColumn("all", F.lit(0))
+    return over_half(rows, "all", "token", "next").select("a", "b", "shared", F.round(F.col("shared") / F.col("fewer"), 6).alias("rate"))
+
+
 def markup_kind(text: Column) -> Column:
     low = F.lower(text)
     has = lambda s: F.contains(low, F.lit(s))
