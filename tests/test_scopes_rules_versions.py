@@ -161,3 +161,17 @@ def test_second_hops_and_their_bonus(spark):
     assert got[1] == (0.9, 1) and got[2] == (pytest.approx(second + 0.1), 2) and got[3] == (0.2, 4) and 5 not in got
     # 2 and 3 are 40 degrees apart, so all four are one cluster, and 4's bonus comes from hop 1
     assert got[4] == (pytest.approx(round(math.cos(math.radians(2)), 6) * 0.2 * 0.8 + 0.1), 3)
+
+
+def test_clusters_and_close_pairs_in_tiles(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    vectors = {i: rng.normal(size=3).round(2).tolist() for i in range(70)}
+    df = spark.createDataFrame(list(vectors.items()), "k long, v array<double>").repartition(3)
+    monkeypatch.setattr(N, "TILE", 7)
+    assert {r.key: r.cluster for r in N.clusters(df, "k", "v", 0.9).collect()} == plain_clusters(vectors, 0.9)
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in vectors.items()}
+    want = {(a, b) for a in unit for b in unit if a < b and unit[a] @ unit[b] >= 0.9}
+    pairs = N.close_pairs(N.unit(df, "k", "v")[1], 0.9).collect()
+    assert {(r.a, r.b) for r in pairs} == want and len(pairs) == len(want)

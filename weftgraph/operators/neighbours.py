@@ -20,6 +20,8 @@ from weftgraph.sources.scratch import kept
 
 #: Bytes of the vectors that are broadcast at once.
 BLOCK_BYTES = 16 << 20
+#: Rows and columns of a product that a task holds at once.
+TILE = 1024
 #: Least cosine in a cluster and of a second hop, what a second hop keeps of a score, the least score of a first hop whose cluster counts, and what membership adds.
 NEAR, SECOND, SURE, BONUS = 0.7, 0.8, 0.3, 0.1
 
@@ -60,33 +62,45 @@ def close_pairs(rows: DataFrame, least: float, forest: bool = False) -> DataFram
     """a < b and cosine of the distinct unit vectors (key, v, angle) whose cosine is ``least`` or more; with ``forest``, of each task and block only pairs that connect what they connect (a and b alone count then)."""
     theta, spark, found = math.acos(least) + 1e-9, rows.sparkSession, []
 
+    tile = TILE
+
     def scan(told):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys, v = told.value
-            parent = {}
+            # a task sees a vector once, so of what it has connected only the block's vectors matter later
+            places, parent = {k: i for i, k in enumerate(keys.tolist())} if forest else {}, list(range(len(keys)))
 
             def root(x):
-                while parent.setdefault(x, x) != x:
+                while parent[x] != x:
                     parent[x] = x = parent[parent[x]]
                 return x
 
+            def connecting(own, x, y, at):
+                take = np.zeros(len(x), bool)
+                for k, (a, b) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+                    q = root(b)
+                    p = root(at[a]) if a in at else places.get(own[a])
+                    if p is None:
+                        at[a], take[k] = b, True
+                    elif (p := root(p)) != q:
+                        parent[max(p, q)] = min(p, q)
+                        take[k] = True
+                return take
+
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                own, w = batch.column(0).to_numpy(), _matrix(batch.column(1))
-                for i in range(0, len(own), 1024):
-                    cosine = w[i : i + 1024] @ v.T
-                    x, y = np.nonzero((cosine >= least - 1e-12) & (own[i : i + 1024, None] < keys))
-                    pairs = own[i : i + 1024][x], keys[y], cosine[x, y]
-                    if forest:
-                        take = np.zeros(len(x), bool)
-                        for k, (a, b) in enumerate(zip(pairs[0].tolist(), pairs[1].tolist(), strict=True)):
-                            p, q = root(a), root(b)
-                            if p != q:
-                                parent[max(p, q)] = min(p, q)
-                                take[k] = True
-                        pairs = tuple(c[take] for c in pairs)
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64()), pa.array(pairs[2], pa.float64())], names=["a", "b", "cosine"])
+                every, w = batch.column(0).to_numpy(), _matrix(batch.column(1))
+                for i in range(0, len(every), tile):
+                    own, at = every[i : i + tile], {}
+                    for j in range(0, len(keys), tile):
+                        cosine = w[i : i + tile] @ v[j : j + tile].T
+                        x, y = np.nonzero((cosine >= least - 1e-12) & (own[:, None] < keys[j : j + tile]))
+                        if forest:
+                            take = connecting(own, x, y + j, at)
+                            x, y = x[take], y[take]
+                        if len(x):
+                            yield pa.RecordBatch.from_arrays([pa.array(own[x], pa.int64()), pa.array(keys[y + j], pa.int64()), pa.array(cosine[x, y], pa.float64())], names=["a", "b", "cosine"])
 
         return run
 
