@@ -29,3 +29,19 @@ def test_nearest_and_tails_are_those_of_all_pairs(spark, monkeypatch, size):
                 want |= {(q, name, k + 1, i, -c) for k, (c, i) in enumerate(s)}
     assert {(r.h, r.r, r["rank"], r.id, r.score) for r in V.tails(asked, [("up", 0.5), ("down", -0.5)], df, "id", "e", 4).collect()} == want
     assert V.nearest(asked.limit(0), df, "id", "e", 4).collect() == []
+
+
+def test_a_task_multiplies_tiles_of_a_bounded_size(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(V, "TILE", 8)
+    rng, sizes = np.random.default_rng(4), []
+    v = rng.normal(size=(50, 4))
+    spied = lambda q, w: sizes.append(len(q) * len(w)) or V.cosines(q, w)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array(v.tolist())], names=["key", "v"])
+    told = SimpleNamespace(value=(np.arange(50), np.arange(50), v))
+    got = {(q, k) for part in V._scan(told, spied, 3)(iter([batch])) for q, k in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)}
+    cosine = np.round(V.cosines(v, v), 6)
+    assert max(sizes) <= 64 and got == {(q, k) for q in range(50) for k in sorted((k for k in range(50) if k != q), key=lambda k: (-cosine[q, k], k))[:3]}

@@ -1,7 +1,7 @@
 """Embeddings: nearest neighbours of a stated set of queries, and tails of translations.
 
-Queries go to the tasks in blocks of a bounded size, as matrices; a task takes its vectors a batch at a time, multiplies, and
-keeps the best few of each query. So pairs never become rows, vectors are never shuffled, and what a task returns is bounded by
+Queries go to the tasks in blocks of a bounded size, as matrices; a task takes its vectors a batch at a time, multiplies tiles of
+both, and keeps the best few of each query. So pairs never become rows, vectors are never shuffled, and what a task returns is bounded by
 the block. What a block finds is written before the next one, and its broadcast goes.
 """
 
@@ -18,6 +18,8 @@ from weftgraph.sources.scratch import kept
 
 #: Bytes of the queries that are broadcast at once, one query at least.
 BLOCK_BYTES = 16 << 20
+#: Queries that a task multiplies at once, with at most as many vectors.
+TILE = 1024
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -76,14 +78,19 @@ def best(queries: DataFrame, vectors: DataFrame, scores: Callable[[np.ndarray, n
 
 
 def _scan(told, scores, top: int):
+    tile = TILE
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q_ids, own, q = told.value
-        held = Best(len(q), top)
+        held = [(i, Best(len(q[i : i + tile]), top)) for i in range(0, len(q), tile)]
         for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                part = batch.slice(i, 1024)
-                held.add(scores(q, _matrix(part.column(1))), part.column(0).to_numpy(), own)
-        yield pa.RecordBatch.from_arrays([pa.array(q_ids[held.query]), pa.array(held.key), pa.array(held.score)], names=["q", "key", "score"])
+            for i in range(0, batch.num_rows, tile):
+                part = batch.slice(i, tile)
+                keys, v = part.column(0).to_numpy(), _matrix(part.column(1))
+                for j, best_of in held:
+                    best_of.add(scores(q[j : j + tile], v), keys, own[j : j + tile])
+        for j, best_of in held:
+            yield pa.RecordBatch.from_arrays([pa.array(q_ids[j : j + tile][best_of.query]), pa.array(best_of.key), pa.array(best_of.score)], names=["q", "key", "score"])
 
     return run
 
