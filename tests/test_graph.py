@@ -170,3 +170,16 @@ def test_words_and_numbers(spark):
     assert one(spark, X.reduplicated(F.lit("kira-kira"))) == "kira"
     assert one(spark, X.reduplicated(F.lit("kira-kari"))) is None
     assert [one(spark, X.number(F.lit(t))) for t in ("about 3.5 k of it", "12%", "none")] == [3500.0, 0.12, None]
+
+
+def test_reach_reads_the_edges_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c"), ("c", "d"), ("d", "a")], "src string, dst string").coalesce(1).mapInArrow(counted, "src string, dst string")
+    got = R.reach(edges, spark.createDataFrame([("a",)], "node_id string"), 3).collect()
+    assert sorted((r.node_id, r.hops) for r in got) == [("a", 0), ("b", 1), ("c", 2), ("d", 3)] and read.value == 5
