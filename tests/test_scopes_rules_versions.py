@@ -175,3 +175,22 @@ def test_clusters_and_close_pairs_in_tiles(spark, monkeypatch):
     want = {(a, b) for a in unit for b in unit if a < b and unit[a] @ unit[b] >= 0.9}
     pairs = N.close_pairs(N.unit(df, "k", "v")[1], 0.9).collect()
     assert {(r.a, r.b) for r in pairs} == want and len(pairs) == len(want)
+
+
+def test_traverse_reads_edges_and_nodes_once(spark):
+    edges_read, nodes_read = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def counted(read):
+        def run(batches):
+            for batch in batches:
+                read.add(batch.num_rows)
+                yield batch
+
+        return run
+
+    edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c"), ("c", "a")], "src string, dst string").coalesce(1).mapInArrow(counted(edges_read), "src string, dst string")
+    schema = "node_id string, confidence double, inside boolean"
+    nodes = spark.createDataFrame([("a", 1.0, True), ("b", 0.5, True), ("c", 0.5, False)], schema).coalesce(1).mapInArrow(counted(nodes_read), schema)
+    got = S.traverse(edges, nodes, spark.createDataFrame([("a",)], "node_id string"), 2, "soft").collect()
+    assert sorted((r.node_id, r.depth, round(r.confidence, 6)) for r in got) == [("a", 0, 1.0), ("b", 1, 0.5), ("c", 2, 0.15)]
+    assert (edges_read.value, nodes_read.value) == (4, 3)

@@ -71,8 +71,8 @@ def traverse(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, depth: int, b
     if boundary == "adaptive":
         share = nodes.agg(F.avg(F.col("inside").cast("double")).alias("s")).first().s
         boundary = "hard" if (share or 0.0) >= ADAPTIVE else "soft"
-    steps = edges.select("src", "dst").distinct()
-    known = nodes.select("node_id", "confidence", "inside")
+    steps = kept(edges.select("src", "dst"), "steps")  # read by every hop; what is reached twice becomes one below
+    known = kept(nodes.select("node_id", "confidence", "inside"), "known")
 
     def seen(front: DataFrame) -> DataFrame:
         told = front.join(known, "node_id", "left").withColumns({"confidence": F.coalesce("confidence", F.lit(0.0)), "inside": F.coalesce("inside", F.lit(False))})

@@ -15,7 +15,7 @@ from weftgraph.operators import vectors as W
 from weftgraph.plans.graph_queries import CM, TM, _activations, _spread_sql
 from weftgraph.plans.text_queries import FRAMES, _frames
 from weftgraph.sources import versions as V
-from weftgraph.sources.scratch import shared_folder
+from weftgraph.sources.scratch import kept, shared_folder
 from weftgraph.sources.tables import compositions, edges, members, share, table, typed_members, with_sql
 
 QUERIES: dict = {}
@@ -82,7 +82,7 @@ def _traverse_sql(hard: bool) -> str:
 
 
 def _traverse(spark, d, boundary):
-    e = edges(spark, d)
+    e = kept(edges(spark, d).select("src", "dst", "confidence"), "edges")  # read for the nodes and for the steps
     ends = e.select(F.col("src").alias("node_id"), "confidence").unionAll(e.select("dst", "confidence"))
     nodes = ends.groupBy("node_id").agg(F.avg("confidence").alias("confidence")).withColumn("inside", F.col("confidence") >= 0.4)
     seeds = table(spark, d, "customer").where("c_custkey % 50 = 0").select(F.concat(F.lit("c"), F.col("c_custkey")).alias("node_id"))
@@ -197,8 +197,6 @@ def conflict_resolutions(spark, d):
     SELECT doc_id, sent, round(CASE WHEN torn THEN c3 * 0.85::DOUBLE ELSE c3 END + 1e-9, 6) AS confidence FROM w""")
 def modulated_confidence(spark, d):
     """Frames in the light of their document: the share of frames with the same predicate, other predicates, and whether the predicate is denied elsewhere."""
-    from weftgraph.sources.scratch import kept
-
     frames = kept(_frames(spark, d), "frames")
     n = frames.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("predicate").alias("kinds"))
     p = frames.groupBy("doc_id", "predicate").agg(F.count("*").alias("k"), (F.bool_or("negative") & ~F.bool_and("negative")).alias("torn"))
