@@ -23,3 +23,20 @@ def test_hashed_vectors_are_of_unit_length(spark):
     tokens = spark.createDataFrame([(1, "a"), (1, "b"), (1, "a"), (2, "c")], "doc_id int, token string")
     got = U.hashed(tokens, "doc_id", 16).groupBy("doc_id").agg(F.sum(F.col("x") * F.col("x")).alias("l")).collect()
     assert all(abs(r.l - 1) < 1e-9 for r in got) and len(got) == 2
+
+
+def test_npmi_reads_the_sentences_once(spark):
+    import math
+
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    said = [["a", "b", "c"], ["a", "b"], ["a"], [], ["b", "a"]]
+    sentences = spark.createDataFrame([(s,) for s in said], "words array<string>").coalesce(1).mapInArrow(counted, "words array<string>")
+    got = {(r.x, r.y): (r.n, r.npmi) for r in U.npmi(sentences, "words", 1).collect()}
+    score = lambda n, x, y: round(math.log(n * 4 / (x * y)) / -math.log(n / 4), 6)
+    assert got == {("a", "b"): (2, score(2, 4, 3)), ("b", "c"): (1, score(1, 3, 1)), ("b", "a"): (1, score(1, 3, 4))} and read.value == 5

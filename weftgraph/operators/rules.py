@@ -83,12 +83,16 @@ def rarity(rows: DataFrame, key: str, items: str) -> DataFrame:
     return flat.groupBy("word").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).select("word", "df", F.round(F.ln(F.col("total") / F.col("df")), 6).alias("idf"))  # one row is broadcast
 
 
-def npmi(tokens: DataFrame, key: str, least: int) -> DataFrame:
-    """Normalised pointwise mutual information of tokens next to each other."""
-    w = Window.partitionBy(key, "sent").orderBy("pos")
-    pairs = tokens.withColumn("y", F.lead("token").over(w)).where("y IS NOT NULL").groupBy(F.col("token").alias("x"), "y").agg(F.count("*").alias("n"))
+def npmi(sentences: DataFrame, words: str, least: int) -> DataFrame:
+    """Normalised pointwise mutual information of words (an array in order) next to each other in a sentence.
+
+    A word and the next one, null after the last, are counted in one pass over the sentences; all else follows from these counts.
+    """
+    rows = sentences.select(F.col(words).alias("x"), F.slice(words, F.lit(2), F.size(words)).alias("y")).where(F.size("x") > 0)
+    counted = kept(rows.select(F.inline(F.arrays_zip("x", "y"))).groupBy("x", "y").agg(F.count("*").alias("n")), "followers")
+    pairs = counted.where("y IS NOT NULL")
     total = pairs.agg(F.sum("n").cast("double").alias("total"))
-    one = tokens.groupBy("token").agg(F.count("*").alias("c"))
+    one = counted.groupBy(F.col("x").alias("token")).agg(F.sum("n").alias("c"))
     often = pairs.where(F.col("n") >= least).join(one.withColumnsRenamed({"token": "x", "c": "cx"}), "x").join(one.withColumnsRenamed({"token": "y", "c": "cy"}), "y").crossJoin(F.broadcast(total))
     score = F.ln(F.col("n") * F.col("total") / (F.col("cx") * F.col("cy").cast("double"))) / -F.ln(F.col("n") / F.col("total"))
     return often.select("x", "y", "n", F.round(score, 6).alias("npmi"))
