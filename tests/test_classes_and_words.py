@@ -212,3 +212,8 @@ def test_substitutes_among_all_frequent_words(spark):
     want = {(a, b, len(after[a] & after[b])) for a in often for b in often if a < b and 2 * len(after[a] & after[b]) > min(len(after[a]), len(after[b]))}
     assert want and {(r.a, r.b, r.shared) for r in substitutable_pairs(rows, "k", least).collect()} == want
     assert "substitutable_pairs" in inspect.getsource(rule_queries.substitutable)  # all pairs, no list of asked words
+
+
+def test_stems_are_plain_columns_worked_out_once(spark):
+    plan = W.stems(spark.createDataFrame([("berjalan-jalan",)], "word string"), "word")._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and len(plan) < 200_000

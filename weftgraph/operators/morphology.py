@@ -49,42 +49,34 @@ class Morphology:
         return [form for form, of in self.allomorphs if of == prefix]
 
 
-def _bound(value: Column, use) -> Column:
-    """use(value), with the value worked out once."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def _affix(word: Column, affixes: tuple[str, ...], fits) -> Column:
     """The first affix that the word has, with two bytes or more beside it; null if none."""
-    return F.get(F.filter(F.array(*[F.lit(a) for a in affixes]), lambda a: fits(word, a) & (F.octet_length(word) > F.octet_length(a) + 1)), 0)
-
-
-def _cut(affix: Column, rest: Column) -> Column:
-    return F.struct(affix.alias("affix"), rest.alias("rest"))
-
+    found, size = F.lit(None).cast("string"), F.octet_length(word)
+    for a in reversed(affixes):
+        found = F.when(fits(word, F.lit(a)) & (size > len(a.encode()) + 1), a).otherwise(found)
+    return found
 
-def without_suffix(word: Column, known: Morphology) -> Column:
-    """The suffix (affix) and what it leaves (rest), nulls if there is none."""
-    return _bound(_affix(word, known.suffixes, F.endswith), lambda s: _cut(s, F.substr(word, F.lit(1), F.length(word) - F.length(s))))
 
+def without_suffix(rows: DataFrame, word: str, known: Morphology, affix: str, rest: str) -> DataFrame:
+    """rows with the suffix of a column and what it leaves, nulls if there is none."""
+    found = rows.withColumn(affix, _affix(F.col(word), known.suffixes, F.endswith))
+    return found.withColumn(rest, F.substr(word, F.lit(1), F.length(word) - F.length(affix)))
 
-def without_prefix(word: Column, known: Morphology) -> Column:
-    """The prefix (affix) and what it leaves (rest), with letters that come back."""
 
-    def whole(prefix: Column, rest: Column) -> Column:
-        back = F.lit("")
-        for form, before, letter in reversed(known.restored):
-            back = F.when((prefix == form) & F.startswith(rest, F.lit(before)), letter).otherwise(back)
-        return _cut(prefix, F.concat(back, rest))
+def without_prefix(rows: DataFrame, word: str, known: Morphology, affix: str, rest: str) -> DataFrame:
+    """rows with the prefix of a column and what it leaves, with letters that come back."""
+    found = rows.withColumn(affix, _affix(F.col(word), known.prefixes, F.startswith))
+    found = found.withColumn(rest, F.substr(word, F.length(affix) + 1, F.length(word)))
+    back = F.lit("")
+    for form, before, letter in reversed(known.restored):
+        back = F.when((F.col(affix) == form) & F.startswith(rest, F.lit(before)), letter).otherwise(back)
+    return found.withColumn(rest, F.concat(back, F.col(rest)))
 
-    return _bound(_affix(word, known.prefixes, F.startswith), lambda p: _bound(F.substr(word, F.length(p) + 1, F.length(word)), lambda rest: whole(p, rest)))
 
-
-def _ways(word: Column, known: Morphology) -> Column:
-    """s, p: suffix or prefix off; sp, ps: then the other one as well."""
-    both = lambda s, p: F.struct(s.alias("s"), p.alias("p"))
-    first = both(without_suffix(word, known), without_prefix(word, known))
-    return _bound(first, lambda a: F.struct(a["s"].alias("s"), a["p"].alias("p"), without_prefix(a["s"]["rest"], known).alias("sp"), without_suffix(a["p"]["rest"], known).alias("ps")))
+def _ways(rows: DataFrame, word: str, known: Morphology, name: str) -> DataFrame:
+    """rows with columns of a name and s, p: suffix or prefix off; sp, ps: then the other one as well; each with its rest. A step is a column, so that it is worked out once."""
+    rows = without_prefix(without_suffix(rows, word, known, f"{name}s", f"{name}s_rest"), word, known, f"{name}p", f"{name}p_rest")
+    return without_suffix(without_prefix(rows, f"{name}s_rest", known, f"{name}sp", f"{name}sp_rest"), f"{name}p_rest", known, f"{name}ps", f"{name}ps_rest")
 
 
 def stems(words: DataFrame, word: str, known: Morphology = Morphology()) -> DataFrame:  # noqa: B008
@@ -96,25 +88,30 @@ def stems(words: DataFrame, word: str, known: Morphology = Morphology()) -> Data
     """
     parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # words are few bytes and much work, which adaptive execution would put into one task
     rows = words.select(word, F.lower(word).alias("w")).where(~F.col("w").isin(*known.roots)).repartition(parts)
-    one = lambda root, prefix, suffix: F.struct(root.alias("root"), prefix.alias("prefix"), suffix.alias("suffix"))
-    none = F.lit(None).cast("string")
-    kind = "struct<root:string,prefix:string,suffix:string>"
-
-    def best(found: Column) -> Column:
-        sure = F.get(F.filter(found, lambda c: c["root"].isin(*known.roots)), 0)
-        short = F.aggregate(F.filter(found, lambda c: F.octet_length(c["root"]) >= 2), F.lit(None).cast(kind), lambda b, c: F.when(b.isNull() | (F.octet_length(c["root"]) < F.octet_length(b["root"])), c).otherwise(b))
-        return F.coalesce(sure, short)
-
-    def undone(w: Column, a: Column) -> Column:
-        found = F.array(one(a["s"]["rest"], none, a["s"]["affix"]), one(a["sp"]["rest"], a["sp"]["affix"], a["s"]["affix"]), one(a["p"]["rest"], a["p"]["affix"], none), one(a["ps"]["rest"], a["p"]["affix"], a["ps"]["affix"]))
-        return _bound(F.filter(found, lambda c: c["root"].isNotNull() & (c["root"] != "") & (c["root"] != w)), best)
-
-    def doubled(left: Column, right: Column) -> Column:
-        simple = _bound(_ways(left, known), lambda a: F.coalesce(a["sp"]["rest"], a["s"]["rest"], a["p"]["rest"], left))
-        return F.when(left == right, left).when((F.octet_length(left) > F.octet_length(right)) & (simple == right), right)
-
-    halves = F.when(F.instr("w", "-") > 1, doubled(F.substring_index("w", "-", 1), F.substr("w", F.instr("w", "-") + 1, F.length("w"))))
-    told = rows.select(word, F.coalesce(F.when(F.contains("w", F.lit("-")), _bound(halves, lambda h: F.when(h.isNotNull(), one(h, none, none)))), _bound(_ways(F.col("w"), known), lambda a: undone(F.col("w"), a))).alias("best"))
+    halves = F.instr("w", "-") > 1
+    rows = rows.withColumns({"left": F.when(halves, F.substring_index("w", "-", 1)), "right": F.when(halves, F.substr("w", F.instr("w", "-") + 1, F.length("w")))})
+    rows = _ways(_ways(rows, "w", known, "w_"), "left", known, "l_")
+    simple = F.coalesce("l_sp_rest", "l_s_rest", "l_p_rest", "left")
+    rows = rows.withColumn("double", F.when(F.col("left") == F.col("right"), F.col("left")).when((F.octet_length("left") > F.octet_length("right")) & (simple == F.col("right")), F.col("right")))
+
+    # a candidate's place among those that count: known roots, then by length, the earlier of equals
+    ways = (("w_s", None, "w_s"), ("w_sp", "w_sp", "w_s"), ("w_p", "w_p", None), ("w_ps", "w_p", "w_ps"))
+    for i, (way, _, _) in enumerate(ways):
+        root = F.col(f"{way}_rest")
+        size = F.octet_length(root)
+        counts = root.isNotNull() & (root != "") & (root != F.col("w"))
+        rows = rows.withColumn(f"place{i}", F.when(counts & root.isin(*known.roots), F.lit(i)).when(counts & (size >= 2), size * len(ways) + i))
+    rows = rows.withColumn("place", F.least(*[f"place{i}" for i in range(len(ways))]))
+
+    def of(column) -> Column:
+        told = F.lit(None).cast("string")
+        for i, way in enumerate(ways):
+            told = F.when(F.col("place") == F.col(f"place{i}"), column(*way)).otherwise(told)
+        return F.when(F.col("double").isNull(), told)
+
+    some = lambda c: F.lit(None).cast("string") if c is None else F.col(c)
+    told = rows.select(word, F.coalesce("double", of(lambda way, p, s: F.col(f"{way}_rest"))).alias("root"), of(lambda way, p, s: some(p)).alias("prefix"), of(lambda way, p, s: some(s)).alias("suffix"))
     forms = F.create_map(*[F.lit(x) for pair in known.allomorphs for x in pair])
-    told = told.where("best IS NOT NULL")
-    return told.select(word, "best.root", "best.prefix", "best.suffix", F.when(F.col("best.prefix").isNotNull(), F.element_at(forms, F.col("best.prefix"))).alias("archimorpheme"))
+    # as one row of an array, as Spark would take a filter on plain columns down through all steps, each worked out again
+    one = told.select(word, F.inline(F.array(F.struct("root", "prefix", "suffix"))))
+    return one.where("root IS NOT NULL").select(word, "root", "prefix", "suffix", F.when(F.col("prefix").isNotNull(), F.element_at(forms, F.col("prefix"))).alias("archimorpheme"))
