@@ -40,6 +40,17 @@ def test_messages_link_to_earlier_ones(spark):
     assert sorted(map(tuple, got)) == sorted(want) and len({r.link for r in got}) == 2
 
 
+def test_messages_of_a_long_conversation_meet_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(C, "BLOCK", 8)
+    rng = random.Random(5)
+    rows = [(1, t, rng.choice(["ann", "bob"]), sorted({rng.choice("abcdefghij") for _ in range(rng.randint(1, 7))})) for t in range(60)]
+    want = {(t, u, "semantic_link") for _, t, _, x in rows for _, u, _, y in rows if u < t and jaccard(x, y) > 0.3}
+    want |= {(t, u, "elaboration") for _, t, who, x in rows for _, u, other, y in rows if u < t and who == other and set(x) < set(y)}
+    got = C.semantic_links(spark.createDataFrame(rows, "conv_id int, turn int, role string, atoms array<string>"))
+    assert sorted((r.a, r.b, r.link) for r in got.collect()) == sorted(want)
+    assert got._jdf.queryExecution().toString().count("explode(") == got._jdf.queryExecution().toString().count("explode(sequence")  # words aren't dealt out
+
+
 def test_the_more_confident_of_similar_rows_stays(spark):
     rows = spark.createDataFrame([(1, "a b c d e", 0.5), (2, "a b c d e", 0.9), (3, "A B C D E f", 0.9), (4, "", 0.1), (5, "x", 0.2), (6, "x", 0.2)], "id int, text string, c double")
     words = F.filter(F.split(F.lower("text"), " "), lambda w: w != "")
