@@ -51,6 +51,17 @@ def test_messages_of_a_long_conversation_meet_by_blocks(spark, monkeypatch):
     assert got._jdf.queryExecution().toString().count("explode(") == got._jdf.queryExecution().toString().count("explode(sequence")  # words aren't dealt out
 
 
+def test_sets_that_parities_rule_out_never_meet(spark):
+    rng = random.Random(7)
+    sets = [(0, i, sorted(rng.sample([f"w{k}" for k in range(30)], 10))) for i in range(80)]
+    sets += [(0, 100 + i, sorted({*s, "more"})) for i, (_, _, s) in enumerate(sets[:5])]
+    rows = spark.createDataFrame(sets, "g int, key int, items array<string>")
+    want = {(i, j) for _, i, x in sets for _, j, y in sets if jaccard(x, y) >= 0.8}
+    met = {(r.a, r.b) for r in P.meeting(rows, rows, "g", 0.8).collect()}
+    assert want <= met and len(met) < 1.2 * len(want)
+    assert {(r.a, r.b) for r in P.class_pairs(rows, rows, "g", 0.8).collect()} == want
+
+
 def test_the_more_confident_of_similar_rows_stays(spark):
     rows = spark.createDataFrame([(1, "a b c d e", 0.5), (2, "a b c d e", 0.9), (3, "A B C D E f", 0.9), (4, "", 0.1), (5, "x", 0.2), (6, "x", 0.2)], "id int, text string, c double")
     words = F.filter(F.split(F.lower("text"), " "), lambda w: w != "")
