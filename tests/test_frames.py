@@ -66,3 +66,14 @@ def test_contradictions_are_those_of_all_pairs(spark):
     rows = spark.createDataFrame(events, "predicate string, agent string, patient string, cause string, purpose string")
     got = M.contradictions(rows).groupBy("predicate", "kind").agg(F.sum("pairs").alias("n")).collect()
     assert {(r.predicate, r.kind): r.n for r in got} == want and len(want) == 6
+
+
+def test_sentences_without_a_marker_have_no_meaning_and_are_left_out_before_frames(spark):
+    known = M.Knowledge()
+    said = ["dia makan karena lapar", "jika hujan maka dia membawa payung", "dia makan nasi", "sebabnya dia makan nasi", "DIA memukul bola\tKARENA marah", "karenaa jikalauu ada itu"]
+    rows = spark.createDataFrame(list(enumerate(said)), "id int, s string")
+    words = F.regexp_extract_all("s", F.lit(r"[^ \t\r\n]+"), 0)
+    kept = rows.where(M.marked(F.col("s"), known))
+    assert {r.id for r in kept.collect()} == {0, 1, 4}
+    told = lambda some: sorted(map(tuple, M.derived(M.frames(some, ["id"], words, known), ["id"]).collect()))
+    assert told(kept) == told(rows) != []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame
@@ -95,6 +96,11 @@ def frames(sentences: DataFrame, key: list[str], tokens: Column, known: Knowledg
     return told.withColumn("confidence", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), 6))
 
 
+def marked(sentence: Column, known: Knowledge) -> Column:
+    """Whether a sentence has a cause's or a condition's marker among its words, which blanks, tabs and line ends part: frames of others have no derived() meaning."""
+    return F.lower(sentence).rlike(rf"(?:^|[ \t\r\n])(?:{'|'.join(re.escape(w) for w in (*known.cause, *known.condition))})(?:[ \t\r\n]|$)")
+
+
 #: A cause whose words hold one of these denies.
 DENIALS = ("tidak", "bukan", "tak", "jangan", "not", "no", "never", "don't", "doesn't", "didn't")
 
