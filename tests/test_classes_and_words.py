@@ -217,3 +217,22 @@ def test_substitutes_among_all_frequent_words(spark):
 def test_stems_are_plain_columns_worked_out_once(spark):
     plan = W.stems(spark.createDataFrame([("berjalan-jalan",)], "word string"), "word")._jdf.queryExecution().optimizedPlan().toString()
     assert "lambda" not in plan and len(plan) < 200_000
+
+
+def test_sets_meet_on_twos_without_a_table_of_them(spark, monkeypatch):
+    from weftgraph.sources.scratch import kept
+
+    rng, written = random.Random(11), {}
+
+    def spied(df, name):
+        out = kept(df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(V, "kept", spied)
+    sets = [(g, 100 * g + i, sorted(rng.sample("abcdefghijkl", 5)), "R") for g in (1, 2) for i in range(20)]
+    rows = spark.createDataFrame(sets, "g int, comp_id int, nodes array<string>, roles string")
+    got = V.sharing_pairs(rows, "g", F.col("n"), twos=True).collect()
+    want = {(g, i, j, len(set(x) & set(y))) for g, i, x, _ in sets for h, j, y, _ in sets if g == h and i < j and len(set(x) & set(y)) > 1}
+    assert {(r.g, r.a, r.b, r.shared) for r in got} == want and len(got) == len(want)
+    assert written["first-nodes"] == len(sets)
