@@ -236,3 +236,19 @@ def test_sets_meet_on_twos_without_a_table_of_them(spark, monkeypatch):
     want = {(g, i, j, len(set(x) & set(y))) for g, i, x, _ in sets for h, j, y, _ in sets if g == h and i < j and len(set(x) & set(y)) > 1}
     assert {(r.g, r.a, r.b, r.shared) for r in got} == want and len(got) == len(want)
     assert written["first-nodes"] == len(sets)
+
+
+def test_sets_are_built_once_for_classes_and_their_members(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    rows = spark.createDataFrame([(1, k, i) for k in range(6) for i in range(k // 2, k // 2 + 3)], "g int, k int, i int")
+    spied = rows.mapInPandas(counted, rows.schema)
+    got = {(r.a, r.b) for r in P.over_half(spied, "g", "k", "i").collect()}
+    sets = [set(range(k // 2, k // 2 + 3)) for k in range(6)]
+    assert got == {(a, b) for a, b in combinations(range(6), 2) if 2 * len(sets[a] & sets[b]) > 3}
+    assert read.value == 18
