@@ -198,3 +198,29 @@ def test_isolated_reads_the_members_once(spark):
     sizes = spark.createDataFrame([("c1", 2), ("c2", 1), ("c3", 2), ("c4", 2), ("c5", 0)], "comp_id string, size long")
     assert sorted(r.comp_id for r in G.isolated_of(sizes, members).collect()) == ["c3", "c5"] and read.value == 8
     assert sorted(r.comp_id for r in G.isolated(sizes.select("comp_id"), members).collect()) == ["c3", "c5"]
+
+
+def test_spreading_goes_by_blocks_and_leaves_what_was_told_alone(spark, path):
+    import os
+
+    from weftgraph.sources.scratch import shared_folder
+
+    folder, blocks = shared_folder(spark).removeprefix("file:"), []
+    seeds = spark.createDataFrame([(f"{n}-{k}", str(n), 1.0) for n in range(1, 5) for k in range(R.LANES // 4 + 1)], "seed string, node_id string, energy double")
+    before = set(os.listdir(folder))
+
+    def told(energies, names):
+        blocks.append(names.count())
+        return R.listed(energies, names).where("node_id = '1'")
+
+    got = {r.seed: r.energy for r in R.spread(path, seeds, told=told).collect()}
+    assert blocks == [R.LANES, 4] and {name.split("-")[0] for name in set(os.listdir(folder)) - before} == {"activations"}
+    want = {"1": 1.1015625, "2": 0.6953125, "3": 0.1640625, "4": 0.015625}
+    assert len(got) == R.LANES + 4 and all(got[s] == pytest.approx(want[s[0]]) for s in got)
+
+
+def test_similarity_by_blocks_of_pairs(spark, path):
+    pairs = spark.createDataFrame([("1", "2"), ("2", "3"), ("3", "4"), ("1", "1")], "a string, b string")
+    seeds = spark.createDataFrame([(s, s, 1.0) for s in "1234"], "seed string, node_id string, energy double")
+    want = {(r.a, r.b): r.similarity for r in R.similarity(path, R.spread(path, seeds), pairs).collect()}
+    assert {(r.a, r.b): r.similarity for r in R.blended(path, seeds, pairs).collect()} == pytest.approx(want) and len(want) == 4
