@@ -224,3 +224,23 @@ def test_similarity_by_blocks_of_pairs(spark, path):
     seeds = spark.createDataFrame([(s, s, 1.0) for s in "1234"], "seed string, node_id string, energy double")
     want = {(r.a, r.b): r.similarity for r in R.similarity(path, R.spread(path, seeds), pairs).collect()}
     assert {(r.a, r.b): r.similarity for r in R.blended(path, seeds, pairs).collect()} == pytest.approx(want) and len(want) == 4
+
+
+def test_a_small_graph_is_spread_without_shuffled_energies(spark, path, monkeypatch):
+    """A block's energies come out of one task in all hops; the same as over several shards."""
+    double = path.unionByName(path.where("node_id = '3'").withColumn("pos", F.lit(9)))  # two roles in a composition
+    seeds = spark.createDataFrame([(s, s, 1.0) for s in "1234"] + [("none", "none", 1.0)], "seed string, node_id string, energy double")
+    plans = []
+
+    def told(energies, names):
+        plans.append(energies._jdf.queryExecution().executedPlan().toString())
+        return R.listed(energies, names)
+
+    rows = lambda df: {tuple(r) for r in df.collect()}
+    got = rows(R.spread(double, seeds, told=told))
+    sums, most = R.spread(double, seeds, told=R.totals), R.spread(double, seeds, told=lambda e, n: R.strongest(e, n, 1))
+    assert len(plans) == 1 and "Exchange" not in plans[0]
+    monkeypatch.setattr(R, "WHOLE", 0)
+    assert got == rows(R.spread(double, seeds)) and len(got) == 17
+    assert rows(sums) == {(s, len(e), sum(e), max(e)) for s in {r[0] for r in got} for e in [[r[2] for r in got if r[0] == s]]}
+    assert {(r.seed, r.energy) for r in most.collect()} >= {(s, max(r[2] for r in got if r[0] == s)) for s in {r[0] for r in got}}
