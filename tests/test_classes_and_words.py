@@ -252,3 +252,21 @@ def test_sets_are_built_once_for_classes_and_their_members(spark):
     sets = [set(range(k // 2, k // 2 + 3)) for k in range(6)]
     assert got == {(a, b) for a, b in combinations(range(6), 2) if 2 * len(sets[a] & sets[b]) > 3}
     assert read.value == 18
+
+
+def test_pairs_with_shared_followers_are_counted_in_tasks(spark, monkeypatch):
+    """Blocks of sets meet all sets where these are: no pair and no item is shuffled."""
+    rng = random.Random(11)
+    sets = {f"t{k:02}": sorted(rng.sample("abcdefghijkl", rng.randrange(1, 9))) for k in range(40)}
+    df = spark.createDataFrame(list(sets.items()), "token string, items array<string>").repartition(3)
+    asked = [t for t in sets if int(t[1:]) % 7 == 0]
+    over = lambda a, b: 2 * len(set(sets[a]) & set(sets[b])) > min(len(sets[a]), len(sets[b]))
+    row = lambda a, b: (a, b, len(set(sets[a]) & set(sets[b])), min(len(sets[a]), len(sets[b])))
+    for items, counted in ((1 << 22, 1 << 22), (40, 30)):
+        monkeypatch.setattr(P, "ITEMS", items)
+        monkeypatch.setattr(P, "COUNTED", counted)
+        got = P.counted_over_half(df)
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(tuple(r) for r in got.collect()) == sorted(row(a, b) for a in sets for b in sets if a < b and over(a, b))
+        got = P.counted_over_half(df, df.where(F.col("token").isin(asked)))
+        assert sorted(tuple(r) for r in got.collect()) == sorted(row(a, b) for a in asked for b in sets if a != b and over(a, b))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.operators.pairs import over_half
+from weftgraph.operators.pairs import counted_over_half, over_half
 from weftgraph.sources.scratch import kept
 
 #: Lifecycle and epistemic states that each state may change to.
@@ -83,13 +83,15 @@ def rarity(rows: DataFrame, key: str, items: str) -> DataFrame:
     return flat.groupBy("word").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).select("word", "df", F.round(F.ln(F.col("total") / F.col("df")), 6).alias("idf"))  # one row is broadcast
 
 
-def npmi(sentences: DataFrame, words: str, least: int) -> DataFrame:
-    """Normalised pointwise mutual information of words (an array in order) next to each other in a sentence.
-
-    A word and the next one, null after the last, are counted in one pass over the sentences; all else follows from these counts.
-    """
+def followers(sentences: DataFrame, words: str) -> DataFrame:
+    """x, y, n: how often a word and the next one, null after the last, stand in sentences (arrays in order). One pass over the sentences."""
     rows = sentences.select(F.col(words).alias("x"), F.slice(words, F.lit(2), F.size(words)).alias("y")).where(F.size("x") > 0)
-    counted = kept(rows.select(F.inline(F.arrays_zip("x", "y"))).groupBy("x", "y").agg(F.count("*").alias("n")), "followers")
+    return kept(rows.select(F.inline(F.arrays_zip("x", "y"))).groupBy("x", "y").agg(F.count("*").alias("n")), "followers")
+
+
+def npmi(sentences: DataFrame, words: str, least: int) -> DataFrame:
+    """Normalised pointwise mutual information of words (an array in order) next to each other in a sentence; all of it follows from followers()."""
+    counted = followers(sentences, words)
     pairs = counted.where("y IS NOT NULL")
     total = pairs.agg(F.sum("n").cast("double").alias("total"))
     one = counted.groupBy(F.col("x").alias("token")).agg(F.sum("n").alias("c"))
@@ -98,25 +100,37 @@ def npmi(sentences: DataFrame, words: str, least: int) -> DataFrame:
     return often.select("x", "y", "n", F.round(score, 6).alias("npmi"))
 
 
+def _in_sentences(tokens: DataFrame, key: str) -> DataFrame:
+    """words: the tokens of each sentence in order."""
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "token")))
+    return tokens.groupBy(key, "sent").agg(F.transform(ordered, lambda t: t["token"]).alias("words"))
+
+
 def substitutable(tokens: DataFrame, key: str, asked: DataFrame) -> DataFrame:
-    """For asked tokens (token): every other token b with which one shares over half of the fewer of their followers. Followers of asked tokens meet all tokens' once each; pairs without a common follower aren't made."""
-    w = Window.partitionBy(key, "sent").orderBy("pos")
-    rows = kept(tokens.withColumn("next", F.lead("token").over(w)).where("next IS NOT NULL").select("token", "next").distinct(), "followers")
-    sizes = rows.groupBy("token").agg(F.count("*").alias("size"))
-    ours = rows.join(asked.select("token").distinct(), "token", "left_semi").withColumnRenamed("token", "a")
-    met = ours.join(rows.withColumnRenamed("token", "b"), "next").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    told = met.join(sizes.withColumnsRenamed({"token": "a", "size": "size_a"}), "a").join(sizes.withColumnsRenamed({"token": "b", "size": "size_b"}), "b").withColumn("fewer", F.least("size_a", "size_b"))
-    return told.where("shared * 2 > fewer").select("a", "b", "shared", F.round(F.col("shared") / F.col("fewer"), 6).alias("rate"))
+    """substitutable_of() of tokens (key, sent, pos, token)."""
+    return substitutable_of(followers(_in_sentences(tokens, key), "words"), asked)
+
+
+def substitutable_of(counted: DataFrame, asked: DataFrame) -> DataFrame:
+    """For asked tokens (token): every other token b with which one shares over half of the fewer of their followers (followers())."""
+    sets = kept(counted.where("y IS NOT NULL").groupBy(F.col("x").alias("token")).agg(F.collect_list("y").alias("items")), "sets")
+    return _rated(counted_over_half(sets, kept(sets.join(asked.select("token").distinct(), "token", "left_semi"), "asked")))
 
 
 def substitutable_pairs(tokens: DataFrame, key: str, least: int) -> DataFrame:
-    """Pairs of frequent tokens that share over half of the fewer of their followers."""
-    w = Window.partitionBy(key, "sent").orderBy("pos")
-    follow = tokens.withColumn("next", F.lead("token").over(w))
-    counted = kept(follow.groupBy("token", "next").agg(F.count("*").alias("n")), "followers")
-    often = counted.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("token")
-    rows = counted.where("next IS NOT NULL").select("token", "next").join(often, "token", "left_semi").withColumn("all", F.lit(0))
-    return over_half(rows, "all", "token", "next").select("a", "b", "shared", F.round(F.col("shared") / F.col("fewer"), 6).alias("rate"))
+    """substitutable_pairs_of() of tokens (key, sent, pos, token)."""
+    return substitutable_pairs_of(followers(_in_sentences(tokens, key), "words"), least)
+
+
+def substitutable_pairs_of(counted: DataFrame, least: int) -> DataFrame:
+    """Pairs of frequent tokens that share over half of the fewer of their followers (followers())."""
+    often = counted.groupBy("x").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("x")
+    rows = counted.where("y IS NOT NULL").join(often, "x", "left_semi")
+    return _rated(counted_over_half(kept(rows.groupBy(F.col("x").alias("token")).agg(F.collect_list("y").alias("items")), "sets")))
+
+
+def _rated(pairs: DataFrame) -> DataFrame:
+    return pairs.select("a", "b", "shared", F.round(F.col("shared") / F.col("fewer"), 6).alias("rate"))
 
 
 def markup_kind(text: Column) -> Column:
