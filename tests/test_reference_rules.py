@@ -108,3 +108,18 @@ def test_experience(spark):
     rows = spark.createDataFrame([("n", True, 0.9), ("n", True, 0.4), ("n", False, 0.6), ("m", False, 1.0), ("m", False, 1.0)], "node string, ok boolean, s double")
     got = {r.node: r.adjustment for r in U.adjustment(rows, "node", F.col("ok"), F.col("s")).collect()}
     assert got == {"n": -0.045, "m": -0.15}
+
+
+def test_members_and_gaps_are_shuffled_once(spark):
+    """What fills a gap is told from a table of compositions; neither members nor gaps are joined to it."""
+    comps = spark.createDataFrame([(k, "Event", "Observed" if k else "Inferred", "Corpus", 0.1) for k in range(4)], "comp_id int, comp_type string, epistemic string, origin string, confidence double")
+    members = spark.createDataFrame([(k, 0, "a", "Agent", 0.9) for k in range(3)] + [(1, 1, "x", "Patient", 0.5), (1, 2, "y", "Patient", 0.7), (2, 1, "x", "Patient", 0.4), (3, 0, "z", "Agent", 0.2)], "comp_id int, pos int, node_id string, role string, confidence double")
+    told = Q.strategies(Q.atom_gaps(comps, members).unionAll(Q.grounding_gaps(comps)), comps, members, comps.where("comp_id = 2").select("comp_id"))
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Exchange hashpartitioning(comp_id" not in plan
+    got = {(r.comp_id, r.gap, r.role): (r.strategy, r.candidate) for r in told.collect()}
+    assert got[0, "MissingRole", "Patient"] == got[3, "MissingRole", "Patient"] == ("PassiveRecall", "x")
+    assert got[0, "LowGrounding", None] == ("ReExtraction", None)  # shares a node
+    assert got[2, "MissingCause", "Cause"] == ("ReExtraction", None) and got[1, "MissingCause", "Cause"] == ("AskUser", None)
+    alone = Q.strategies(Q.grounding_gaps(comps), comps, members.where("comp_id IN (0, 3)"), comps.limit(0).select("comp_id")).collect()
+    assert [(r.comp_id, r.strategy) for r in alone] == [(0, "Defer")]

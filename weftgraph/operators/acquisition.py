@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.sources.scratch import kept
+
 #: Roles that an Event should have, and the kind of gap if it doesn't.
 EVENT_ROLES = {"Agent": "MissingRole", "Patient": "MissingRole", "Cause": "MissingCause", "Purpose": "MissingPurpose"}
 #: Questions to a user by kind of gap.
@@ -40,31 +42,54 @@ def grounding_gaps(comps: DataFrame) -> DataFrame:
     return comps.select("comp_id", kind.alias("gap"), F.lit(None).cast("string").alias("role")).where("gap IS NOT NULL")
 
 
-def candidates(gaps: DataFrame, members: DataFrame) -> DataFrame:
-    """comp_id, role, candidate, candidate_confidence: the node that plays the role in most other compositions and isn't in this one; ties go to the smaller id.
+def _folded(members: DataFrame, gaps: DataFrame, **flags: DataFrame) -> DataFrame:
+    """comp_id, m (its members in order), g (its gaps), and which of the other tables have it: one shuffle of them all."""
+    every = members.where("comp_id IS NOT NULL").select("comp_id", F.struct("pos", "node_id", "role", "confidence").alias("m"))
+    every = every.unionByName(gaps.select("comp_id", F.struct("gap", "role").alias("g")) if "gap" in gaps.columns else gaps.select("comp_id", F.struct(F.lit("").alias("gap"), "role").alias("g")), allowMissingColumns=True)
+    for name, rows in flags.items():
+        every = every.unionByName(rows.where("comp_id IS NOT NULL").select("comp_id", F.lit(True).alias(name)), allowMissingColumns=True)
+    return kept(every.groupBy("comp_id").agg(F.array_sort(F.collect_list("m")).alias("m"), F.collect_list("g").alias("g"), *[F.max(name).alias(name) for name in flags]), "gaps")
+
+
+def _recalled(folded: DataFrame) -> DataFrame:
+    """The gaps of _folded(), a row each, with the candidate for their role (b: candidate, n, c).
 
     Of several nodes in a role, a composition's first by place, then id, then confidence counts.
-    A composition looks at no more than its number of nodes plus one of a role's nodes in that order, so
-    gaps meet them by their place in it, and no two compositions meet.
+    A composition looks at no more than its number of nodes plus one of a role's nodes in their order, so
+    each role has a list of so many, which is broadcast, and no two compositions meet.
     """
-    w = Window.partitionBy("comp_id", "role").orderBy("pos", "node_id", "confidence")
-    plays = members.withColumn("k", F.row_number().over(w)).where("k = 1").groupBy("role", F.col("node_id").alias("candidate")).agg(F.count("*").alias("n"), F.avg("confidence").alias("c"))
-    nodes = members.groupBy("comp_id").agg(F.collect_set("node_id").alias("nodes"))
-    most = nodes.agg(F.max(F.size("nodes"))).first()[0] or 0  # one number: how long a role's list has to be
+    by_role = F.array_sort(F.transform("m", lambda x: F.struct(*[x[c].alias(c) for c in ("role", "pos", "node_id", "confidence")])))
+    first = F.filter("r", lambda x, i: (i == 0) | ~x["role"].eqNullSafe(F.get("r", i - 1)["role"]))
+    plays = folded.select(by_role.alias("r")).select(F.inline(first)).groupBy("role", F.col("node_id").alias("candidate")).agg(F.count("*").alias("n"), F.avg("confidence").alias("c"))
+    nodes = F.array_compact(F.array_distinct(F.transform("m", lambda x: x["node_id"])))
+    most = folded.agg(F.max(F.size(nodes))).first()[0] or 0  # one number: how long a role's list has to be
     order = Window.partitionBy("role").orderBy(F.desc("n"), "candidate")
-    first = plays.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most + 1)
-    wanted = gaps.where("role IS NOT NULL").select("comp_id", "role").distinct().join(nodes, "comp_id", "left").withColumn("nodes", F.coalesce("nodes", F.array().cast("array<string>")))
-    tried = wanted.select("comp_id", "role", "nodes", F.explode(F.sequence(F.lit(1), F.size("nodes") + 1)).alias("place")).join(first, ["role", "place"]).where(~F.array_contains("nodes", F.col("candidate")))
-    best = tried.groupBy("comp_id", "role").agg(F.min_by(F.struct("candidate", "n", "c"), "place").alias("b"))
-    return best.select("comp_id", "role", "b.candidate", (F.col("b.c") * F.col("b.n") / F.greatest(F.lit(3), F.col("b.n"))).alias("candidate_confidence"))
+    places = plays.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most + 1)
+    lists = places.groupBy("role").agg(F.array_sort(F.collect_list(F.struct("place", "candidate", "n", "c"))).alias("tried"))
+    rows = folded.withColumn("g", F.explode("g")).select("*", "g.gap", "g.role").drop("g").join(F.broadcast(lists), "role", "left")
+    best = F.get(F.filter("tried", lambda x: ~F.array_contains("nodes", x["candidate"])), 0)
+    return rows.withColumn("nodes", nodes).withColumn("b", best).drop("nodes", "tried")
 
 
-def evidence(comps: DataFrame, members: DataFrame) -> DataFrame:
-    """Compositions that share a node with another one, or that are not of the only origin there is."""
+def _candidate() -> tuple[Column, Column]:
+    return F.col("b.candidate").alias("candidate"), (F.col("b.c") * F.col("b.n") / F.greatest(F.lit(3), F.col("b.n"))).alias("candidate_confidence")
+
+
+def candidates(gaps: DataFrame, members: DataFrame) -> DataFrame:
+    """comp_id, role, candidate, candidate_confidence: the node that plays the role in most other compositions and isn't in this one; ties go to the smaller id."""
+    return _recalled(_folded(members, gaps.where("role IS NOT NULL"))).where("b IS NOT NULL").select("comp_id", "role", *_candidate()).distinct()
+
+
+def evidence(comps: DataFrame, members: DataFrame, of: DataFrame) -> DataFrame:
+    """Of compositions (comp_id), those that share a node with another one, or that are not of the only origin there is. Nodes are looked at only where there is one origin, or a composition that isn't known."""
+    one = comps.agg(F.min("origin").alias("one"), F.max("origin").alias("two")).first()
+    asked = kept(of.where("comp_id IS NOT NULL").distinct(), "asked")
+    told = asked.join(comps, "comp_id", "left_semi") if one.one != one.two else asked.limit(0)
+    rest = asked.join(comps, "comp_id", "left_anti") if one.one != one.two else asked
+    if rest.isEmpty():
+        return told
     shared = members.groupBy("node_id").agg(F.min("comp_id").alias("a"), F.max("comp_id").alias("b")).where("a <> b")
-    by_node = members.join(shared, "node_id", "left_semi").select("comp_id")
-    origins = comps.agg(F.min("origin").alias("one"), F.max("origin").alias("two")).where("one <> two")
-    return by_node.unionAll(comps.join(F.broadcast(origins), F.lit(True), "left_semi").select("comp_id")).distinct()  # one row is broadcast
+    return told.unionAll(members.join(rest, "comp_id", "left_semi").join(shared, "node_id", "left_semi").select("comp_id").distinct())
 
 
 def strategies(gaps: DataFrame, comps: DataFrame, members: DataFrame, with_text: DataFrame) -> DataFrame:
@@ -72,19 +97,14 @@ def strategies(gaps: DataFrame, comps: DataFrame, members: DataFrame, with_text:
 
     A missing role is recalled if the graph has a candidate. Otherwise, as for contradictions and hidden meanings, a composition
     with a source text (``with_text``: comp_id) is read again, and one without is asked about. Weak grounding is read again if
-    there is other evidence, and put off if not, as a sparse graph is.
+    there is other evidence, and put off if not, as a sparse graph is. Members and gaps are shuffled once.
     """
-    labels = members.groupBy("comp_id").agg(F.array_sort(F.collect_list(F.struct("pos", "node_id", "role"))).alias("m"))
-    rows = (
-        gaps.join(candidates(gaps, members), ["comp_id", "role"], "left")
-        .join(with_text.select("comp_id", F.lit(True).alias("has_text")), "comp_id", "left")
-        .join(evidence(comps, members).withColumn("has_evidence", F.lit(True)), "comp_id", "left")
-        .join(labels, "comp_id", "left")
-    )
+    weak = gaps.where("gap = 'LowGrounding'").select("comp_id")
+    rows = _recalled(_folded(members, gaps, has_text=with_text, has_evidence=evidence(comps, members, weak))).select("*", *_candidate())
     missing = F.col("gap").isin("MissingRole", "MissingCause", "MissingPurpose")
     again = F.when(F.col("has_text"), "ReExtraction").otherwise("AskUser")
     way = F.when(missing & F.col("candidate").isNotNull(), "PassiveRecall").when(F.col("gap") == "SparseGraph", "Defer").when(F.col("gap") == "LowGrounding", F.when(F.col("has_evidence"), "ReExtraction").otherwise("Defer")).otherwise(again)
-    context = F.array_join(F.transform(F.filter(F.coalesce("m", F.array().cast("array<struct<pos:int,node_id:string,role:string>>")), lambda x: x["role"] != F.col("role")), lambda x: x["node_id"]), " ")
+    context = F.array_join(F.transform(F.filter("m", lambda x: x["role"] != F.col("role")), lambda x: x["node_id"]), " ")
     role = F.coalesce(_map(ROLE_LABELS)[F.col("role")], F.lower("role"))
     asked = F.when(context == "", F.concat(F.lit("Siapa/apa yang berperan sebagai "), role, F.lit(" di sini?"))).otherwise(F.concat(F.lit("Dalam '"), context, F.lit("', siapa/apa yang berperan sebagai "), role, F.lit("?")))
     told = rows.withColumn("strategy", way)
