@@ -244,3 +244,20 @@ def test_a_small_graph_is_spread_without_shuffled_energies(spark, path, monkeypa
     assert got == rows(R.spread(double, seeds)) and len(got) == 17
     assert rows(sums) == {(s, len(e), sum(e), max(e)) for s in {r[0] for r in got} for e in [[r[2] for r in got if r[0] == s]]}
     assert {(r.seed, r.energy) for r in most.collect()} >= {(s, max(r[2] for r in got if r[0] == s)) for s in {r[0] for r in got}}
+
+
+def test_long_spans_are_not_dealt_to_buckets(spark, monkeypatch):
+    """Spans stay where they are, and each is one row however long it is; batches of pairs and blocks of asked spans may be small."""
+    import random
+
+    rng = random.Random(8)
+    rows = [(i, a, a + rng.choice([0.0, 1.0, 30.0, 1e9])) for i in range(60) for a in [float(rng.randrange(100))]]
+    spans = spark.createDataFrame(rows, "k int, first double, last double")
+    want = sorted((i, j) for i, a, b in rows for j, c, d in rows if i % 3 == 0 and i != j and a - 2 <= d + 2 and c - 2 <= b + 2)
+    for asked, pairs in ((T.ASKED, T.PAIRS), (7, 5)):
+        monkeypatch.setattr(T, "ASKED", asked)
+        monkeypatch.setattr(T, "PAIRS", pairs)
+        got = T.overlaps(spans.where("k % 3 = 0"), spans, "k", 2)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Generate" not in plan
+        assert sorted((r.a, r.b) for r in got.collect()) == want
